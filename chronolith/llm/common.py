@@ -205,15 +205,13 @@ def repeated_cells(parts: DataFrame, bits: int, blocks: int) -> np.ndarray:
     """
     width = (1 << bits) // blocks
 
-    def merge(key, batches):
+    def merge(key, found):
         count = np.zeros(width, dtype=np.uint8)
-        for batch in batches:
-            for cells in batch.column(batch.schema.get_field_index("cells")):
-                at, times = np.unique(np.frombuffer(cells.as_py(), dtype=np.uint32), return_counts=True)
-                count[at] = np.minimum(count[at] + np.minimum(times, 2), 2)
-        yield pa.RecordBatch.from_pydict(
-            {"row": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), "bits": pa.array([np.packbits(count > 1).tobytes()], pa.binary())}
-        )
+        for cells in found["cells"]:
+            at, times = np.unique(np.frombuffer(cells.as_py(), dtype=np.uint32), return_counts=True)
+            count[at] = np.minimum(count[at] + np.minimum(times, 2), 2)
+        bits = pa.array([np.packbits(count > 1).tobytes()], pa.binary())
+        return pa.table({"row": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), "bits": bits})
 
     merged = parts.groupBy("row", "block").applyInArrow(merge, "row int, block int, bits binary")
     out = np.zeros((2, 1 << bits >> 3), dtype=np.uint8)
