@@ -215,7 +215,7 @@ def repeated_cells(parts: DataFrame, bits: int, blocks: int) -> np.ndarray:
 
     merged = parts.groupBy("row", "block").applyInArrow(merge, "row int, block int, bits binary")
     out = np.zeros((2, 1 << bits >> 3), dtype=np.uint8)
-    for r in merged.toLocalIterator():
+    for r in merged.collect():
         out[r["row"], r["block"] * (width >> 3) : (r["block"] + 1) * (width >> 3)] = np.frombuffer(r["bits"], dtype=np.uint8)
     return out
 
