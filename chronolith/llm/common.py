@@ -197,6 +197,22 @@ def packed(cells: np.ndarray, bits: int, blocks: int):
             yield b, (cells[cut[b] : cut[b + 1]] - np.uint64(b * width)).astype(np.uint32).tobytes()
 
 
+def merged(parts: DataFrame, keys: list[str], add, schema: str, fan: int = 16) -> DataFrame:
+    """One row for each key from a row for each key and partition: a tree in which a task merges about `fan` rows a key.
+
+    add(key values, table of rows) -> table of one row, of the schema (keys first). Memory doesn't grow with the
+    number of partitions.
+    """
+    left = parts.rdd.getNumPartitions()
+    parts = parts.withColumn("part", F.spark_partition_id())
+    while True:
+        left = -(-left // fan)
+        parts = parts.withColumn("part", F.pmod(F.col("part"), F.lit(left)))
+        parts = parts.groupBy(*keys, "part").applyInArrow(lambda key, t: add(key[:-1], t).append_column("part", pa.array([key[-1].as_py()], pa.int32())), f"{schema}, part int")
+        if left == 1:
+            return parts.drop("part")
+
+
 def repeated_cells(parts: DataFrame, bits: int, blocks: int) -> np.ndarray:
     """Bitmap of the cells that all partitions' sketches (row, block, cells) together hit twice or more.
 
@@ -205,17 +221,27 @@ def repeated_cells(parts: DataFrame, bits: int, blocks: int) -> np.ndarray:
     """
     width = (1 << bits) // blocks
 
-    def merge(key, found):
+    def add(key, found):
         count = np.zeros(width, dtype=np.uint8)
         for cells in found["cells"]:
             at, times = np.unique(np.frombuffer(cells.as_py(), dtype=np.uint32), return_counts=True)
             count[at] = np.minimum(count[at] + np.minimum(times, 2), 2)
-        bits = pa.array([np.packbits(count > 1).tobytes()], pa.binary())
-        return pa.table({"row": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), "bits": bits})
+        cells = np.repeat(np.arange(width, dtype=np.uint32), count).tobytes()
+        return pa.table({"row": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), "cells": pa.array([cells], pa.binary())})
+
+    def bits_of(batches):
+        for batch in batches:
+            maps = []
+            for cells in batch.column(2):
+                at = np.frombuffer(cells.as_py(), dtype=np.uint32)
+                twice = np.zeros(width, dtype=bool)
+                twice[at[1:][at[1:] == at[:-1]]] = True
+                maps.append(np.packbits(twice).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(maps, pa.binary())], names=["row", "block", "bits"])
 
-    merged = parts.groupBy("row", "block").applyInArrow(merge, "row int, block int, bits binary")
     out = np.zeros((2, 1 << bits >> 3), dtype=np.uint8)
-    for r in merged.collect():
+    whole = merged(parts, ["row", "block"], add, "row int, block int, cells binary")
+    for r in whole.mapInArrow(bits_of, "row int, block int, bits binary").collect():
         out[r["row"], r["block"] * (width >> 3) : (r["block"] + 1) * (width >> 3)] = np.frombuffer(r["bits"], dtype=np.uint8)
     return out
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import merged, ship, table
 
 DIM, GRAM, SEED = 1024, 3, 20240501
 #: Characters worked on at once, and n-gram vectors kept at once, in a worker.
@@ -122,15 +122,14 @@ def prototypes(labelled: DataFrame, text_col: str = "text", lang_col: str = "lan
                     _merge(held)
         for lang, held in counts.items():
             _merge(held)
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang]), "part": pa.array([0], pa.int32()), "v": pa.array([h.bundle(held["g"][0], held["n"][0]).tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang]), "v": pa.array([h.bundle(held["g"][0], held["n"][0]).tobytes()], pa.binary())})
 
     def add(key, found):
         total = np.sum([np.frombuffer(v.as_py()) for v in found["v"]], axis=0)
         return pa.table({"lang": pa.array([key[0].as_py()]), "v": pa.array([total.tobytes()], pa.binary())})
 
-    parts = rows.mapInArrow(learn, "lang string, part int, v binary").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(64)))
-    first = parts.groupBy("lang", "part").applyInArrow(add, "lang string, v binary")
-    return {r["lang"]: np.frombuffer(r["v"]) for r in first.groupBy("lang").applyInArrow(add, "lang string, v binary").collect()}
+    parts = rows.mapInArrow(learn, "lang string, v binary")
+    return {r["lang"]: np.frombuffer(r["v"]) for r in merged(parts, ["lang"], add, "lang string, v binary").collect()}
 
 
 def _merge(held: dict) -> None:
