@@ -53,12 +53,12 @@ def line_dedup(
     lines = each.where(F.length(F.trim(F.col("line"), F.lit(" \t\r\x0b\x0c"))) > 0).select("doc_id", "site", "pos", h.alias("h"))
     lines = stored(lines)
     bad = boilerplate(lines, min_sites)
-    hit = lines.join(bad, "h")
+    hit = lines.join(bad.hint("merge"), "h")  # as a sort-merge join a frequent line can be split
     if keep_first:
         hit = hit.where(~F.coalesce((F.col("doc_id") == F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos")), F.lit(False)))
     gone = hit.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("pos").alias("__gone"))
     gone = stored(gone)
-    out = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")), "left").drop("__id")
+    out = docs.join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")), "left").drop("__id")
     # positions as a bitmap of the text's lines would be the same; sets of positions are short
     kept = F.filter(split, lambda line, i: ~F.array_contains(F.col("__gone"), i))
     clean = F.when(F.col("__gone").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
