@@ -16,7 +16,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Callable
-from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -25,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import ship, table
 
-#: Matches whose ids a worker keeps; at that number it starts anew.
-CACHE = 300_000
+#: Matches whose ids a worker keeps at most; the half not met of late goes.
+CACHE = 1_000_000
 #: Unicode's White_Space, as it stands between brackets.
 WHITE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
@@ -61,68 +60,77 @@ class Bpe:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(white(pattern))
-        self.bytes = {r: t for t, r in ranks.items()}
+        self.bytes = [b""] * (max(ranks.values(), default=-1) + 1)
+        for t, r in ranks.items():
+            self.bytes[r] = t
         self.longest = max(map(len, ranks), default=1)
-        self._halves: dict[int, tuple[int, int] | None] = {}
-        self._apart: dict[tuple[int, int], bool] = {}
-        self._cache: dict[str, tuple[str, tuple[int, ...]]] = {}
-
-    def halves(self, token: int) -> tuple[int, int] | None:
-        """The two tokens whose merge makes this one; a byte is its own halves; None if merges never make it."""
-        if token not in self._halves:
-            t = self.bytes[token]
-            got = (token, token) if len(t) == 1 else None
-            for k in range(1, len(t)):
-                a, b = self.ranks.get(t[:k]), self.ranks.get(t[k:])
-                if a is not None and b is not None and a < token and b < token and self.halves(a) and self.halves(b) and self.apart(a, b, token):
-                    got = (a, b)
-                    break
-            self._halves[token] = got
-        return self._halves[token]
-
-    def apart(self, a: int, b: int, limit: int | None = None) -> bool:
+        self.text = list(map(str, range(len(self.bytes))))
+        self.left: list[int] = list(range(len(self.bytes)))
+        self.right: list[int] = list(range(len(self.bytes)))
+        self._apart: dict[int, bool] = {}
+        #: Tokens that merges can make, by their bytes.
+        self.made: dict[bytes, int] = {}
+        for t, r in sorted(ranks.items(), key=lambda x: x[1]):
+            if len(t) == 1 or self._halve(t, r):
+                self.made[t] = r
+        self._new: dict[str, tuple[int, ...]] = {}
+        self._old: dict[str, tuple[int, ...]] = {}
+
+    def _halve(self, t: bytes, token: int) -> bool:
+        """Finds the two tokens whose merge makes this one; False if merges never make it."""
+        for k in range(1, len(t)):
+            a, b = self.made.get(t[:k]), self.made.get(t[k:])
+            if a is not None and b is not None and self.apart(a, b, token):
+                self.left[token], self.right[token] = a, b
+                return True
+        return False
+
+    def apart(self, a: int, b: int, limit: int = 1 << 62) -> bool:
         """Whether merges of rank below `limit` (all by default) leave token a followed by token b as they are.
 
         Undoes the later of the two tokens' merges at the boundary, again and again: at each stage the pair that
         meets there must have no merge that would have come before the merge just undone.
         """
-        if limit is None:
-            got = self._apart.get((a, b))
-            if got is None:
-                if len(self._apart) > 4 * CACHE:
-                    self._apart.clear()
-                got = self._apart[a, b] = self.apart(a, b, 1 << 62)
-            return got
+        ranks, text, left, right = self.ranks, self.bytes, self.left, self.right
         while True:
-            joined = self.ranks.get(self.bytes[a] + self.bytes[b])
+            joined = ranks.get(text[a] + text[b])
             if joined is not None and joined < limit:
                 return False
-            left, right = len(self.bytes[a]) > 1, len(self.bytes[b]) > 1
-            if not left and not right:
-                return True
-            if left and (a > b or not right):
-                limit, a = a, self.halves(a)[1]  # of equal merges the left one comes first
+            if a > b and right[a] != a:
+                limit, a = a, right[a]  # of equal merges the left one comes first
+            elif left[b] != b:
+                limit, b = b + 1, left[b]
+            elif right[a] != a:
+                limit, a = a, right[a]
             else:
-                limit, b = b + 1, self.halves(b)[0]
+                return True
 
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         return [whole] if whole is not None else PrefixTable(self, piece).ids()
 
-    def _kept(self, match: str) -> tuple[str, tuple[int, ...]]:
-        if len(self._cache) >= CACHE:
-            self._cache.clear()
-        ids = self.encode_piece(match.encode())
-        got = (",".join(map(str, ids)), tuple(ids))
+    def _kept(self, match: str) -> tuple[int, ...]:
+        """A match's ids by the older half of the cache, or made; into the newer half."""
+        got = self._old.get(match)
+        if got is None:
+            got = tuple(self.encode_piece(match.encode()))
         if len(match) <= 64:
-            self._cache[match] = got
+            if len(self._new) >= CACHE // 2:
+                self._old, self._new = self._new, {}
+            self._new[match] = got
         return got
 
-    def encode(self, text: str) -> tuple[str, list[int]]:
-        """The ids of a text, joined by commas and as a list."""
-        cached, kept = self._cache, self._kept
-        each = [cached.get(m) or kept(m) for m in self.pattern.findall(text)]
-        return ",".join([x[0] for x in each]), list(chain.from_iterable([x[1] for x in each]))
+    def encode(self, text: str) -> list[int]:
+        """The ids of a text."""
+        kept = self._kept
+        out: list[int] = []
+        for m in self.pattern.findall(text):
+            out += self._new.get(m) or kept(m)
+        return out
+
+    def joined(self, ids: list[int]) -> str:
+        """Decimal ids, joined by commas."""
+        return ",".join(map(self.text.__getitem__, ids))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -135,19 +143,32 @@ class PrefixTable:
         self.bpe, self.data, self.last = bpe, b"", [-1]
         self.append(data)
 
-    def _token(self, i: int) -> int:
-        data, last, ranks, halves, apart = self.data, self.last, self.bpe.ranks, self.bpe.halves, self.bpe.apart
-        for j in range(max(0, i - self.bpe.longest), i):
-            t = ranks.get(data[j:i])
-            if t is not None and halves(t) and (j == 0 or apart(last[j], t)):
-                return t
-        raise ValueError("a byte is missing from the vocabulary")
-
     def append(self, more: bytes) -> None:
         n = len(self.data)
         self.data += more
-        for i in range(n + 1, len(self.data) + 1):
-            self.last.append(self._token(i))
+        self._fill(n + 1, len(self.data) + 1)
+
+    def _fill(self, start: int, end: int) -> None:
+        """Adds the last tokens of the prefixes of start to end - 1 bytes."""
+        data, last, made, longest = self.data, self.last, self.bpe.made, self.bpe.longest
+        known, apart = self.bpe._apart, self.bpe.apart
+        if len(known) > 4 * CACHE:
+            known.clear()
+        for i in range(start, end):
+            for j in range(i - longest if i > longest else 0, i):
+                t = made.get(data[j:i])
+                if t is not None:
+                    if j == 0:
+                        break
+                    pair = last[j] << 24 | t
+                    good = known.get(pair)
+                    if good is None:
+                        good = known[pair] = apart(last[j], t)
+                    if good:
+                        break
+            else:
+                raise ValueError("a byte is missing from the vocabulary")
+            last.append(t)
 
     def edit(self, start: int, end: int, new: bytes) -> int:
         """Replaces the bytes start to end; returns how many entries were made anew.
@@ -160,7 +181,8 @@ class PrefixTable:
         del self.last[start + 1 :]
         same = made = 0
         for i in range(start + 1, len(self.data) + 1):
-            self.last.append(t := self._token(i))
+            self._fill(i, i + 1)
+            t = self.last[i]
             made += 1
             old = i - shift - end - 1
             same = same + 1 if old >= 0 and i > start + len(new) and rest[old] == t else 0
@@ -201,9 +223,9 @@ def encode_docs(docs: DataFrame, path: str | Callable[[], str], pattern: str, ke
                 batch = whole.slice(at, 256)
                 ids, n, a, b = [], [], [], []
                 for text in batch.column(batch.num_columns - 1):
-                    joined, got = bpe.encode(text.as_py() or "")
+                    got = bpe.encode(text.as_py() or "")
                     n.append(len(got))
-                    a.append(hashlib.sha256(joined.encode()).hexdigest())
+                    a.append(hashlib.sha256(bpe.joined(got).encode()).hexdigest())
                     b.append(hashlib.sha256(bpe.decode(got)).hexdigest())
                     if with_ids:
                         ids.append(pa.array(got, pa.int32()))
