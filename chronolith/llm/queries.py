@@ -1,9 +1,10 @@
 """The registered queries of this package and the SQL that says the same, where SQL can."""
 
-from . import bpe, exact_dedup, language_id, line_dedup, ngram_join, secrets, source_mix, substring_dedup
+from . import bpe, exact_dedup, language_id, line_dedup, ngram_join, secrets, source_mix, substring_dedup, vector_dedup
 
 QUERIES = {
     "op1_source_mix": source_mix.op1_source_mix,
+    "op2_vector_dedup": vector_dedup.op2_vector_dedup,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_bpe": bpe.op4_bpe,
     "op5_ngram_join": ngram_join.op5_ngram_join,
