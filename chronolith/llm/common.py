@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes worked on at once in a Python worker; a longer text is worked on alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -117,9 +117,10 @@ _LOWER[65:91] += 32
 class Words:
     """Words of a run of texts: starts and ends (bytes in buf), first (index of each text's first word, and the end), hash."""
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray, lower: bool = False, hashed: bool = True):
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, lower: bool = False, apart: np.ndarray = _SPACE):
+        """apart: of each byte, whether it separates words."""
         offsets = offsets.astype(np.int64)
-        inside = ~_SPACE[buf]
+        inside = ~apart[buf]
         edge = np.zeros(len(buf) + 1, dtype=bool)
         edge[offsets] = True
         before = np.empty(len(buf), dtype=bool)
@@ -130,11 +131,10 @@ class Words:
         self.starts = np.flatnonzero(inside & (~before | edge[:-1]))
         self.ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
         self.first = np.searchsorted(self.starts, offsets)
-        if hashed:
-            pw, inv = _power(_B1, len(buf) + 1)
-            sums = np.zeros(len(buf) + 1, dtype=np.uint64)
-            np.cumsum(((_LOWER[buf] if lower else buf).astype(np.uint64) + np.uint64(1)) * pw[: len(buf)], out=sums[1:])
-            self.hash = mix((sums[self.ends] - sums[self.starts]) * inv[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        pw, inv = _power(_B1, len(buf) + 1)
+        sums = np.zeros(len(buf) + 1, dtype=np.uint64)
+        np.cumsum(((_LOWER[buf] if lower else buf).astype(np.uint64) + np.uint64(1)) * pw[: len(buf)], out=sums[1:])
+        self.hash = mix((sums[self.ends] - sums[self.starts]) * inv[self.starts] + (self.ends - self.starts).astype(np.uint64))
 
     def runs(self, k: int, base: int = _B2) -> np.ndarray:
         """Hash of the k words from each word on; only those within one text mean something (see `whole`)."""
@@ -197,18 +197,22 @@ def packed(cells: np.ndarray, bits: int, blocks: int):
             yield b, (cells[cut[b] : cut[b + 1]] - np.uint64(b * width)).astype(np.uint32).tobytes()
 
 
-def merged(parts: DataFrame, keys: list[str], add, schema: str, fan: int = 16) -> DataFrame:
+def _with_part(add):
+    return lambda key, found: add(key[:-1], found).append_column("part", pa.array([key[-1].as_py()], pa.int32()))
+
+
+def merged(parts: DataFrame, keys: list[str], add, schema: str, last=None, fan: int = 16) -> DataFrame:
     """One row for each key from a row for each key and partition: a tree in which a task merges about `fan` rows a key.
 
-    add(key values, table of rows) -> table of one row, of the schema (keys first). Memory doesn't grow with the
-    number of partitions.
+    add(key values, table of rows) -> table of one row, of the schema (keys first); `last` stands for it in the last
+    step. Memory doesn't grow with the number of partitions.
     """
     left = parts.rdd.getNumPartitions()
     parts = parts.withColumn("part", F.spark_partition_id())
     while True:
         left = -(-left // fan)
         parts = parts.withColumn("part", F.pmod(F.col("part"), F.lit(left)))
-        parts = parts.groupBy(*keys, "part").applyInArrow(lambda key, t: add(key[:-1], t).append_column("part", pa.array([key[-1].as_py()], pa.int32())), f"{schema}, part int")
+        parts = parts.groupBy(*keys, "part").applyInArrow(_with_part(last if last and left == 1 else add), f"{schema}, part int")
         if left == 1:
             return parts.drop("part")
 
@@ -221,28 +225,25 @@ def repeated_cells(parts: DataFrame, bits: int, blocks: int) -> np.ndarray:
     """
     width = (1 << bits) // blocks
 
-    def add(key, found):
+    def counted(found):
         count = np.zeros(width, dtype=np.uint8)
         for cells in found["cells"]:
             at, times = np.unique(np.frombuffer(cells.as_py(), dtype=np.uint32), return_counts=True)
             count[at] = np.minimum(count[at] + np.minimum(times, 2), 2)
-        cells = np.repeat(np.arange(width, dtype=np.uint32), count).tobytes()
-        return pa.table({"row": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), "cells": pa.array([cells], pa.binary())})
-
-    def bits_of(batches):
-        for batch in batches:
-            maps = []
-            for cells in batch.column(2):
-                at = np.frombuffer(cells.as_py(), dtype=np.uint32)
-                twice = np.zeros(width, dtype=bool)
-                twice[at[1:][at[1:] == at[:-1]]] = True
-                maps.append(np.packbits(twice).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(maps, pa.binary())], names=["row", "block", "bits"])
+        return count
+
+    def row(key, data):
+        return pa.table({"row": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), "cells": pa.array([data], pa.binary())})
+
+    def add(key, found):
+        return row(key, np.repeat(np.arange(width, dtype=np.uint32), counted(found)).tobytes())
+
+    def last(key, found):
+        return row(key, np.packbits(counted(found) > 1).tobytes())
 
     out = np.zeros((2, 1 << bits >> 3), dtype=np.uint8)
-    whole = merged(parts, ["row", "block"], add, "row int, block int, cells binary")
-    for r in whole.mapInArrow(bits_of, "row int, block int, bits binary").collect():
-        out[r["row"], r["block"] * (width >> 3) : (r["block"] + 1) * (width >> 3)] = np.frombuffer(r["bits"], dtype=np.uint8)
+    for r in merged(parts, ["row", "block"], add, "row int, block int, cells binary", last).collect():
+        out[r["row"], r["block"] * (width >> 3) : (r["block"] + 1) * (width >> 3)] = np.frombuffer(r["cells"], dtype=np.uint8)
     return out
 
 
