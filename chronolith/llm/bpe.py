@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Callable
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
@@ -221,15 +222,18 @@ def encode_docs(docs: DataFrame, path: str | Callable[[], str], pattern: str, ke
         for whole in batches:
             for at in range(0, whole.num_rows, 256):  # so that ids of few texts are held at once
                 batch = whole.slice(at, 256)
-                ids, n, a, b = [], [], [], []
+                flat, n, a, b = [], [], [], []
                 for text in batch.column(batch.num_columns - 1):
                     got = bpe.encode(text.as_py() or "")
                     n.append(len(got))
                     a.append(hashlib.sha256(bpe.joined(got).encode()).hexdigest())
                     b.append(hashlib.sha256(bpe.decode(got)).hexdigest())
                     if with_ids:
-                        ids.append(pa.array(got, pa.int32()))
-                columns = [*batch.columns[:-1], *([pa.array([x.tolist() for x in ids], pa.list_(pa.int32()))] if with_ids else []), pa.array(n, pa.int64()), pa.array(a), pa.array(b)]
+                        flat += got
+                columns = [*batch.columns[:-1], pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+                if with_ids:
+                    ends = pa.array([0, *accumulate(n)], pa.int32())
+                    columns.insert(len(keep), pa.ListArray.from_arrays(ends, pa.array(flat, pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *(["ids"] if with_ids else []), "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.mapInArrow(run, fields)

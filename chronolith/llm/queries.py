@@ -1,6 +1,6 @@
 """The registered queries of this package and the SQL that says the same, where SQL can."""
 
-from . import bpe, exact_dedup, language_id, line_dedup, ngram_join, secrets, source_mix, substring_dedup, vector_dedup
+from . import bpe, exact_dedup, language_id, line_dedup, ngram_join, secrets, source_mix, substring_dedup, toxicity, vector_dedup
 
 QUERIES = {
     "op1_source_mix": source_mix.op1_source_mix,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_secret_scan": secrets.op6_secret_scan,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_language_id": language_id.op8_language_id,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
