@@ -185,8 +185,22 @@ def sketch_bits(spark: SparkSession, docs: DataFrame, text: str, per_byte: float
     return int(min(most, max(least, np.ceil(np.log2(max(1.0, total * per_byte))))))
 
 
+def gaps(at: np.ndarray) -> bytes:
+    """Rising numbers as the steps between them, a byte each: 255 stands for a step that goes on in the next byte."""
+    step = np.diff(at.astype(np.int64), prepend=0)
+    size = step // 255 + 1
+    out = np.full(int(size.sum()), 255, dtype=np.uint8)
+    out[np.cumsum(size) - 1] = step % 255
+    return out.tobytes()
+
+
+def ungaps(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, dtype=np.uint8)
+    return np.cumsum(raw, dtype=np.int64)[raw != 255]
+
+
 def packed(cells: np.ndarray, bits: int, blocks: int):
-    """(block, bytes) of a partition's sketch: each block's cells as sorted 32-bit offsets, a cell hit again twice at most."""
+    """(block, bytes) of a partition's sketch: the steps between each block's cells, a cell hit again twice at most."""
     cells = np.sort(cells)
     if len(cells) > 2:
         cells = cells[np.concatenate(([True, True], cells[2:] != cells[:-2]))]
@@ -194,7 +208,7 @@ def packed(cells: np.ndarray, bits: int, blocks: int):
     cut = np.searchsorted(cells, np.arange(blocks + 1, dtype=np.uint64) * np.uint64(width))
     for b in range(blocks):
         if cut[b] < cut[b + 1]:
-            yield b, (cells[cut[b] : cut[b + 1]] - np.uint64(b * width)).astype(np.uint32).tobytes()
+            yield b, gaps(cells[cut[b] : cut[b + 1]] - np.uint64(b * width))
 
 
 def _with_part(add):
@@ -228,7 +242,7 @@ def repeated_cells(parts: DataFrame, bits: int, blocks: int) -> np.ndarray:
     def counted(found):
         count = np.zeros(width, dtype=np.uint8)
         for cells in found["cells"]:
-            at, times = np.unique(np.frombuffer(cells.as_py(), dtype=np.uint32), return_counts=True)
+            at, times = np.unique(ungaps(cells.as_py()), return_counts=True)
             count[at] = np.minimum(count[at] + np.minimum(times, 2), 2)
         return count
 
@@ -236,7 +250,7 @@ def repeated_cells(parts: DataFrame, bits: int, blocks: int) -> np.ndarray:
         return pa.table({"row": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), "cells": pa.array([data], pa.binary())})
 
     def add(key, found):
-        return row(key, np.repeat(np.arange(width, dtype=np.uint32), counted(found)).tobytes())
+        return row(key, gaps(np.repeat(np.arange(width), counted(found))))
 
     def last(key, found):
         return row(key, np.packbits(counted(found) > 1).tobytes())
