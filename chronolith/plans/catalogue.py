@@ -1,4 +1,6 @@
 """Every registered query of the library and its SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import featured, panels  # noqa: F401  registers
+from .base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
