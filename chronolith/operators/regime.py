@@ -246,7 +246,7 @@ def _beliefs(df: DataFrame, model: DataFrame | dict, columns: list[str], keys: t
     """Rows whose columns are all finite get beliefs, all others NULLs."""
     fixed = {k: np.asarray(v, dtype=float) for k, v in model.items()} if isinstance(model, dict) else None
     d = df if fixed else df.join(model, list(keys), "left")
-    names = [f"{prefix}{k}" for k in range(states)]
+    names, own = [f"{prefix}{k}" for k in range(states)], df.columns
     extra = ", ".join(f"{n} double" for n in [*names, f"{prefix}entropy"])
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -262,7 +262,7 @@ def _beliefs(df: DataFrame, model: DataFrame | dict, columns: list[str], keys: t
             out[good, states] = -(p * np.log2(np.maximum(p, 1e-300))).sum(axis=1) / np.log2(states)
         for k, n in enumerate([*names, f"{prefix}entropy"]):
             pdf[n] = pd.Series(out[:, k]).astype(object).where(~np.isnan(out[:, k]), None)
-        return pdf[[*df.columns, *names, f"{prefix}entropy"]]
+        return pdf[[*own, *names, f"{prefix}entropy"]]
 
     schema = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in df.schema.fields)
     return d.groupBy(*keys).applyInPandas(one, f"{schema}, {extra}")
