@@ -72,7 +72,7 @@ def pareto_mix(sized: DataFrame, plan: DataFrame) -> DataFrame:
     live = with_plan.where("size > 0 and weight > 0 and missing > 0").withColumn("u", uniform("doc_id"))
     ranked = stored(live.select("doc_id", "source", "size", "missing", (odds / (1 + odds)).alias("r")))  # orders as the odds do
 
-    cut = _cut(ranked).withColumnRenamed("source", "s3")
+    cut = stored(_cut(ranked)).withColumnRenamed("source", "s3")  # a row a source: its size is known before the join
     chosen = F.coalesce(F.struct(odds / (1 + odds), "doc_id", "size") <= F.struct("cut_r", "cut_id", "cut_size"), F.lit(False))
     out = with_plan.withColumn("u", uniform("doc_id")).join(cut, F.col("source").eqNullSafe(F.col("s3")), "left")
     picked = F.when((F.col("size") > 0) & (F.col("weight") > 0) & (F.col("missing") > 0) & chosen, 1).otherwise(0)
