@@ -37,7 +37,7 @@ def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
         ).where(F.col("n") >= min_sites)
     )
     low, high = min_sites * (1 - NEAR) - 0.5, min_sites * (1 + NEAR) + 0.5
-    near = spread.where(F.col("sites").between(low, high))
+    near = stored(spread.where(F.col("sites").between(low, high)))
     exact = lines.join(near.select("h"), "h", "left_semi").where("site is not null").groupBy("h", "site").agg(F.count("*").alias("n"))
     exact = exact.groupBy("h").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
     return stored(spread.where(F.col("sites") > high).select("h", "first").union(near.join(exact.select("h"), "h").select("h", "first")))
