@@ -83,3 +83,22 @@ def prefix_invariant(df: DataFrame, f, rows: int, columns: list[str], keys: tupl
     return a.exceptAll(f(head).select(*keys, order, *r)).isEmpty()
 
 
+
+
+def kpss(df: DataFrame, c: str, lags: int = 12, keys: tuple[str, ...] = ("asset",), order: str = "ts") -> DataFrame:
+    """(keys, n, kpss, stationary): level stationarity by partial sums over a long-run variance with `lags` Bartlett
+    weights. Fixed value: 0.463, the 5 % point of Kwiatkowski and others (1992)."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*keys).orderBy(order)
+    d = df.where(F.col(c).isNotNull()).select(*keys, order, F.col(c).alias("x"))
+    means = d.groupBy(*keys).agg(F.avg("x").alias("m"))
+    d = d.join(means, list(keys)).withColumn("e", F.col("x") - F.col("m"))
+    d = d.withColumns({"s": F.sum("e").over(w.rowsBetween(Window.unboundedPreceding, 0)), **{f"l{k}": F.lag("e", k).over(w) for k in range(1, lags + 1)}})
+    long = F.sum(F.col("e") * F.col("e"))
+    for k in range(1, lags + 1):
+        long = long + 2 * (1 - k / (lags + 1)) * F.coalesce(F.sum(F.col("e") * F.col(f"l{k}")), F.lit(0.0))
+    n = F.count("*")
+    got = d.groupBy(*keys).agg(n.alias("n"), F.sum(F.col("s") * F.col("s")).alias("q"), long.alias("v"))
+    stat = F.try_divide(F.col("q"), F.col("n") * F.col("v"))
+    return got.select(*keys, "n", stat.alias("kpss"), (stat < 0.463).alias("stationary"))

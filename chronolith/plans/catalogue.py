@@ -1,6 +1,6 @@
 """Every registered query of the library and its SQL."""
 
-from . import audits, backtests, featured, panels  # noqa: F401  registers
+from . import audits, backtests, featured, more, panels  # noqa: F401  registers
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -46,3 +46,25 @@ def once(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataF
     if not exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def save_scaler(scaler: DataFrame, path: str) -> None:
+    """A fitted scaler (feature, center, scale; keys) as Parquet."""
+    scaler.write.mode("overwrite").parquet(path)
+
+
+def load_table(spark: SparkSession, path: str) -> DataFrame:
+    """A saved scaler or model."""
+    return spark.read.parquet(path)
+
+
+def save_model(model: DataFrame, path: str) -> None:
+    """Regime models, one row a key: arrays of parameters, as Parquet."""
+    model.write.mode("overwrite").parquet(path)
+
+
+def export_json(df: DataFrame, path: str) -> None:
+    """Results as JSON lines, NaN and infinities as null."""
+    from ..operators.audit import to_json_rows
+
+    to_json_rows(df).write.mode("overwrite").text(path)
