@@ -102,7 +102,7 @@ def _sketches(docs: DataFrame, window: int, bits: int) -> DataFrame:
                 for row, cell in enumerate(cells_of(a.runs[anchors], bits)):
                     held[row].append(cell)
                 size += len(anchors)
-            if size > 1 << 21:
+            if size > 1 << 20:
                 yield out()
                 held, size = [[], []], 0
         if size:
@@ -152,6 +152,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
             )
 
     found = stored(own.mapInArrow(groups, "anchor bigint, g1 bigint, g2 bigint, doc_id bigint, text_id bigint, first int, n int"))
+    bitmap.destroy()
     # exact, by the group's words; one row a group and anchor, however many documents have it
     exact = stored(found.groupBy("anchor", "g1", "g2").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")))
     forms = stored(exact.groupBy("anchor").agg(F.count("*").alias("forms")))
