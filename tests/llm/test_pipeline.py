@@ -38,3 +38,53 @@ def test_empty_table(spark):
 
 def test_run(spark):
     assert cp.run(spark, SF).columns == ["doc_id", "source", "ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_stages_against_brute_force(spark, tmp_path):
+    """Each stage but the first on its own input: SQL or plain Python says the same."""
+    import hashlib
+    from collections import Counter
+
+    import duckdb
+    import public_tokenizers
+    import tiktoken
+    from reference import near_duplicates
+
+    from chronolith.llm import line_dedup, source_mix
+    from chronolith.llm.bpe import load_ranks
+
+    def view(df, name):
+        df.write.parquet(f"{tmp_path}/{name}")
+        con = duckdb.connect()
+        con.sql(f"create view documents as select * from '{tmp_path}/{name}/*.parquet'")
+        return con
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    con = view(docs, "a")
+    cleaned = stored(cp.drop_lines(spark, docs, SF))
+    want = {r[0]: r[3] for r in con.sql(line_dedup.ORACLE).project("doc_id, n_lines, n_removed, text_sha256").fetchall()}
+    got = {r["doc_id"]: r for r in cleaned.collect()}
+    assert {i: hashlib.sha256((r["text"] or "").encode()).hexdigest() for i, r in got.items()} == want and all(r["n_chars"] == len(r["text"]) for r in got.values())
+
+    single = stored(cp.drop_near_duplicates(spark, cleaned, SF))
+    classes = near_duplicates([(i, r["text"]) for i, r in got.items()])
+    assert {r["doc_id"] for r in single.collect()} == {i for i, (_, c) in classes.items() if c == i}
+
+    mixed = stored(cp.mix_sources(spark, single, SF))
+    copies = {r[0]: r[1] for r in view(single, "b").sql(source_mix.ORACLE).project("doc_id, copies").fetchall() if r[1]}
+    assert Counter(r["doc_id"] for r in mixed.select("doc_id").collect()) == copies
+
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    texts = {r["doc_id"]: r["text"] for r in mixed.collect()}
+    for r in cp.encode(spark, mixed, SF).collect():
+        assert r["ids"] == lib.encode_ordinary(texts[r["doc_id"]] or "")
+
+
+def test_toxic_stage_drops_what_its_score_says(spark):
+    from chronolith.llm import toxicity
+
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = {r["doc_id"] for r in cp.drop_toxic(spark, docs, sf).collect()}
+    scores = {r["doc_id"]: r["score"] for r in toxicity.op9_toxicity(spark, sf).collect()}
+    assert kept == {i for i, s in scores.items() if s < 0.5}
