@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import components, merged, ship, stored, table
 
-#: Vectors of a block (at most, about) and of a tile, and the least number of blocks.
-BLOCK, TILE, LEAST_BLOCKS = 16_384, 512, 6
+#: Bytes of a block (at most, about), vectors of a tile, and the least number of blocks.
+BLOCK_BYTES, TILE, LEAST_BLOCKS = 8 << 20, 512, 6
 #: Share of a tile's pairs beyond which all its products are completed at once.
 DENSE = 0.02
 
@@ -165,7 +165,7 @@ def _linked(fit: DataFrame, dim: int, n: int, threshold: float) -> DataFrame:
     spark = fit.sparkSession
     unit = F.transform("v", lambda x: x / F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, y: a + y * y)))
     turn = spark.sparkContext.broadcast(axes(fit.select(unit.alias("v")), dim))
-    blocks = max(LEAST_BLOCKS, -(-n // BLOCK))
+    blocks = max(LEAST_BLOCKS, -(-n * dim * 8 // BLOCK_BYTES))
     own = F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")
     dealt = fit.withColumn("own", own).select("row", "vec_id", "v", "own", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
     dealt = dealt.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("half"), "row", "v")
