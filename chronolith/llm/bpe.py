@@ -21,7 +21,6 @@ from itertools import accumulate
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import ship, table
 
