@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import ship, table
 
-#: Matches whose ids a worker keeps at most; the half not met of late goes.
-CACHE = 1_000_000
+#: Matches whose ids a worker keeps at most (the half not met of late goes), and pairs of tokens whose standing it keeps.
+CACHE, PAIRS = 500_000, 400_000
 #: Unicode's White_Space, as it stands between brackets.
 WHITE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
@@ -152,7 +152,7 @@ class PrefixTable:
         """Adds the last tokens of the prefixes of start to end - 1 bytes."""
         data, last, made, longest = self.data, self.last, self.bpe.made, self.bpe.longest
         known, apart = self.bpe._apart, self.bpe.apart
-        if len(known) > 4 * CACHE:
+        if len(known) > PAIRS:
             known.clear()
         for i in range(start, end):
             for j in range(i - longest if i > longest else 0, i):
