@@ -23,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.5; learned as op9 does, from the same rows of labels."""
     labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0).select("doc_id", "toxic")
     net = toxicity.fit(docs.select("doc_id", "text"), labels)
-    return toxicity.toxicity(docs.select(*COLUMNS, F.col("text").alias("judged")), net, COLUMNS, "judged").where("score < 0.5").select(*COLUMNS)
+    return toxicity.toxicity(docs, net, COLUMNS).where("score < 0.5").select(*COLUMNS)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
