@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import ship, table
+from .common import ship, table, trim
 
 #: Matches whose ids a worker keeps at most (the half not met of late goes), and pairs of tokens whose standing it keeps.
 CACHE, PAIRS = 500_000, 400_000
@@ -234,6 +234,7 @@ def encode_docs(docs: DataFrame, path: str | Callable[[], str], pattern: str, ke
                     ends = pa.array([0, *accumulate(n)], pa.int32())
                     columns.insert(len(keep), pa.ListArray.from_arrays(ends, pa.array(flat, pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *(["ids"] if with_ids else []), "n_tokens", "ids_sha256", "decoded_sha256"])
+        trim()
 
     return docs.mapInArrow(run, fields)
 

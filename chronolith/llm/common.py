@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -34,6 +37,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def trim() -> None:
+    """Gives memory that is no longer used back to the system, where the C library can: processes here live long."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -243,6 +254,7 @@ def repeated_cells(parts: DataFrame, bits: int, blocks: int) -> np.ndarray:
     out = np.zeros((2, 1 << bits >> 3), dtype=np.uint8)
     for r in merged(parts, ["row", "block"], add, "row int, block int, cells binary", last).collect():
         out[r["row"], r["block"] * (width >> 3) : (r["block"] + 1) * (width >> 3)] = np.frombuffer(r["cells"], dtype=np.uint8)
+    trim()
     return out
 
 
