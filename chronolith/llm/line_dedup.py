@@ -10,8 +10,8 @@ DataFrame functions only.
 
 Defined results: a null text stays null and a text without boilerplate stays as it is; a document of boilerplate only
 becomes an empty text, its row stays; a null site counts for no site; rows without doc_id are cleaned by the same
-lines but hold no first occurrence; repeated rows of one doc_id lose the same lines, and are taken as one document for the
-first occurrence. All columns of docs are returned unchanged but for the text, whatever their names.
+lines but hold no first occurrence; rows that share a doc_id are taken as one document for the first occurrence, and each
+loses its own lines: what goes is kept by row, doc_id only chooses the first occurrence. All columns of docs are returned unchanged but for the text, whatever their names.
 """
 
 from __future__ import annotations
@@ -47,18 +47,19 @@ def line_dedup(
     docs: DataFrame, min_sites: int = 5, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", keep_first: bool = True
 ) -> DataFrame:
     """docs with its text cleaned, and n_lines and n_removed added as `__n_lines`, `__n_removed`."""
+    docs = stored(docs.withColumn("__row", F.monotonically_increasing_id()))
     split = F.split(F.col(text_col), "\n", -1)
-    each = docs.select(F.col(id_col).alias("doc_id"), F.col(site_col).cast("string").alias("site"), F.posexplode(split).alias("pos", "line"))
+    each = docs.select("__row", F.col(id_col).alias("doc_id"), F.col(site_col).cast("string").alias("site"), F.posexplode(split).alias("pos", "line"))
     h = F.unhex(F.md5(F.trim(F.col("line"), F.lit(" \t\r\x0b\x0c")).cast("binary")))
-    lines = each.where(F.length(F.trim(F.col("line"), F.lit(" \t\r\x0b\x0c"))) > 0).select("doc_id", "site", "pos", h.alias("h"))
+    lines = each.where(F.length(F.trim(F.col("line"), F.lit(" \t\r\x0b\x0c"))) > 0).select("__row", "doc_id", "site", "pos", h.alias("h"))
     lines = stored(lines)
     bad = boilerplate(lines, min_sites)
     hit = lines.join(bad.hint("merge"), "h")  # as a sort-merge join a frequent line can be split
     if keep_first:
         hit = hit.where(~F.coalesce((F.col("doc_id") == F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos")), F.lit(False)))
-    gone = hit.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("pos").alias("__gone"))
+    gone = hit.groupBy("__row").agg(F.collect_set("pos").alias("__gone"))
     gone = stored(gone)
-    out = docs.join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")), "left").drop("__id")
+    out = docs.join(gone.hint("merge"), "__row", "left").drop("__row")
     # positions as a bitmap of the text's lines would be the same; sets of positions are short
     kept = F.filter(split, lambda line, i: ~F.array_contains(F.col("__gone"), i))
     clean = F.when(F.col("__gone").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))

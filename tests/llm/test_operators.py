@@ -153,6 +153,13 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(docs(spark, []), 5).count() == 0
 
 
+def test_line_dedup_takes_rows_apart(spark):
+    shared = [(k, "Share this", f"s{k}") for k in range(6)]
+    odd = [(None, "Share this\nx", "s0"), (None, "unique\ny", "s1"), (9, "Share this\na", "s2"), (9, "b\nShare this", "s3")]
+    got = line_dedup.line_dedup(docs(spark, shared + odd), 5).where("doc_id is null or doc_id = 9").collect()
+    assert sorted((r["text"], r["__n_lines"], r["__n_removed"]) for r in got) == [("a", 2, 1), ("b", 2, 1), ("unique\ny", 2, 0), ("x", 2, 1)]
+
+
 @pytest.mark.parametrize("sites", [39, 40, 41])
 def test_line_dedup_counts_near_lines_exactly(spark, sites):
     rows = [(k, "same line", f"s{k}") for k in range(sites)]
