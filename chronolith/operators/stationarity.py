@@ -64,8 +64,9 @@ def least_order(df: DataFrame, floor: float = 0.3, step: float = 0.05, price: st
     b = blocked(df, 101)
     d = unblocked(b.select("asset", "ts", price, "__block", "__lent", *[fracdiff(b, ffd_weights(o), price).alias(f"f{k}") for k, o in enumerate(orders)]))
     each = F.array(*[F.struct(F.lit(o).alias("d"), F.col(f"f{k}").alias("x")) for k, o in enumerate(orders)])
-    rows = d.select("asset", "ts", F.explode(each).alias("e")).select("asset", "ts", "e.d", "e.x")
-    found = adf(rows, "x", ("asset", "d")).where((F.col("n") >= least) & F.col("stationary")).groupBy("asset").agg(F.min("d").alias("d"))
+    # adf has a column d of its own, so the order goes by another name there
+    rows = d.select("asset", "ts", F.explode(each).alias("e")).select("asset", "ts", F.col("e.d").alias("tried"), "e.x")
+    found = adf(rows, "x", ("asset", "tried")).where((F.col("n") >= least) & F.col("stationary")).groupBy("asset").agg(F.min("tried").alias("d"))
     return df.select("asset").distinct().join(found, "asset", "left").select("asset", F.coalesce("d", F.lit(1.0)).alias("d"))
 
 

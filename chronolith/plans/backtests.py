@@ -236,7 +236,7 @@ def adf_test(spark, sf_dir):
 @query()
 def least_fracdiff_order(spark, sf_dir):
     d = panel(spark, sf_dir).withColumn("close", F.col("close") + 1)
-    return stationarity.least_order(d, floor=0.3, step=0.35)
+    return stationarity.least_order(d)
 
 
 @query("""select n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) revenue, count(*) n from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1""")
