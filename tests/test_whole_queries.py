@@ -5,8 +5,9 @@ from datetime import datetime, timedelta
 import numpy as np
 import pytest
 
-from chronolith.operators import features, stationarity
+from chronolith.operators import features, regime, stationarity
 from chronolith.plans import catalogue
+from chronolith.plans.base import returns
 
 T0 = datetime(2024, 1, 1)
 
@@ -44,3 +45,18 @@ def test_least_order_tries_every_order(spark, tmp_path):
     assert set(want.values()) - {0.3, 0.65, 1.0}
     got = {r["asset"]: r["d"] for r in catalogue.QUERIES["least_fracdiff_order"](spark, events(spark, tmp_path, series)).collect()}
     assert got == pytest.approx(want)
+
+
+def test_regime_model_is_whole(spark):
+    sf = "/root/testdata/sf0.001"
+    got = catalogue.QUERIES["regime_model"](spark, sf).collect()
+    rows = returns(spark, sf).orderBy("ts").toPandas()
+    assert len(got) == rows["asset"].nunique()
+    for r in got:
+        m = {k: np.array(r[k]) for k in ("start", "trans", "weights", "means", "vars")}
+        assert r["states"] == 4 and m["trans"].shape == (4, 4) and m["weights"].shape == (4, 2) and m["means"].shape == m["vars"].shape == (4, 2, 2)
+        assert all(np.allclose(m[k].sum(axis=-1), 1) for k in ("start", "trans", "weights")) and (m["vars"] >= 1e-2).all()
+        assert (np.diff(regime.state_means(m)[:, 0]) >= 0).all()
+    x = rows[rows["asset"] == r["asset"]][["ret", "volume"]].to_numpy(dtype=float)
+    want = regime.sorted_by(regime.fit_model(x, states=4, rounds=200, tries=3), 0)
+    assert all(np.allclose(m[k], want[k], atol=1e-6) for k in m)
