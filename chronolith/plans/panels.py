@@ -99,14 +99,19 @@ SEGMENT_ROWS = f"""{RANKED}, {SEGMENTS}, rowed as (select n.*, segment, case whe
   from n join segments on rn >= train_start and rn < test_end), seg as (select * from rowed where split is not null)"""
 
 
+def segments(spark, d):
+    """The segments of the longest series of d; one aggregated number."""
+    return WF.segments(spark, d.groupBy("asset").count().agg(F.max("count")).first()[0] or 0)
+
+
 def segment_rows(spark, sf_dir):
     d = split.numbered(returns(spark, sf_dir)).drop("n")
-    return WF.rows(d, WF.segments(spark, 720))
+    return WF.rows(d, segments(spark, d))
 
 
 @query(f"with {SEGMENTS} select * from segments")
 def wfo_segments(spark, sf_dir):
-    return WF.segments(spark, 720)
+    return segments(spark, returns(spark, sf_dir))
 
 
 @query(f"with {SEGMENT_ROWS} select asset, segment, split, count(*) as rows, min(ts) first_ts, max(ts) last_ts from seg group by 1, 2, 3")
@@ -120,7 +125,7 @@ k as (select asset, segment, 'eval' split, rn from j where rn >= train_end - 36
 select asset, segment, split, count(*) as rows, min(rn) first_rn, max(rn) last_rn from k group by 1, 2, 3""")
 def wfo_context_rows(spark, sf_dir):
     d = split.numbered(returns(spark, sf_dir)).drop("n")
-    got = split.with_context(d, WF, WF.segments(spark, 720), 36).where("is_context")
+    got = split.with_context(d, WF, segments(spark, d), 36).where("is_context")
     return got.groupBy("asset", "segment", "split").agg(F.count("*").alias("rows"), F.min("rn").cast("long").alias("first_rn"), F.max("rn").cast("long").alias("last_rn"))
 
 

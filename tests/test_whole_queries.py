@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from oracle import duck, same
 
 from chronolith.operators import features, regime, stationarity
 from chronolith.plans import catalogue
@@ -47,6 +48,13 @@ def test_least_order_tries_every_order(spark, tmp_path):
     assert got == pytest.approx(want)
 
 
+@pytest.mark.parametrize("name", ["wfo_segments", "wfo_rows_per_split", "wfo_context_rows", "robust_scale_train_only"])
+def test_segments_cover_longer_series(spark, tmp_path, name):
+    rng = np.random.default_rng(3)
+    sf = events(spark, tmp_path, {"a": rng.uniform(1, 9, 960), "b": rng.uniform(1, 9, 960)})
+    same(catalogue.QUERIES[name](spark, sf), duck(sf), catalogue.ORACLES[name].replace("range(0, 3)", "range(0, 5)"))  # 959 returns hold five segments
+
+
 def test_regime_model_is_whole(spark):
     sf = "/root/testdata/sf0.001"
     got = catalogue.QUERIES["regime_model"](spark, sf).collect()
