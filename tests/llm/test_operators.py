@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from reference import components as plain_components
-from reference import near_duplicates, secrets, substrings
+from reference import near_duplicates, secrets, shingles, substrings
 
 from chronolith.llm import bpe, common, exact_dedup, language_id, line_dedup, ngram_join, secrets as scan, source_mix, substring_dedup, toxicity, vector_dedup
 
@@ -267,6 +267,20 @@ def test_similar_pairs():
     assert set(ngram_join.similar_pairs(rows, Fraction(3, 4))) == want and want
 
 
+@pytest.mark.parametrize("block", [4, 256])
+def test_ngram_join_returns_every_link(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    w = [f"w{k}" for k in range(120)]
+    rows = texts(5) + [(100 + k, " ".join([*w[: 3 * k], f"new{k}", *w[3 * k + 1 :]])) for k in range(12)]
+    first = {}
+    for i, t in sorted(rows):
+        first.setdefault(frozenset(shingles(t)), i)
+    sets = [(i, s) for s, i in first.items() if s]
+    want = {(i, j): len(s & o) for i, s in sets for j, o in sets if i < j and 4 * len(s & o) >= 3 * len(s | o)}
+    got = ngram_join.ngram_join(docs(spark, rows))[1].collect()
+    assert len(got) == len(want) and {(min(r["a"], r["b"]), max(r["a"], r["b"])): r["overlap"] for r in got} == want
+
+
 # ---------------------------------------------------------------- 6, secrets
 
 
