@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import gc
+import re
 import tempfile
 import uuid
 
@@ -19,24 +21,70 @@ from ..runtime import ship  # noqa: F401  for the operators
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes worked on at once in a Python worker; a longer text is worked on alone.
 CHUNK_BYTES = 1 << 20
+#: Bytes whose words are hashed at once: the arrays for that are 8 bytes a byte, several of them.
+PIECE_BYTES = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path in spark.checkpoint.dir; only where that is unset (tests) a temporary folder is set for it."""
+    """A new path in spark.checkpoint.dir. Where that is unset a temporary folder is set for it, but only in a session of
+    one machine (tests); a cluster must name a folder that all its machines share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is unset: it must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="chronolith-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Paths stored by the `tidy` functions that are running, innermost last; and paths that returned frames still read.
+_running: list[list[str]] = []
+_left: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: lineage ends there, and any executor can be lost."""
     path = shared_dir(df.sparkSession)
+    (_running[-1] if _running else _left).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tidy(f):
+    """f, after which the tables that it stored are deleted but for those that its result (frames, or one) still reads.
+
+    Those belong to the function around it, if that is tidy too, or stay until `release`.
+    """
+
+    @functools.wraps(f)
+    def run(*args, **kwargs):
+        _running.append([])
+        result = None
+        try:
+            result = f(*args, **kwargs)
+        finally:
+            made, around = _running.pop(), _running[-1] if _running else _left
+            frames = [d for d in (result if isinstance(result, tuple) else (result,)) if isinstance(d, DataFrame)]
+            read = {file.rsplit("/", 2)[-2] for d in frames for file in d.inputFiles()}
+            around += [p for p in made if p.rsplit("/", 1)[-1] in read]
+            delete(SparkSession.active(), [p for p in made if p.rsplit("/", 1)[-1] not in read])
+        return result
+
+    return run
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all that finished operators have left for their results: those can't be read any more."""
+    delete(spark, _left)
+    _left.clear()
+
+
 def trim() -> None:
     """Gives memory that is no longer used back to the system, where the C library can: processes here live long."""
     gc.collect()
@@ -60,8 +108,8 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, upper, lower))
 
 
-def lookup(rows: DataFrame, facts: DataFrame, key: str, row_id: str, salts: int = 256) -> DataFrame:
-    """rows with the columns of facts, which has one row for each key (left join).
+def lookup(rows: DataFrame, facts: DataFrame, key: str, row_id: str, how: str = "left", salts: int = 256) -> DataFrame:
+    """rows with the columns of facts, which has one row for each key (left join, or as `how` says).
 
     A key may hold a third of all rows: rows are first reduced to one per key and salt, the facts are
     joined to those (at most `salts` a key), and rows then find them by key and salt.
@@ -70,7 +118,7 @@ def lookup(rows: DataFrame, facts: DataFrame, key: str, row_id: str, salts: int
     salt = F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int")
     salted = rows.withColumn("__salt", salt)
     few = salted.where(F.col(key).isNotNull()).groupBy(key, "__salt").agg(F.lit(1).alias("__one")).drop("__one")
-    return salted.join(few.join(facts, key), [key, "__salt"], "left").drop("__salt")
+    return salted.join(few.join(facts, key), [key, "__salt"], how).drop("__salt")
 
 
 # ---------------------------------------------------------------- words as numbers
@@ -110,6 +158,13 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def _word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
+    pw, inv = _power(_B1, len(buf) + 1)
+    sums = np.zeros(len(buf) + 1, dtype=np.uint64)
+    np.cumsum(((_LOWER[buf] if lower else buf).astype(np.uint64) + np.uint64(1)) * pw[: len(buf)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
+
+
 class Words:
     """Words of a run of texts: starts and ends (bytes in buf), first (index of each text's first word, and the end), hash."""
 
@@ -127,10 +182,13 @@ class Words:
         self.starts = np.flatnonzero(inside & (~before | edge[:-1]))
         self.ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
         self.first = np.searchsorted(self.starts, offsets)
-        pw, inv = _power(_B1, len(buf) + 1)
-        sums = np.zeros(len(buf) + 1, dtype=np.uint64)
-        np.cumsum(((_LOWER[buf] if lower else buf).astype(np.uint64) + np.uint64(1)) * pw[: len(buf)], out=sums[1:])
-        self.hash = mix((sums[self.ends] - sums[self.starts]) * inv[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        self.hash = np.empty(len(self.starts), dtype=np.uint64)
+        k = 0
+        while k < len(self.starts):  # a piece at a time: a word's hash doesn't depend on its place
+            a = self.starts[k]
+            j = max(k + 1, int(np.searchsorted(self.ends, a + PIECE_BYTES, side="right")))
+            self.hash[k:j] = _word_hashes(buf[a : self.ends[j - 1]], self.starts[k:j] - a, self.ends[k:j] - a, lower)
+            k = j
 
     def runs(self, k: int, base: int = _B2) -> np.ndarray:
         """Hash of the k words from each word on; only those within one text mean something (see `whole`)."""
@@ -273,33 +331,52 @@ def maybe_repeated(h: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
 # ---------------------------------------------------------------- components
 
 
+#: An id that more rows than this share is looked up by salted keys.
+HOT = 50_000
+
+
+def _met(rows: DataFrame, facts: DataFrame, key: str, row_id: str, most: int) -> DataFrame:
+    """rows with the columns of facts by key, which `most` rows share at most: by salted keys if those are many."""
+    return lookup(rows, facts, key, row_id, "inner") if most > HOT else rows.join(facts, key)
+
+
+@tidy
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component) for every id in edges (a, b): component is the smallest id reachable.
 
     Contraction by random priorities: each id points to the neighbour (or itself) whose hashed id is smallest,
     pointers are followed once more, and edges are rewritten between the ids pointed to, until none is left.
-    Every round is written to the shared folder. No ids are gathered in the driver.
+    Every round is written to the shared folder. No ids are gathered in the driver. Where an id has very many edges, or
+    very many point to one, they are looked up by salted keys.
     """
     rest = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    maps: list[DataFrame] = []
-    while not rest.isEmpty():
-        if len(maps) >= rounds:
-            raise RuntimeError("components: no end within the given rounds")
+    maps: list[tuple[DataFrame, int]] = []
+    while True:
         both = rest.union(rest.select("b", "a"))
         rank = lambda c: F.struct(F.xxhash64(c).alias("p"), F.col(c).alias("i"))
-        near = both.groupBy(F.col("a").alias("id")).agg(F.min(rank("b")).alias("m"))
-        near = stored(near.select("id", F.least("m", rank("id"))["i"].alias("to")))
-        jump = near.join(near.select(F.col("id").alias("to"), F.col("to").alias("to2")), "to").select("id", F.col("to2").alias("to"))
+        near = both.groupBy(F.col("a").alias("id")).agg(F.min(rank("b")).alias("m"), F.count("*").alias("n"))
+        near = stored(near.select("id", F.least("m", rank("id"))["i"].alias("to"), "n"))
+        ids, most = near.agg(F.count("*"), F.max("n")).first()
+        if not ids:
+            break
+        if len(maps) >= rounds:
+            raise RuntimeError("components: no end within the given rounds")
+        jump = _met(near, near.select(F.col("id").alias("to"), F.col("to").alias("to2")), "to", "id", most).select("id", F.col("to2").alias("to"))
         jump = stored(jump)
-        maps.append(jump)
-        moved = rest.join(jump.select(F.col("id").alias("a"), F.col("to").alias("a2")), "a").join(jump.select(F.col("id").alias("b"), F.col("to").alias("b2")), "b")
+        maps.append((jump, ids))
+        moved = _met(rest, jump.select(F.col("id").alias("a"), F.col("to").alias("a2")), "a", "b", most)
+        moved = _met(moved, jump.select(F.col("id").alias("b"), F.col("to").alias("b2")), "b", "a", most)
         rest = stored(moved.where("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct())
     if not maps:
         return rest.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    root = maps[-1]
-    for m in reversed(maps[:-1]):
+    root = maps[-1][0]
+    for m, ids in reversed(maps[:-1]):
         later = root.select(F.col("id").alias("to"), F.col("to").alias("root"))
-        root = m.join(later, "to", "left").select("id", F.coalesce("root", "to").alias("to"))
+        if ids > HOT:
+            root = lookup(m, later, "to", "id").select("id", F.coalesce("root", "to").alias("to"))
+        else:
+            root = m.join(later, "to", "left").select("id", F.coalesce("root", "to").alias("to"))
     root = stored(root)
-    least = stored(root.groupBy("to").agg(F.least(F.min("id"), F.col("to")).alias("component")))
-    return root.join(least, "to").select("id", "component")
+    least = stored(root.groupBy("to").agg(F.least(F.min("id"), F.col("to")).alias("component"), F.count("*").alias("n")))
+    most = least.agg(F.max("n")).first()[0]
+    return _met(root, least.drop("n"), "to", "id", most).select("id", "component")
