@@ -3,7 +3,8 @@
 Each line's hash gets a HyperLogLog sketch of the sites it occurs on, merged by aggregation; lines whose estimate is
 near the threshold get exact distinct counts; lines on `min_sites` sites or more are cross-site boilerplate and go
 everywhere but at their first occurrence (smallest doc_id, then position; so that a passage is never lost from the
-corpus). `keep_first=False` removes that one too.
+corpus). `keep_first=False` removes that one too. What goes is kept as a mask of a byte a line, so that a text of very many lines
+takes time in proportion.
 
 Lines are what `\n` separates, compared without the spaces around them; blank lines are never boilerplate.
 DataFrame functions only.
@@ -11,15 +12,15 @@ DataFrame functions only.
 Defined results: a null text stays null and a text without boilerplate stays as it is; a document of boilerplate only
 becomes an empty text, its row stays; a null site counts for no site; rows without doc_id are cleaned by the same
 lines but hold no first occurrence; rows that share a doc_id are taken as one document for the first occurrence, and each
-loses its own lines: what goes is kept by row, doc_id only chooses the first occurrence. All columns of docs are returned unchanged but for the text, whatever their names.
+loses its own lines: what goes is kept by id and text together. All columns of docs are returned unchanged but for the text, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import stored, table, tidy
 
 #: log2 of a sketch's registers; its standard error is about 1.04 / sqrt(4096), 1.6 %.
 LG_K = 12
@@ -43,11 +44,19 @@ def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
     return stored(spread.where(F.col("sites") > high).select("h", "first").union(near.join(exact.select("h"), "h").select("h", "first")))
 
 
+def mask(gone: Column) -> Column:
+    """A byte for each line up to the last of `gone`, rising positions: 1 if it goes, 0 if it stays."""
+    steps = F.transform(gone, lambda pos, k: F.concat(F.repeat(F.lit("0"), pos - F.when(k > 0, F.get(gone, k - 1)).otherwise(-1) - 1), F.lit("1")))
+    return F.array_join(steps, "").cast("binary")
+
+
+@tidy
 def line_dedup(
     docs: DataFrame, min_sites: int = 5, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", keep_first: bool = True
 ) -> DataFrame:
     """docs with its text cleaned, and n_lines and n_removed added as `__n_lines`, `__n_removed`."""
-    docs = stored(docs.withColumn("__row", F.monotonically_increasing_id()))
+    # what goes from a row depends on its id and text only, so a hash of both is its key; it is never null
+    docs = docs.withColumn("__row", F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.lit(" "), F.coalesce(F.col(text_col), F.lit(""))).cast("binary"))))
     split = F.split(F.col(text_col), "\n", -1)
     each = docs.select("__row", F.col(id_col).alias("doc_id"), F.col(site_col).cast("string").alias("site"), F.posexplode(split).alias("pos", "line"))
     h = F.unhex(F.md5(F.trim(F.col("line"), F.lit(" \t\r\x0b\x0c")).cast("binary")))
@@ -57,14 +66,14 @@ def line_dedup(
     hit = lines.join(bad.hint("merge"), "h")  # as a sort-merge join a frequent line can be split
     if keep_first:
         hit = hit.where(~F.coalesce((F.col("doc_id") == F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos")), F.lit(False)))
-    gone = hit.groupBy("__row").agg(F.collect_set("pos").alias("__gone"))
-    gone = stored(gone)
+    gone = stored(hit.groupBy("__row").agg(F.array_sort(F.collect_set("pos")).alias("__gone")))
+    gone = gone.select("__row", F.size("__gone").cast("long").alias("__n_gone"), mask(F.col("__gone")).alias("__mask"))
     out = docs.join(gone.hint("merge"), "__row", "left").drop("__row")
-    # positions as a bitmap of the text's lines would be the same; sets of positions are short
-    kept = F.filter(split, lambda line, i: ~F.array_contains(F.col("__gone"), i))
-    clean = F.when(F.col("__gone").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    out = out.withColumns({"__n_lines": F.coalesce(F.size(split), F.lit(0)).cast("long"), "__n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"), "__text": clean})
-    return out.withColumn(text_col, F.col("__text")).drop("__text", "__gone")
+    # a line's byte in the mask is found by its place, so the work is linear in the lines
+    kept = F.filter(split, lambda line, i: F.substring(F.col("__mask"), i + 1, F.lit(1)) != F.lit(b"1"))
+    clean = F.when(F.col("__mask").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    out = out.withColumns({"__n_lines": F.coalesce(F.size(split), F.lit(0)).cast("long"), "__n_removed": F.coalesce("__n_gone", F.lit(0)).cast("long"), "__text": clean})
+    return out.withColumn(text_col, F.col("__text")).drop("__text", "__mask", "__n_gone")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

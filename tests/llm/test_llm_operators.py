@@ -65,6 +65,35 @@ def test_sketch_steps_round_trip():
         assert common.ungaps(common.gaps(np.array(at, dtype=np.int64))).tolist() == at
 
 
+def test_word_hashes_are_those_of_any_piece(monkeypatch):
+    rng = random.Random(3)
+    raw = "".join(rng.choice("abcXYZ  \n") for _ in range(5000)) + "long" * 400 + " x"
+    buf = np.frombuffer(raw.encode(), dtype=np.uint8)
+    whole = common.Words(buf, np.array([0, 700, len(buf)]), lower=True)
+    monkeypatch.setattr(common, "PIECE_BYTES", 64)
+    parts = common.Words(buf, np.array([0, 700, len(buf)]), lower=True)
+    assert (whole.hash == parts.hash).all() and (whole.starts == parts.starts).all()
+
+
+def test_stored_tables_go_when_nothing_reads_them(spark):
+    import os
+
+    kept = []
+
+    @common.tidy
+    def work():
+        a = common.stored(spark.range(10))
+        b = common.stored(a.where("id > 4"))
+        kept.extend([a, b])
+        return b
+
+    out = work()
+    a, b = (d.inputFiles() for d in kept)
+    assert out.count() == 5 and not any(os.path.exists(f.removeprefix("file://")) for f in a) and all(os.path.exists(f.removeprefix("file://")) for f in b)
+    common.release(spark)
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in b)
+
+
 def test_repeated_cells_lose_nothing(spark):
     rng = np.random.default_rng(0)
     h = rng.integers(0, 2**63, 4000).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -83,8 +112,9 @@ def test_repeated_cells_lose_nothing(spark):
     assert hit[:500].all() and hit[500:].mean() < 0.05
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_components(spark, seed):
+@pytest.mark.parametrize(("seed", "hot"), [(0, 50_000), (1, 50_000), (2, 3)])
+def test_components(spark, monkeypatch, seed, hot):
+    monkeypatch.setattr(common, "HOT", hot)
     rng = random.Random(seed)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(400, 460)] + [(500, k) for k in range(501, 600)]
     got = {r["id"]: r["component"] for r in common.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
@@ -160,6 +190,19 @@ def test_line_dedup_takes_rows_apart(spark):
     assert sorted((r["text"], r["__n_lines"], r["__n_removed"]) for r in got) == [("a", 2, 1), ("b", 2, 1), ("unique\ny", 2, 0), ("x", 2, 1)]
 
 
+def test_line_dedup_of_odd_rows_and_clashing_names(spark):
+    d = docs(spark, ODD).withColumns({c: F.lit("y") for c in ("pos", "line", "site", "first", "sites", "n")})
+    out = line_dedup.line_dedup(d, 2).collect()
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in out))) == sorted(map(repr, ((i, t) for i, t in ODD))) and all(r["pos"] == r["first"] == "y" for r in out)
+
+
+def test_line_dedup_of_very_many_lines(spark):
+    shared = "\n".join(f"line {k}" for k in range(100_000))
+    rows = [(k, shared + f"\nown {k}", f"s{k}") for k in range(5)]
+    got = {r["doc_id"]: r for r in line_dedup.line_dedup(docs(spark, rows), 5).collect()}
+    assert got[0]["text"] == rows[0][1] and all(got[k]["text"] == f"own {k}" and got[k]["__n_removed"] == 100_000 and got[k]["__n_lines"] == 100_001 for k in range(1, 5))
+
+
 @pytest.mark.parametrize("sites", [39, 40, 41])
 def test_line_dedup_counts_near_lines_exactly(spark, sites):
     rows = [(k, "same line", f"s{k}") for k in range(sites)]
