@@ -410,14 +410,55 @@ def test_tiles_find_all_pairs():
     x = rng.normal(size=(300, 32)) * np.linspace(2, 0.1, 32)
     x[::7] = x[0] + rng.normal(size=(43, 32)) * 0.1
     half = (np.arange(300) % 2).astype(int)
-    count, least = vector_dedup.block_links(np.arange(300), x, half, False, np.eye(32), 0.9)
+    times = rng.integers(1, 4, 300)
+    count, least, _ = vector_dedup.block_links(x, times, half, False, np.eye(32), 0.9)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = (u @ u.T >= 0.9) & (half[:, None] != half[None])
-    assert (count == s.sum(axis=1)).all()
+    assert (count == (s * times).sum(axis=1)).all()
     c = plain_components(range(300), [(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(s, 1)), strict=True)])
     assert [int(k) for k in least] == [c[i] for i in range(300)]
 
 
+def test_blocks_that_lie_apart_are_not_compared(spark, monkeypatch):
+    """Clustered vectors: fewer pairs of blocks and tiles than all of them, and every link is found."""
+    monkeypatch.setattr(vector_dedup, "BLOCK_BYTES", 40 * 16 * 8)
+    monkeypatch.setattr(vector_dedup, "TILE", 8)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(10, 16))
+    e = np.repeat(base, 60, axis=0) + rng.normal(size=(600, 16)) * rng.choice((0.02, 0.1), (600, 1))
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(e)], "vec_id bigint, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_dedup.vector_dedup(d).collect()}
+    u = e / np.linalg.norm(e, axis=1, keepdims=True)
+    s = np.triu(u @ u.T >= 0.9, 1)
+    c = plain_components(range(600), [(int(i), int(j)) for i, j in zip(*np.nonzero(s), strict=True)])
+    assert got == {i: (int(s[i].sum() + s[:, i].sum()), c[i]) for i in range(600)}
+    x, half = e[np.argsort(np.arange(600) % 2, kind="stable")], np.repeat([0, 1], 300)
+    assert vector_dedup.block_links(x, np.ones(600, dtype=int), half, False, np.eye(16), 0.9)[2] < 0.5 * (300 / 8) ** 2
+
+
+def test_pairs_of_blocks_that_lie_apart(spark):
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(12, 8)) * 3, 50, axis=0) + rng.normal(size=(600, 8)) * 0.01
+    rows = [(k.to_bytes(16, "little"), 1, v.tobytes()) for k, v in enumerate(x)]
+    d = spark.createDataFrame(rows, "key binary, n bigint, data binary")
+    turn = vector_dedup.axes(d, 8)
+    tree = vector_dedup.Tree(vector_dedup._unit(x) @ turn, 12)
+    pairs = vector_dedup.block_pairs(d, 8, turn, tree, 1, 0.9).collect()
+    assert tree.leaves == 12 and 12 <= len(pairs) < 40  # of 78
+
+
+def test_copies_of_vectors_and_cosines_at_the_threshold(spark):
+    a, b = [3.0, 4.0], [4.0, 3.0]  # cosine 0.96
+    near = [1.0, math.sqrt(1 / 0.81 - 1)]  # cosine 0.9 with (1, 0), but for rounding
+    rows = [(k, a) for k in range(40)] + [(50, b), (51, [-0.0, 1.0]), (52, [0.0, 2.0]), (60, [1.0, 0.0]), (61, near)]
+    d = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_dedup.vector_dedup(d).collect()}
+    e = np.array([v for _, v in rows])
+    links = np.einsum("ik,jk->ij", e, e) / (np.sqrt(np.einsum("ik,ik->i", e, e))[:, None] * np.sqrt(np.einsum("ik,ik->i", e, e))[None]) >= 0.9
+    c = plain_components([i for i, _ in rows], [(rows[i][0], rows[j][0]) for i, j in zip(*np.nonzero(np.triu(links, 1)), strict=True)])
+    assert got == {i: (int(links[k].sum()) - 1, c[i]) for k, (i, _) in enumerate(rows)}
+
+
 # ---------------------------------------------------------------- 8 and 9, classifiers
 
 

@@ -54,8 +54,9 @@ def test_vectors(spark):
     u = e / np.linalg.norm(e, axis=1, keepdims=True)
     links = [(ids[i], ids[j]) for i, j in zip(*np.nonzero(np.triu(u @ u.T >= 0.9, 1)), strict=True)]
     c = components(ids, links)
-    got = {r["vec_id"]: (r["component_id"], r["kept"]) for r in QUERIES["op2_vector_dedup"](spark, SF).collect()}
-    assert got == {i: (c[i], c[i] == i) for i in ids}
+    n = {i: sum(i in x for x in links) for i in ids}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in QUERIES["op2_vector_dedup"](spark, SF).collect()}
+    assert got == {i: (n[i], c[i], c[i] == i) for i in ids}
 
 
 def test_language_held_out(spark, documents):
