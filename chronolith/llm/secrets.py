@@ -2,12 +2,13 @@
 
 Base spans are found by patterns within each text. Beside them, every bare token of 20 characters or more that mixes
 letters and digits is a candidate. The values of all spans and candidates are hashed and aggregated over the corpus by
-distinct repositories and owners: a value of `max_owners` owners at most is owner-specific and live-looking, one of
-more owners is a widely copied example. Live-looking candidates are added as spans of the kind `owned`; base spans
+distinct repositories and owners, where copies of one text count once (for the least owner and repository among them):
+a value of `max_owners` owners and `max_repos` repositories at most is owner-specific and live-looking, one of more owners or more
+repositories is a widely copied example. Live-looking candidates are added as spans of the kind `owned`; base spans
 always stay and are told apart by the counts n_live and n_example.
 
-Positions are code points. They come from the text that lies between matches (split) and the matches themselves
-(regexp_extract_all), so no function beyond Spark's own is needed.
+Positions are code points: running sums, over a row's matches in their order, of what lies between matches (split) and the matches
+themselves (regexp_extract_all). Matches are rows there, so a text of very many takes time in proportion.
 
 Defined results: a null text is empty and has no spans; a null owner is an owner of its own, and a null repository
 likewise; repeated rows give the same spans each; an empty table gives an empty result; further columns are passed
@@ -16,10 +17,10 @@ over, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lookup, stored, table
+from .common import lookup, stored, table, tidy
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: A run shorter than the least length has no longer run within it, so the length can be part of these two.
@@ -30,71 +31,68 @@ BARE = r"[A-Za-z0-9+/_=-]{20,}+"
 KINDS = ("assign", "access", "hex", "owned")
 
 
-NO_SPANS = "cast(array() as array<struct<s:int,k:int,e:int,v:string>>)"
+def matches(text: Column, pattern: str, kind: int) -> Column:
+    """array<struct<k, i, g, hit>>: kind, number and text of each match, and the characters between it and the one before."""
+    none = F.expr("cast(array() as array<struct<k:int,i:int,g:int,hit:string>>)")
+    parts = F.arrays_zip(F.transform(F.split(text, pattern, -1), F.char_length).alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    item = lambda x, i: F.struct(F.lit(kind).alias("k"), i.alias("i"), x["g"].alias("g"), x["hit"].alias("hit"))
+    return F.when(F.rlike(text, F.lit(pattern)), F.transform(parts, item)).otherwise(none)
 
 
-def spans(text: Column, pattern: str, kind: int, value: int = 0, least: int = 0) -> Column:
-    """array<struct<s, k, e, v>>: start, kind, end, value of each match whose value has `least` characters or more.
+def spans(found: DataFrame) -> DataFrame:
+    """found (row, k, i, g, hit, further columns): s, e and v of each match that counts.
 
-    What lies between the matches and the matches are zipped and folded once, so that each is found once a text.
+    Assigned values need 12 characters; bare tokens a digit, a letter, and no base span that overlaps them.
     """
-    none = F.expr(NO_SPANS)
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-
-    def step(acc, x):
-        s = acc["at"] + F.char_length(x["gap"])
-        e = s + F.char_length(x["hit"])
-        v = x["hit"] if value == 0 else F.regexp_extract(x["hit"], pattern, value)
-        item = F.struct(s.cast("int").alias("s"), F.lit(kind).cast("int").alias("k"), e.cast("int").alias("e"), v.alias("v"))
-        good = x["hit"].isNotNull() & ((F.char_length(v) >= least) if least else F.lit(True))
-        return F.struct(F.coalesce(e, acc["at"]).cast("int").alias("at"), F.when(good, F.array_append(acc["out"], item)).otherwise(acc["out"]).alias("out"))
-
-    folded = F.aggregate(parts, F.struct(F.lit(0).cast("int").alias("at"), none.alias("out")), step)["out"]
-    return F.when(F.rlike(text, F.lit(pattern)), folded).otherwise(none)
-
-
-def base_spans(text: Column) -> Column:
-    """The spans of the three base kinds, by start, then kind as listed."""
-    return F.array_sort(F.concat(spans(text, ASSIGN, 0, 1, 12), spans(text, ACCESS, 1), spans(text, HEX, 2)))
+    order = Window.partitionBy("row", "k").orderBy("i")
+    e = F.sum(F.col("g") + F.coalesce(F.char_length("hit"), F.lit(0))).over(order)
+    found = found.withColumn("e", e.cast("int")).where("hit is not null")
+    found = found.withColumn("s", F.col("e") - F.char_length("hit")).withColumn("v", F.when(F.col("k") == 0, F.regexp_extract("hit", ASSIGN, 1)).otherwise(F.col("hit")))
+    found = found.where((F.col("k") != 0) | (F.char_length("v") >= 12)).drop("i", "g", "hit")
+    base, before = F.col("k") < 3, (Window.unboundedPreceding, 0)
+    ends = F.max(F.when(base, F.col("e"))).over(Window.partitionBy("row").orderBy("s", "k").rowsBetween(*before))
+    # the base spans from here on, as those before in falling order: a frame that ends with the row takes one step a row
+    starts = F.min(F.when(base, F.col("s"))).over(Window.partitionBy("row").orderBy(F.desc("s"), F.desc("k")).rowsBetween(*before))
+    found = found.withColumns({"ends": ends, "starts": starts})
+    free = F.col("v").rlike("[0-9]") & F.col("v").rlike("[A-Za-z]") & F.coalesce(F.col("ends") <= F.col("s"), F.lit(True)) & F.coalesce(F.col("starts") >= F.col("e"), F.lit(True))
+    return found.where(base | free).drop("ends", "starts")
 
 
 def ownership(values: DataFrame) -> DataFrame:
-    """values (h, repo, owner): (h, n_repos, n_owners), the distinct repositories and owners of each value.
+    """values (h, copy, repo, owner): (h, n_repos, n_owners), the distinct repositories and owners of each value.
 
-    Each step reduces rows before it shuffles them, so a value may be in any share of all rows.
+    Rows of one copy count once. Each step reduces rows before it shuffles them, so a value may be in any share of all rows.
     """
-    repos = values.groupBy("h", "owner", "repo").agg(F.count("*").alias("n"))
+    once = values.groupBy("h", "copy").agg(F.min(F.struct("owner", "repo")).alias("first"))
+    repos = once.groupBy("h", F.col("first.owner").alias("owner"), F.col("first.repo").alias("repo")).agg(F.count("*").alias("n"))
     owners = repos.groupBy("h", "owner").agg(F.count("*").alias("n_repos"))
     return owners.groupBy("h").agg(F.sum("n_repos").alias("n_repos"), F.count("*").alias("n_owners"))
 
 
+@tidy
 def secret_scan(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = 1
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = 1, max_repos: int = 5
 ) -> DataFrame:
-    """One row per row of docs: doc_id, base and spans (arrays of s, k, e, v, and live for `spans`), n_live, n_example."""
+    """One row per row of docs: doc_id, base (array of s, k, e, v), spans (with live, n_owners and n_repos of the value too), n_live, n_example."""
     text = F.coalesce(F.col(text_col), F.lit(""))
+    none = F.lit("\x01")
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"),
-        F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), text.alias("t"),
-    ).select("row", "doc_id", "repo", "owner", base_spans(F.col("t")).alias("base"), spans(F.col("t"), BARE, 3).alias("bare"))
-    free = F.filter(
-        "bare",
-        lambda x: x["v"].rlike("[0-9]") & x["v"].rlike("[A-Za-z]") & ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])),
-    )
-    rows = stored(rows.select("row", "doc_id", "repo", "owner", "base", free.alias("bare")))
-    each = rows.select("row", "repo", "owner", F.explode(F.concat("base", "bare")).alias("x"))
-    each = each.select("row", "repo", "owner", F.unhex(F.md5(F.col("x.v").cast("binary"))).alias("h"))
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("copy"),
+        F.coalesce(F.col(repo_col).cast("string"), none).alias("repo"), F.coalesce(F.col(owner_col).cast("string"), none).alias("owner"), text.alias("t"),
+    )
+    found = F.concat(*[matches(F.col("t"), p, k) for k, p in enumerate((ASSIGN, ACCESS, HEX, BARE))])
+    rows = stored(rows.select("row", "doc_id", "copy", "repo", "owner", found.alias("found")))
+    each = spans(rows.select("row", "copy", "repo", "owner", F.inline("found")))
+    each = stored(each.withColumn("h", F.unhex(F.md5(F.col("v").cast("binary")))))
     freq = stored(ownership(each))
-    live = lookup(each, freq, "h", "row").where(F.col("n_owners") <= max_owners).groupBy("row").agg(F.collect_set("h").alias("live"))
-    out = rows.join(live, "row", "left")
-    is_live = lambda x: F.coalesce(F.array_contains("live", F.unhex(F.md5(x["v"].cast("binary")))), F.lit(False))
-    marked = F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["v"].alias("v"), is_live(x).alias("live")))
-    added = F.transform(
-        F.filter("bare", is_live), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["v"].alias("v"), F.lit(True).alias("live"))
-    )
-    out = out.select("doc_id", "base", F.array_sort(F.concat(marked, added)).alias("spans"))
+    live = (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)
+    marked = lookup(each.select("row", "s", "k", "e", "v", "h"), freq, "h", "row").withColumn("live", live).where((F.col("k") < 3) | F.col("live"))
+    marked = marked.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("s", "k", "e", "v", "live", "n_owners", "n_repos"))).alias("spans"))
+    out = rows.select("row", "doc_id").join(marked, "row", "left")
+    out = out.withColumn("spans", F.coalesce("spans", F.expr("cast(array() as array<struct<s:int,k:int,e:int,v:string,live:boolean,n_owners:bigint,n_repos:bigint>>)")))
+    base = F.transform(F.filter("spans", lambda x: x["k"] < 3), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["v"].alias("v")))
     count = lambda live: F.size(F.filter("spans", lambda x: x["live"] == F.lit(live))).cast("long")
-    return out.withColumns({"n_live": count(True), "n_example": count(False)})
+    return out.select("doc_id", base.alias("base"), "spans", count(True).alias("n_live"), count(False).alias("n_example"))
 
 
 def written(spans: Column) -> Column:
@@ -132,8 +130,9 @@ p as (select r, k, list_sum(list_transform(gaps[:i], lambda x: length(x))) + coa
 q as (select r, k, s::bigint s, (s + n)::bigint e, v from p where k <> 0 or length(v) >= 12),
 f as (select * from q where k < 3 or (regexp_matches(v, '[0-9]') and regexp_matches(v, '[A-Za-z]')
         and not exists (select 1 from q b where b.r = q.r and b.k < 3 and b.s < q.e and q.s < b.e))),
-o as (select v, count(distinct coalesce(source, chr(1))) owners from f join d using (r) group by 1),
-a as (select f.*, owners <= 1 live from f join o using (v)),
+c as (select f.v, md5(d.t) copy, min({{'o': coalesce(source, chr(1)), 'r': coalesce(doc_id::varchar, chr(1))}}) m from f join d using (r) group by 1, 2),
+o as (select v, count(distinct m.o) owners, count(distinct m) repos from c group by 1),
+a as (select f.*, owners <= 1 and repos <= 5 live from f join o using (v)),
 g as (select r, count(*) filter (k = 0) n_assign, count(*) filter (k = 1) n_access, count(*) filter (k = 2) n_hex,
         string_agg({names} || ':' || s || ':' || e, ',' order by s, k) filter (k < 3) base,
         string_agg({names} || ':' || s || ':' || e, ',' order by s, k) filter (k < 3 or live) spans,
