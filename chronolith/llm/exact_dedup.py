@@ -4,7 +4,8 @@ DataFrame functions only. Texts are equal when identical after lower-casing A-Z;
 
 Defined results: an empty table gives an empty result; rows of one doc_id and one text (repeated rows) are
 one document, so all of them are kept or none; a row without doc_id counts in its group's size and is never
-the one that stays, unless no row of the group has an id: then keep_id is null and all its rows stay.
+the one that stays, unless no row of the group has an id when the index first meets it: then keep_id is null and all its rows
+without an id stay. group_size counts the rows of all batches that the index has seen.
 Columns besides the id and the text are passed over, whatever their names.
 """
 
@@ -12,10 +13,11 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, lookup, shared_dir, stored, table
+from .common import ascii_lower, delete, lookup, shared_dir, stored, table, tidy
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -24,36 +26,55 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(norm.cast("binary"), 256)).alias("digest"))
 
 
+#: Digests of a bucket, about: some 200 MB.
+PER_BUCKET = 4_000_000
+
+
 class DigestIndex:
     """Digests seen so far with the id that stays and the number of rows, in a table bucketed and sorted by digest.
 
-    `path` is a folder that all executors share; a path that already holds an index is opened, not overwritten.
+    `path` is a folder that all executors share; a path that already holds an index is opened, not overwritten, and keeps
+    its number of buckets (noted beside it). That is `buckets`, or else what `rows`, the rows expected, call for.
     """
 
     SCHEMA = "digest binary, keep_id bigint, group_size bigint"
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path, buckets
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, rows: int = 0):
+        self.spark, self.path, self.note = spark, path, f"{path}-buckets"
+        try:
+            self.buckets = spark.read.schema("buckets int").parquet(self.note).first()["buckets"]
+        except AnalysisException:  # no such folder: a new index
+            self.buckets = buckets or max(16, -(-rows // PER_BUCKET))
+            spark.range(1).select(F.lit(self.buckets).alias("buckets")).write.parquet(self.note)
         self.name = f"digest_index_{uuid.uuid5(uuid.NAMESPACE_URL, path).hex}"
         if not spark.catalog.tableExists(self.name):
             spark.sql(
                 f"CREATE TABLE {self.name} ({self.SCHEMA}) USING parquet "
-                f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
+                f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'"
             )
 
-    def read(self) -> DataFrame:
+    def entries(self) -> DataFrame:
+        """What was appended: a digest's first row has keep_id, later ones only add to its group."""
         return self.spark.table(self.name)
 
+    def read(self) -> DataFrame:
+        """One row a digest; a bucket's rows lie together, so nothing is shuffled."""
+        return self.entries().groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+
+    @tidy
     def add(self, seen: DataFrame) -> DataFrame:
-        """Appends the digests of `seen` (doc_id, digest) that the index lacks; returns them as written.
+        """Appends the digests of `seen` (doc_id, digest) that the index lacks, and the sizes of the groups that it has;
+        returns the former as written.
 
         Rows of one digest are reduced before the shuffle (max and count), so a group may hold any share of all rows.
         Within one batch the largest doc_id stays; against an earlier batch the indexed row stays.
         """
-        groups = seen.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        fresh = stored(groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti"))
+        groups = stored(seen.groupBy("digest").agg(F.max("doc_id").cast("long").alias("keep_id"), F.count("*").alias("group_size")))
+        known = self.entries().select("digest").hint("merge")
+        fresh = stored(groups.join(known, "digest", "left_anti"))
+        again = stored(groups.join(known, "digest", "left_semi").withColumn("keep_id", F.lit(None).cast("long")))
         (
-            fresh.repartition(self.buckets, "digest")
+            fresh.union(again).repartition(self.buckets, "digest")
             .write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
         )
         return fresh
@@ -62,11 +83,31 @@ class DigestIndex:
         """`seen` with keep_id and group_size of each row's digest."""
         return lookup(seen, self.read(), "digest", "doc_id")
 
+    def close(self) -> None:
+        """Takes the table out of the catalogue. Its files stay, for the next session that opens the path."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
+def batches_of(seen: DataFrame, n: int) -> list[DataFrame]:
+    """The rows of seen by n ranges of doc_id, largest ids first, so that of all batches the largest id stays; without ids last."""
+    least, most = seen.agg(F.min("doc_id"), F.max("doc_id")).first()
+    if least is None or least == most or n == 1:
+        return [seen]
+    cuts = sorted({least + (most - least) * k // n for k in range(1, n)}, reverse=True)
+    above = F.lit(False)
+    out = []
+    for c in cuts:
+        now = F.coalesce(F.col("doc_id") > c, F.lit(False))
+        out.append(seen.where(now & ~above))
+        above = now
+    return [*out, seen.where(~above)]
+
 
-def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256; new digests are appended to the index."""
+def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", batches: int = 1) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256; new digests are appended to the index, batch by batch."""
     seen = stored(digests(docs, id_col, text_col))
-    index.add(seen)
+    for batch in batches_of(seen, batches):
+        index.add(batch)
     return index.find(seen).select(
         "doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"),
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
@@ -74,8 +115,15 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     )
 
 
+@tidy
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), DigestIndex(spark, shared_dir(spark)))
+    """Two batches: the second is deduplicated against what the first has put into the index."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = DigestIndex(spark, shared_dir(spark), rows=docs.count())
+    out = stored(exact_dedup(docs, index, batches=2))
+    index.close()
+    delete(spark, [index.path, index.note])
+    return out
 
 
 ORACLE = """
