@@ -8,12 +8,13 @@ up to the size that is missing, to the nearer side of the document that crosses
 words, not in documents, so a source meets its target whatever its lengths, and where p is capped at 1.
 u comes from a hash of the document's id: reruns agree.
 
-Ranking never sorts a source in one task: ranks are summed in bins by aggregation, and only the bin in which a
+Neither the sources nor a source's ranking are sorted in one task: ranks are summed in bins by aggregation, and only the bin in which a
 source's target falls is refined, again by aggregation, until it holds a few rows.
 
 Defined results: a null text has size 0 and is never taken; a null source is a source of its own, last in order;
 rows that share an id have the same u, and their ranks follow their sizes; ties go by id, then size; rows alike in
-all these are taken or left together. An empty table gives an empty result; further columns are passed over.
+all these are taken or left together. An empty table gives an empty result; further columns are
+passed over, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,30 +22,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, stored, table
+from .common import n_words, stored, table, tidy
 
 #: Each round of the cut tells 4096 bins of the bin before apart.
 BITS, ROUNDS = 12, 4
 
 
+def _ordered(s: DataFrame, *order: Column) -> DataFrame:
+    """s stored sorted, with __part, the number of each row's range of the order: a window within a part and the sums of
+    the parts before or after stand for one window over all rows."""
+    return stored(s.orderBy(*order).withColumn("__part", F.spark_partition_id()))
+
+
+def _around(s: DataFrame, before: dict[str, Column], after: dict[str, Column]) -> DataFrame:
+    """s with sums over all parts before, or after, each row's own; there are as many parts as partitions of a shuffle."""
+    up = Window.orderBy("__part")
+    parts = s.groupBy("__part").agg(*[F.sum(e).alias(k) for k, e in (before | after).items()])
+    sums = [F.sum(k).over(up.rowsBetween(Window.unboundedPreceding, -1)).alias(k) for k in before] + [F.sum(k).over(up.rowsBetween(1, Window.unboundedFollowing)).alias(k) for k in after]
+    parts = stored(parts.select("__part", *sums))
+    return s.join(F.broadcast(parts), "__part").fillna(0, [*before, *after])
+
+
+@tidy
 def targets(sources: DataFrame, weights: list[float], share: float, most: float) -> DataFrame:
     """sources (source, source_size) with target: `share` of all words by weight, none above `most` times its size.
 
     What is above is shared anew by weight until none is above: the fixed point is min(cap, level * weight), found
-    with one sorted running sum over the sources, of which there is one row each.
+    with a sorted running sum over the sources, of which there is one row each; ranges of them are summed apart.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    up = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    whole = Window.partitionBy()
-    turn = F.pmod(F.row_number().over(order) - 1, F.lit(len(weights)))
-    s = sources.withColumn("w", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), turn + 1))
-    s = s.withColumn("cap", F.lit(float(most)) * F.col("source_size"))
-    s = s.withColumn("filled", F.coalesce(F.sum("cap").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    s = s.withColumn("open_w", F.sum("w").over(up.rowsBetween(0, Window.unboundedFollowing)))
-    s = s.withColumn("level", (F.lit(float(share)) * F.sum("source_size").over(whole) - F.col("filled")) / F.col("open_w"))
+    name = F.col("source").asc_nulls_last()
+    s = _around(_ordered(sources.select("source", "source_size"), name), {"__n": F.lit(1)}, {})
+    turn = F.pmod(F.col("__n") + F.row_number().over(Window.partitionBy("__part").orderBy(name)) - 1, F.lit(len(weights)))
+    s = s.withColumn("w", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (turn + 1).cast("int")))
+    s = s.withColumn("cap", F.lit(float(most)) * F.col("source_size")).select("source", "source_size", "w", "cap")
+    by_fill = [F.col("cap") / F.col("w"), name]
+    s = _around(_ordered(s, *by_fill), {"filled": F.col("cap")}, {"open_w": F.col("w")})
+    own = Window.partitionBy("__part").orderBy(*by_fill)
+    back = Window.partitionBy("__part").orderBy((F.col("cap") / F.col("w")).desc(), F.col("source").desc_nulls_first())
+    s = s.withColumn("filled", F.col("filled") + F.coalesce(F.sum("cap").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    s = s.withColumn("open_w", F.col("open_w") + F.sum("w").over(back.rowsBetween(Window.unboundedPreceding, 0)))
+    total = s.agg(F.sum("source_size")).first()[0]
+    s = stored(s.withColumn("level", (F.lit(float(share)) * F.lit(total) - F.col("filled")) / F.col("open_w")))
     # sorted by cap / weight, the first source that its level does not fill has the common level, and the highest such
-    s = s.withColumn("level", F.max(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))).over(whole))
-    return s.select("source", "source_size", F.coalesce(F.least(F.col("cap"), F.col("level") * F.col("w")), F.col("cap")).alias("target"))
+    level = s.agg(F.max(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level")))).first()[0]
+    return s.select("source", "source_size", F.coalesce(F.least(F.col("cap"), F.lit(level) * F.col("w")), F.col("cap")).alias("target"))
 
 
 def uniform(id_col: str) -> Column:
@@ -53,30 +74,34 @@ def uniform(id_col: str) -> Column:
     return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 48))
 
 
+@tidy
 def pareto_mix(sized: DataFrame, plan: DataFrame) -> DataFrame:
     """sized (doc_id, source, size long, weight double) and plan (source, source_size, target), one row a source.
 
-    Returns sized with source_size, target, copies (whole copies, the sampled one included), taken (copies * size).
-    Weights are positive; a row of weight 0 or null is only taken as a certain copy.
+    Returns sized with source_size, target, copies (whole copies, the sampled one included), taken (copies * size); columns
+    of sized that have these names are replaced. Weights are positive; a row of weight 0 or null is only taken as a certain copy.
     """
-    total = sized.where("size > 0 and weight > 0").groupBy("source").agg(F.sum(F.col("weight") * F.col("size")).alias("ww")).withColumnRenamed("source", "s2")
-    plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    plan = plan.withColumn("missing", F.col("target") - F.col("whole") * F.col("source_size"))
-    plan = plan.join(total, F.col("source").eqNullSafe(F.col("s2")), "left").select(
-        F.col("source").alias("s2"), "source_size", "target", "whole", "missing", (F.col("missing") / F.col("ww")).alias("c"))
-    plan = stored(plan)
-    with_plan = sized.join(plan, F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
-
-    p = F.least(F.lit(1.0), F.col("c") * F.col("weight"))
-    odds = F.col("u") / (1 - F.col("u")) * (1 - p) / p
-    live = with_plan.where("size > 0 and weight > 0 and missing > 0").withColumn("u", uniform("doc_id"))
-    ranked = stored(live.select("doc_id", "source", "size", "missing", (odds / (1 + odds)).alias("r")))  # orders as the odds do
-
-    cut = stored(_cut(ranked)).withColumnRenamed("source", "s3")  # a row a source: its size is known before the join
-    chosen = F.coalesce(F.struct(odds / (1 + odds), "doc_id", "size") <= F.struct("cut_r", "cut_id", "cut_size"), F.lit(False))
-    out = with_plan.withColumn("u", uniform("doc_id")).join(cut, F.col("source").eqNullSafe(F.col("s3")), "left")
-    picked = F.when((F.col("size") > 0) & (F.col("weight") > 0) & (F.col("missing") > 0) & chosen, 1).otherwise(0)
-    out = out.withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + picked).otherwise(0).cast("long"))
+    sized = sized.drop("source_size", "target", "copies", "taken")
+    total = sized.where("size > 0 and weight > 0").groupBy(F.col("source").alias("__s")).agg(F.sum(F.col("weight") * F.col("size")).alias("__ww"))
+    plan = plan.select("source", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
+    plan = plan.withColumn("__whole", F.when(F.col("__source_size") > 0, F.floor(F.col("__target") / F.col("__source_size"))).otherwise(0).cast("long"))
+    plan = plan.withColumn("__missing", F.col("__target") - F.col("__whole") * F.col("__source_size"))
+    plan = plan.join(total, F.col("source").eqNullSafe(F.col("__s")), "left").withColumn("__c", F.col("__missing") / F.col("__ww"))
+    plan = stored(plan.drop("__s", "__ww").withColumnRenamed("source", "__s"))
+    with_plan = sized.join(plan, F.col("source").eqNullSafe(F.col("__s"))).drop("__s").withColumn("__u", uniform("doc_id"))
+
+    p = F.least(F.lit(1.0), F.col("__c") * F.col("weight"))
+    odds = F.col("__u") / (1 - F.col("__u")) * (1 - p) / p
+    rank = odds / (1 + odds)  # orders as the odds do
+    live = with_plan.where("size > 0 and weight > 0 and __missing > 0")
+    ranked = stored(live.select("doc_id", "source", "size", F.col("__missing").alias("missing"), rank.alias("r")))
+
+    cut = stored(_cut(ranked)).withColumnsRenamed({"source": "__s", "cut_r": "__cut_r", "cut_id": "__cut_id", "cut_size": "__cut_size"})  # a row a source
+    chosen = F.coalesce(F.struct(rank, "doc_id", "size") <= F.struct("__cut_r", "__cut_id", "__cut_size"), F.lit(False))
+    out = with_plan.join(cut, F.col("source").eqNullSafe(F.col("__s")), "left")
+    picked = F.when((F.col("size") > 0) & (F.col("weight") > 0) & (F.col("__missing") > 0) & chosen, 1).otherwise(0)
+    copies = F.when(F.col("size") > 0, F.col("__whole") + picked).otherwise(0).cast("long")
+    out = out.withColumns({"copies": copies, "source_size": F.col("__source_size"), "target": F.col("__target")})
     return out.withColumn("taken", F.col("copies") * F.col("size")).select(*sized.columns, "source_size", "target", "copies", "taken")
 
 
@@ -95,8 +120,10 @@ def _cut(ranked: DataFrame) -> DataFrame:
         edge = stored(edge.select(F.col("source").alias("s4"), F.col("e.bin").alias("edge"), F.col("e.b").alias("b")))
         at = at.drop("before", "prefix").join(edge, F.col("source").eqNullSafe(F.col("s4")) & (F.col("bin") == F.col("edge"))).drop("s4", "edge")
         at = stored(at.withColumnsRenamed({"b": "before", "bin": "prefix"}))
+    # rows alike in rank, id and size count as one of their summed size, so any number of them is one row here
+    alike = at.groupBy("source", "r", "doc_id", "size", "missing", "before").agg(F.count("*").alias("n"))
     order = Window.partitionBy("source").orderBy("r", "doc_id", "size")
-    last = at.withColumn("start", F.col("before") + F.sum("size").over(order) - F.col("size"))
+    last = alike.withColumn("start", F.col("before") + F.sum(F.col("size") * F.col("n")).over(order) - F.col("size"))
     last = last.where(2 * (F.col("missing") - F.col("start")) >= F.col("size"))
     kept = last.groupBy("source").agg(F.max(F.struct("r", "doc_id", "size")).alias("k"))
     # none of the last bin is taken: the cut lies just below it
@@ -106,6 +133,7 @@ def _cut(ranked: DataFrame) -> DataFrame:
         "source", F.coalesce("k.r", F.col("least")).alias("cut_r"), F.when(F.col("k").isNotNull(), F.col("k.doc_id")).alias("cut_id"), F.col("k.size").alias("cut_size"))
 
 
+@tidy
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
     docs = stored(docs.withColumn("weight", F.col("size").cast("double")))

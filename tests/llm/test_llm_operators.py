@@ -142,6 +142,20 @@ def test_exact_dedup(spark, tmp_path):
     assert exact_dedup.exact_dedup(docs(spark, []), index).count() == 0
 
 
+def test_digest_index_in_batches_and_reopened(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    index = exact_dedup.DigestIndex(spark, path, 4)
+    first = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(docs(spark, ODD), index, batches=3).collect()}
+    assert first[1] == (2, 2, False) and first[4] == first[None] == (9, 5, False) and first[9] == (9, 5, True) and index.entries().count() > 6
+    index.close()
+    assert not spark.catalog.tableExists(index.name)
+    opened = exact_dedup.DigestIndex(spark, path, 9, rows=10**9)
+    assert opened.buckets == 4 and opened.read().count() == 6
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(docs(spark, [(99, "ONE two"), (100, "new")]), opened, batches=2).collect()}
+    assert got == {99: (9, 6, False), 100: (100, 1, True)}
+    assert exact_dedup.DigestIndex(spark, f"{path}2", rows=10**10).buckets == 2500
+
+
 def test_exact_dedup_uses_no_python(spark, tmp_path):
     df = exact_dedup.exact_dedup(docs(spark, ODD), exact_dedup.DigestIndex(spark, f"file://{tmp_path}/i", 4))
     plan = df._jdf.queryExecution().executedPlan().toString()
@@ -171,6 +185,34 @@ def test_mix(spark):
     assert source_mix.pareto_mix(d.limit(0), plan.limit(0)).count() == 0
 
 
+def test_targets_equal_sharing_anew_until_none_is_above(spark):
+    rng = random.Random(8)
+    sizes = {f"s{k:03d}": rng.choice((0, 1, 10, 1000, 50_000)) for k in range(70)} | {None: 300}
+    names = [*sorted(k for k in sizes if k), None]
+    weight = {name: (3, 1, 2)[k % 3] for k, name in enumerate(names)}
+    target, full = {}, set()
+    while True:  # the excess over a cap is shared by weight among those that are not full
+        rest = 1.5 * sum(sizes.values()) - sum(2 * sizes[k] for k in full)
+        open_ = sum(weight[k] for k in names if k not in full)
+        target = {k: 2 * sizes[k] if k in full else rest * weight[k] / open_ for k in names}
+        above = {k for k in names if target[k] > 2 * sizes[k]}
+        if not above:
+            break
+        full |= above
+    got = {r["source"]: r["target"] for r in source_mix.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size bigint").repartition(7), [3, 1, 2], 1.5, 2.0).collect()}
+    assert got == pytest.approx(target)
+
+
+def test_mix_of_odd_rows_and_clashing_names(spark):
+    rows = [(k, "a b c d", "x") for k in range(20)] + [(5, "a b c d", "x")] * 30 + [(None, "a b", "y"), (7, LONG, "y"), (8, None, None), (9, "", None)]
+    d = docs(spark, rows).select("*", common.n_words(F.col("text")).alias("size")).withColumn("weight", F.col("size").cast("double"))
+    plan = source_mix.targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), [3, 1, 2], 1.5, 2.0)
+    clash = d.withColumns({c: F.lit("z") for c in ("target", "missing", "whole", "c", "source_size", "copies", "taken", "u", "r", "s2", "cut_r")})
+    plain, got = (source_mix.pareto_mix(x, plan).select("doc_id", "size", "taken", "target").orderBy("doc_id", "size").collect() for x in (d, clash))
+    assert plain == got and len(got) == len(rows) and all(r["taken"] <= 2 * r["size"] for r in got)
+    assert len({r["taken"] for r in got if r["doc_id"] == 5}) == 1
+
+
 # ---------------------------------------------------------------- 3, line dedup
 
 
@@ -348,6 +390,20 @@ def test_secrets_in_a_very_long_text(spark):
     assert [(scan.KINDS[x["k"]], x["s"], x["e"]) for x in r["base"]] == secrets(t)
 
 
+def test_ownership_counts_repositories_and_copies_once(spark):
+    wide, live, moved = "Wd8Wd8Wd8Wd8Wd8Wd8Wd8", "Lv7Lv7Lv7Lv7Lv7Lv7Lv7", "Mv6Mv6Mv6Mv6Mv6Mv6Mv6"
+    rows = [(k, f"{k} {wide}", "o1") for k in range(9)] + [(20, f"has {live}", "o1"), (21, f"also {live}", "o1"), (30, f"in {moved}", "o1"), (31, f"in {moved}", "o2")]
+    got = {r["doc_id"]: [(x["n_owners"], x["n_repos"]) for x in r["spans"]] for r in scan.secret_scan(docs(spark, rows)).collect()}
+    assert all(got[k] == [] for k in range(9))  # nine repositories of one owner: an example
+    assert got[20] == got[21] == [(1, 2)] and got[30] == got[31] == [(1, 1)]  # a copied text counts once
+
+
+def test_secrets_of_very_many_matches(spark):
+    t = " ".join(f"token=abcdefghijkl{k:06d}" for k in range(40_000))
+    r = scan.secret_scan(docs(spark, [(1, t, "o"), (2, "x", "o")])).where("doc_id = 1").first()
+    assert [(scan.KINDS[x["k"]], x["s"], x["e"]) for x in r["base"]] == secrets(t) and len(r["base"]) == 40_000
+
+
 def test_secrets_use_no_python(spark):
     plan = scan.secret_scan(docs(spark, SECRETS))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
