@@ -6,14 +6,14 @@ attention weighs their states; the weighted sum gives the window's score. All ov
 are scored, and the text's score is that of its highest window. The network is trained here, in numpy.
 
 It is fitted on a bounded sample of labelled rows, `Sample`: the rows of each label that come first by a hash of
-their id, and of each row some windows spread evenly over its text. A row's label holds for the text, not for each of
-its windows; so from the third epoch on, of a toxic row's windows only its highest is learned from, and those that score
-above 99 of 100 clean windows. One row in five of the sample isn't trained on: where those rows' whole texts part best by their
+their id, with all windows of their whole texts. A row's label holds for the text, not for each of
+its windows; so at first the windows of a toxic row share a weight, and later only its highest is learned from, and those
+that score above 99 of 100 clean windows. One row in five of the sample isn't trained on: where those rows' whole texts part best by their
 highest windows is the score 0.5, so that it parts texts, not windows.
 
 Defined results: a null text, or one without a word, has the score of an empty window, which is learned to be clean
 (0); null labels are not learned from; without rows of both labels every score is 0; an id labelled several times
-counts with its largest label; repeated rows are scored each; an empty table gives an empty result; further columns
+counts with its largest label; repeated rows are scored each, alike but for rounding (single precision); an empty table gives an empty result; further columns
 are passed over.
 """
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, mix, ship, stored, table, trim
+from .common import Words, chunks, mix, ship, stored, table, tidy, trim
 from .language_id import fold
 
 #: Words of a window, and from one window to the next.
@@ -41,14 +41,13 @@ APART = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 @dataclass
 class Sample:
-    """Bounds of what is learned from: rows of each label, windows of a row, words of a training window; then the least
+    """Bounds of what is learned from: rows of each label; windows that a toxic row counts for at first; then the least
     number of epochs and of steps, the largest batch, the rate."""
 
     toxic: int = 2000
     clean: int = 3000
-    windows: int = 5
-    words: int = 64
-    epochs: int = 7
+    counts_for: float = 5.0
+    epochs: int = 4
     steps: int = 500
     batch: int = 256
     rate: float = 0.01
@@ -152,10 +151,10 @@ class Network:
         score = pooled @ p["w"] + p["b"][0]
         return (score, (g, m, kept, both, q, weight, pooled)) if keep else score
 
-    def gradients(self, target: np.ndarray, score: np.ndarray, kept, mask: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        """Of the mean cross-entropy: by all parameters but the tables and the input's, and by gate."""
+    def gradients(self, target: np.ndarray, score: np.ndarray, kept, mask: np.ndarray, counts: np.ndarray | float = 1.0) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Of the mean cross-entropy, where windows count as given: by all parameters but the tables and the input's, and by gate."""
         p, (g, m, steps, both, q, weight, pooled) = self.p, kept
-        d = ((_sigmoid(score) - target) / len(target)).astype(np.float32)
+        d = ((_sigmoid(score) - target) * counts / len(target)).astype(np.float32)
         out = {"w": pooled.T @ d, "b": np.array([d.sum()], np.float32)}
         dp = np.outer(d, p["w"])
         dweight = np.einsum("bh,tbh->tb", dp, both)
@@ -211,12 +210,24 @@ class _Joined:
         self.buf, self.starts, self.ends, self.hash, self.first = join(bufs, np.uint8), join(starts, np.int64), join(ends, np.int64), join(hashes, np.uint64), np.concatenate(first)
 
 
-def learn(texts: list[str], rows: np.ndarray, labels: np.ndarray, sample: Sample, seed: int = 7) -> Network | None:
-    """A network fitted on windows: texts, the row that each is of, and the row's label of each."""
-    if len(set(labels.tolist())) < 2:
-        return None
+def windows_of(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts whose words start at `first`: first word, number of words and text of every window; every word is in one, most in two."""
+    size = np.diff(first)
+    count = np.where(size > 0, 1 + np.maximum(0, -(-(size - WINDOW) // STRIDE)), 0)
+    text = np.repeat(np.arange(len(size)), count)
+    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    begin = first[text] + nth * STRIDE
+    return begin, np.minimum(WINDOW, first[text + 1] - begin), text
+
+
+def learn(texts: list[str], text_labels: np.ndarray, sample: Sample, seed: int = 7) -> Network | None:
+    """A network fitted on all windows of texts and the texts' labels."""
     rng = np.random.default_rng(seed)
     w = _Joined(texts)
+    begin, length, rows = windows_of(w.first)
+    labels = text_labels[rows]
+    if len(set(labels.tolist())) < 2:
+        return None
     every, first, word = np.unique(w.hash, return_index=True, return_inverse=True)
     word = word.astype(np.int32)
     parts = []
@@ -225,25 +236,23 @@ def learn(texts: list[str], rows: np.ndarray, labels: np.ndarray, sample: Sample
         turn = np.argsort(o, kind="stable")
         parts.append((b[turn].astype(np.int32), (o[turn] + k).astype(np.int32)))
     bucket, owner = (np.concatenate([p[m] for p in parts]) if parts else np.zeros(0, np.int32) for m in (0, 1))
-    # what occurs in windows of a few rows at least has a vector of its own
-    of_row = rows[np.repeat(np.arange(len(texts)), np.diff(w.first))]
-    pairs = np.unique(word.astype(np.int64) * (rows.max() + 1) + of_row) // (rows.max() + 1)
+    # what occurs in a few rows at least has a vector of its own
+    of_row = np.repeat(np.arange(len(texts)), np.diff(w.first))
+    pairs = np.unique(word.astype(np.int64) * len(texts) + of_row) // len(texts)
     spread = np.bincount(pairs, minlength=len(every))
     by_bucket = np.bincount(bucket, weights=np.minimum(spread, LEAST_ROWS)[owner], minlength=1 << GRAM_BITS)
     net = Network(every[spread >= LEAST_ROWS], np.flatnonzero(by_bucket >= LEAST_ROWS), seed)
     adam = Adam(net.p, sample.rate)
     start = np.searchsorted(owner, np.arange(len(every) + 1))
-    steps = sample.words
 
     def windows(some: np.ndarray):
         """Inputs of a batch: words (T, B) as places in the batch's own words, mask."""
-        size = np.minimum(w.first[some + 1] - w.first[some], steps)
-        place = w.first[some] + np.arange(steps)[:, None]
-        mask = np.arange(steps)[:, None] < size
-        mine, local = np.unique(word[np.where(mask, place, 0)] if len(word) else np.zeros(mask.shape, np.int64), return_inverse=True)
+        place = begin[some] + np.arange(WINDOW)[:, None]
+        mask = np.arange(WINDOW)[:, None] < length[some]
+        mine, local = np.unique(word[np.where(mask, place, 0)], return_inverse=True)
         n = start[mine + 1] - start[mine]
         flat = np.repeat(start[mine] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        return local.reshape(mask.shape), mask.astype(np.float32), every[mine] if len(every) else np.zeros(1, np.uint64), bucket[flat], np.repeat(np.arange(len(mine)), n)
+        return local.reshape(mask.shape), mask.astype(np.float32), every[mine], bucket[flat], np.repeat(np.arange(len(mine)), n)
 
     def scores(some: np.ndarray) -> np.ndarray:
         out = []
@@ -253,13 +262,14 @@ def learn(texts: list[str], rows: np.ndarray, labels: np.ndarray, sample: Sample
             out.append(net.forward((x @ net.p["x"] + net.p["bx"])[local], mask))
         return np.concatenate(out)
 
-    use = np.arange(len(texts))
-    batch = int(np.clip(len(texts) // 64, 16, sample.batch))
-    epochs = max(sample.epochs, -(-sample.steps * batch // len(texts)))
+    use = np.arange(len(begin))
+    counts = np.where(labels == 1, np.minimum(1.0, sample.counts_for / np.bincount(rows)[rows]), 1.0)
+    batch = int(np.clip(len(begin) // 64, 16, sample.batch))
+    epochs = max(sample.epochs, -(-sample.steps * batch // len(begin)))
     for epoch in range(epochs):
         if epoch in (2 * epochs // 7, 3 * epochs // 7, 4 * epochs // 7):
-            s = scores(np.arange(len(texts)))
-            top = np.zeros(rows.max() + 1, np.float32) - np.inf
+            s, counts = scores(np.arange(len(begin))), np.ones(len(begin))
+            top = np.zeros(len(texts), np.float32) - np.inf
             np.maximum.at(top, rows, s)
             use = np.flatnonzero((labels == 0) | (s >= top[rows]) | (s > np.quantile(s[labels == 0], 0.99)))
         adam.rate = sample.rate * (1 if epoch < epochs * 5 // 7 else 0.3)
@@ -272,7 +282,7 @@ def learn(texts: list[str], rows: np.ndarray, labels: np.ndarray, sample: Sample
             x = x if epoch == 0 else np.tanh(np.arctanh(np.clip(x, -0.999999, 0.999999)) - np.where(keep[:, None], 0, net.p["word"][word_at])).astype(np.float32)
             gate = (x @ net.p["x"] + net.p["bx"])[local]
             score, held = net.forward(gate, mask, keep=True)
-            grad, dgate = net.gradients(labels[some].astype(np.float32), score, held, mask)
+            grad, dgate = net.gradients(labels[some].astype(np.float32), score, held, mask, counts[some])
             grad["bx"] = dgate.sum(axis=(0, 1))
             flat, to = dgate.reshape(-1, dgate.shape[-1]), local.reshape(-1)
             turn = np.argsort(to, kind="stable")
@@ -289,7 +299,7 @@ def learn(texts: list[str], rows: np.ndarray, labels: np.ndarray, sample: Sample
 
 
 def score_texts(net: Network, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The score, 0 to 1, of each of a run of texts by its highest window; every word is in a window, most in two."""
+    """The score, 0 to 1, of each of a run of texts by its highest window."""
     n = len(offsets) - 1
     out = np.full(n, -30.0)
     w = Words(buf, offsets, lower=True, apart=APART)
@@ -298,12 +308,7 @@ def score_texts(net: Network, buf: np.ndarray, offsets: np.ndarray) -> np.ndarra
     every, first, word = np.unique(w.hash, return_index=True, return_inverse=True)
     x = net.inputs(every, *grams(buf, w.starts[first], w.ends[first]))[0]
     gate = x @ net.p["x"] + net.p["bx"]
-    size = np.diff(w.first)
-    count = np.where(size > 0, 1 + np.maximum(0, -(-(size - WINDOW) // STRIDE)), 0)
-    text = np.repeat(np.arange(n), count)
-    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    begin = w.first[text] + nth * STRIDE
-    length = np.minimum(WINDOW, w.first[text + 1] - begin)
+    begin, length, text = windows_of(w.first)
     order = np.argsort(length, kind="stable")  # windows of like lengths together
     for i in range(0, len(order), 1024):
         some = order[i : i + 1024]
@@ -311,7 +316,7 @@ def score_texts(net: Network, buf: np.ndarray, offsets: np.ndarray) -> np.ndarra
         mask = np.arange(steps)[:, None] < length[some]
         place = np.where(mask, begin[some] + np.arange(steps)[:, None], 0)
         np.maximum.at(out, text[some], net.forward(gate[word[place]], mask.astype(np.float32)))
-    return np.where(size > 0, _sigmoid(out - net.zero), 0.0)
+    return np.where(np.diff(w.first) > 0, _sigmoid(out - net.zero), 0.0)
 
 
 def boundary(score: np.ndarray, label: np.ndarray, share: float) -> float:
@@ -330,8 +335,9 @@ def boundary(score: np.ndarray, label: np.ndarray, share: float) -> float:
     return float((low[k] + high[k]) / 2)
 
 
+@tidy
 def fit(docs: DataFrame, labels: DataFrame, sample: Sample | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Network | None:
-    """Trains on a bounded sample: labels (id, label) of docs. Only the sample's ids and windows come to the driver."""
+    """Trains on a bounded sample: labels (id, label) of docs. Only the sample's ids and texts come to the driver."""
     sample = sample or Sample()
     ship(docs.sparkSession)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
@@ -346,20 +352,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: Sample | None = None, id_col
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), "id")  # at most toxic + clean rows
     rows = stored(rows)
 
-    def cut(batches):
-        for batch in batches:
-            out = {"id": [], "label": [], "text": []}
-            for id_, text, label in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                words = text.as_py().split()
-                spare = len(words) - sample.words
-                starts = [0] if spare <= 0 else sorted({round(k * spare / max(1, sample.windows - 1)) for k in range(sample.windows)})
-                for s in starts:
-                    out["id"].append(id_.as_py()), out["label"].append(label.as_py()), out["text"].append(" ".join(words[s : s + sample.words]))
-            yield pa.RecordBatch.from_pydict({"id": pa.array(out["id"], pa.int64()), "label": pa.array(out["label"], pa.int32()), "text": pa.array(out["text"], pa.string())})
-
-    got = rows.where("not held").select("id", "text", "label").mapInArrow(cut, "id bigint, label int, text string").orderBy("id", "text").toArrow()
-    row = np.unique(got["id"].to_numpy(), return_inverse=True)[1]
-    net = learn(got["text"].to_pylist(), row, got["label"].to_numpy(), sample)
+    got = rows.where("not held").select("id", "label", "text").orderBy("id", "text").toArrow()
+    net = learn(got["text"].to_pylist(), got["label"].to_numpy(), sample)
     trim()
     if net is not None:
         judged = toxicity(rows.where("held"), net, ["label"]).toArrow()

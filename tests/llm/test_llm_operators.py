@@ -352,6 +352,23 @@ def test_similar_pairs():
     assert set(ngram_join.similar_pairs(rows, Fraction(3, 4))) == want and want
 
 
+def test_ngram_join_of_lists_chained_by_common_phrases(spark, monkeypatch):
+    """A family beyond its bound is compared list by list; leaders of many sets in small groups."""
+    monkeypatch.setattr(ngram_join, "FAMILY", 6)
+    monkeypatch.setattr(ngram_join, "GROUP", 4)
+    rng = random.Random(13)
+    phrases = [[f"p{k}w{j}" for j in range(9)] for k in range(5)]
+    rows = []
+    for i in range(90):
+        a, b = rng.sample(range(5), 2)
+        body = [f"d{i % 30}x{j}" for j in range(14)]
+        for _ in range(rng.choice((0, 0, 1))):
+            body[rng.randrange(14)] = f"n{i}"
+        rows.append((i, " ".join([*phrases[a], *body, *phrases[b]] if i % 3 else [*phrases[a], *phrases[(a + 1) % 5], f"e{i}"])))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(docs(spark, rows))[0].collect()}
+    assert got == near_duplicates(rows)
+
+
 @pytest.mark.parametrize("block", [4, 256])
 def test_ngram_join_returns_every_link(spark, monkeypatch, block):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
@@ -425,6 +442,20 @@ def test_substrings_of_repeated_words(spark):
     assert got == substrings(rows)
 
 
+def test_texts_longer_than_a_run_of_bytes(spark):
+    """Over a mebibyte, so that a text is worked on alone."""
+    rng = random.Random(1)
+    a = [f"w{rng.randrange(5000)}" for _ in range(250_000)]
+    b = list(a)
+    b[1000] = b[200_000] = "new"
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (3, "short " * 60)]
+    assert all(len(t) > common.CHUNK_BYTES for _, t in rows[:2])
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.substring_dedup(docs(spark, rows)).collect()}
+    assert got == substrings(rows)
+    near = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(docs(spark, rows))[0].collect()}
+    assert near == near_duplicates(rows)
+
+
 def test_substrings_odd_rows(spark):
     out = substring_dedup.substring_dedup(docs(spark, ODD)).collect()
     got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in out}
@@ -529,6 +560,52 @@ def test_language_frames(spark):
     assert language_id.prototypes(spark.createDataFrame([], "text string, lang string")) == {}
 
 
+def plain_bundle(h, text):
+    """A text's vector by loops: letters in lower case, one space for what lies between, n-grams bound by rolled products."""
+    import unicodedata
+
+    codes = [0]
+    for c in text:
+        letter = unicodedata.category(c)[0] == "L"
+        low = c.lower() if len(c.lower()) == 1 else c
+        code = 1 + ord(low) % 255 if letter else 0
+        if code or codes[-1]:
+            codes.append(code)
+    if codes[-1]:
+        codes.append(0)
+    total, n = np.zeros(language_id.DIM), language_id.GRAM
+    for k in range(len(codes) - n + 1):
+        v = np.ones(language_id.DIM)
+        for place, code in enumerate(codes[k : k + n]):
+            v = v * np.concatenate((h.letters[code][-(n - 1 - place) :], h.letters[code][: -(n - 1 - place)])) if n - 1 - place else v * h.letters[code]
+        total += v
+    return total
+
+
+def test_language_id_equals_plain_bundles(spark):
+    h = language_id.hyper()
+    learn = [("the cat and the dog", "en"), ("a house by the sea", "en"), ("der hund und die katze", "de"), ("ein Haus am Meer", "de"), ("łódź i ßtraße ΣΊΣ", "xx")]
+    own = {}
+    for t, lang in learn:
+        own[lang] = own.get(lang, 0) + plain_bundle(h, t)
+    learned = language_id.prototypes(spark.createDataFrame(learn, "text string, lang string"))
+    assert set(learned) == set(own) and all(np.allclose(learned[k], own[k]) for k in own)
+    some = [(k, t) for k, t in enumerate(("The cat's house", "die Katze", "12 sea 34", "ΣΊΣ", "x", "  Hund\n\nund", "the sea " * 500))]
+    for r in language_id.language_id(docs(spark, some), learned, ["doc_id"]).collect():
+        v = plain_bundle(h, some[r["doc_id"]][1])
+        cos = {k: float(v @ p / np.linalg.norm(v) / np.linalg.norm(p)) for k, p in own.items()}
+        best = max(cos, key=cos.get)
+        assert r["lang_pred"] == best and r["score"] == pytest.approx(min(1, max(0, cos[best])))
+
+
+def test_grams_of_a_text_in_chunks(monkeypatch):
+    h, text = language_id.hyper(), "One  two, three!! ñandú\n" * 9 + "e"
+    whole = [x.tolist() for x in h.grams(text)]
+    for size in (1, 2, 7, 50):
+        monkeypatch.setattr(language_id, "CHUNK", size)
+        assert [x.tolist() for x in h.grams(text)] == whole
+
+
 def test_hypervectors_bind_letters_by_place():
     h = language_id.hyper()
     g, n = h.grams("abc")
@@ -564,6 +641,86 @@ def test_gradients():
     assert abs((loss(moved) - loss()) / 1e-3 - dgate[2, 0, 3]) < 2e-3
 
 
+def plain_score(net, text):
+    """The score of a text by loops over windows, words, n-grams and units."""
+    h, low = toxicity.HIDDEN, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    words = "".join(" " if ord(c) < 128 and not c.isalnum() else c for c in low).split(" ")
+    words, sig, p = [w.encode() for w in words if w], lambda v: 1 / (1 + math.exp(-v)), {k: v.astype(float) for k, v in net.p.items()}
+
+    def vector(word):
+        hashed = common.Words(np.frombuffer(word, dtype=np.uint8), np.array([0, len(word)])).hash[0]
+        at = np.flatnonzero(net.words == hashed)
+        v, marked = p["word"][at[0] + 1 if len(at) else 0].copy(), b"\x02" + word + b"\x03"
+        for n in (3, 4):
+            for k in range(len(marked) - n + 1):
+                g = n
+                for b in marked[k : k + n]:
+                    g = (g * 257 + b) % 2**64
+                bucket = int(common.mix(np.array([g], dtype=np.uint64))[0]) >> (64 - toxicity.GRAM_BITS)
+                at = np.flatnonzero(net.buckets == bucket)
+                v += p["gram"][at[0] + 1 if len(at) else 0]
+        return np.tanh(v) @ p["x"] + p["bx"]
+
+    def read(gates, way):
+        state, out = np.zeros(h), []
+        for g in gates:
+            g = g[way * 3 * h : (way + 1) * 3 * h]
+            u = [sum(state[i] * p["h"][way, i, j] for i in range(h)) for j in range(3 * h)]
+            z, r = [sig(g[j] + u[j]) for j in range(h)], [sig(g[h + j] + u[h + j]) for j in range(h)]
+            c = [math.tanh(g[2 * h + j] + r[j] * u[2 * h + j]) for j in range(h)]
+            state = np.array([z[j] * state[j] + (1 - z[j]) * c[j] for j in range(h)])
+            out.append(state)
+        return out
+
+    best = -math.inf
+    for s in range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE):
+        gates = [vector(w) for w in words[s : s + toxicity.WINDOW]]
+        both = [np.concatenate(x) for x in zip(read(gates, 0), read(gates[::-1], 1)[::-1], strict=True)]
+        e = np.exp([np.tanh(x @ p["a"] + p["ba"]) @ p["v"] for x in both])
+        best = max(best, sum(w * x for w, x in zip(e / e.sum(), both, strict=True)) @ p["w"] + p["b"][0])
+    return sig(best - net.zero)
+
+
+def test_scores_equal_plain_loops():
+    rng = random.Random(2)
+    vocabulary = [f"{a}{b}{c}" for a in "bcd" for b in "aeiou" for c in "lmnré"]
+    text = lambda n, bad: " ".join(rng.choice(vocabulary) for _ in range(n)) + (" vilezz" if bad else "")
+    texts_ = [text(rng.choice((5, 70, 200)), k % 2 == 0) for k in range(60)]
+    net = toxicity.learn(texts_, np.arange(60) % 2 == 0, toxicity.Sample(epochs=2, steps=4))
+    net.zero = 0.1
+    some = ["one", "VILEZZ, bal!", text(64, False), text(65, True), text(97, False), text(130, True), texts_[0]]
+    raw = [t.encode() for t in some]
+    got = toxicity.score_texts(net, np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert got == pytest.approx([plain_score(net, t) for t in some], abs=1e-4)
+
+
+def test_every_window_is_learned_from():
+    first = np.array([0, 0, 10, 74, 139, 1139])
+    begin, length, text = toxicity.windows_of(first)
+    assert [(text == k).sum() for k in range(5)] == [0, 1, 1, 2, 31]
+    for k in range(5):
+        assert set(range(first[k], first[k + 1])) == {w for b, n, t in zip(begin, length, text, strict=True) if t == k for w in range(b, b + n)}
+
+
+def test_a_passage_anywhere_in_a_long_text_is_learned(spark):
+    rng = random.Random(5)
+    words = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "lmnrs"]
+    rows = []
+    for k in range(240):
+        w = [rng.choice(words) for _ in range(rng.choice((60, 900)))]
+        if k % 3 == 0:
+            at = rng.randrange(len(w))
+            w[at:at] = ["vilezz", "grotqux"]
+        rows.append((k, " ".join(w)))
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(180)], "doc_id bigint, toxic int")
+    d = docs(spark, [*rows, rows[200], rows[200], (None, rows[3][1])])
+    got = [(r["doc_id"], r["score"]) for r in toxicity.toxicity(d, toxicity.fit(d, labels), ["doc_id"]).collect()]
+    of = dict(got)
+    assert sum((of[i] >= 0.5) == (i % 3 == 0) for i in range(180, 240)) >= 56
+    alike = [s for i, s in got if i == 200]
+    assert len(alike) == 3 and max(alike) - min(alike) < 1e-5 and abs(of[None] - of[3]) < 1e-5
+
+
 def test_toxicity_frames(spark):
     rng = random.Random(0)
     words = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "lmnrs"]
