@@ -66,6 +66,9 @@ def fill_forward(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("
 
 
 def fill_backward(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("asset",), ts: str = "ts") -> DataFrame:
-    """Each NULL takes the next value after it. Looks ahead: only for heads of series, after fill_forward."""
-    w = Window.partitionBy(*keys).orderBy(ts).rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumns({c: F.coalesce(F.col(c), F.first(c, ignorenulls=True).over(w)) for c in columns})
+    """Each NULL takes the next value after it. Looks ahead: only for heads of series, after fill_forward.
+
+    In falling order the next value is the last one seen: such a frame takes one step a row, one that ends with the series a pass.
+    """
+    w = upto(Window.partitionBy(*keys).orderBy(F.desc(ts)))
+    return df.withColumns({c: F.coalesce(F.col(c), F.last(c, ignorenulls=True).over(w)) for c in columns})
