@@ -353,8 +353,7 @@ def test_similar_pairs():
 
 
 def test_ngram_join_of_lists_chained_by_common_phrases(spark, monkeypatch):
-    """A family beyond its bound is compared list by list; leaders of many sets in small groups."""
-    monkeypatch.setattr(ngram_join, "FAMILY", 6)
+    """Phrases that many sets share chain their lists; leaders of many sets meet them in small groups."""
     monkeypatch.setattr(ngram_join, "GROUP", 4)
     rng = random.Random(13)
     phrases = [[f"p{k}w{j}" for j in range(9)] for k in range(5)]
