@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import audit, indicators, portfolio, probes, scale, slices, split, stationarity
+from ..operators import audit, indicators, portfolio, probes, scale, slices, split, stationarity, sync
 from ..sources import synthetic
 from .backtests import PRICE, RULES, WALK, priced
 from .base import BARS, PANEL, RETURNS, bars, panel, query, r, returns, rounded
@@ -148,3 +148,22 @@ def convergence(spark, sf_dir):
     return rounded(audit.trend_stats(audit.resample(d, "close", "ts", 200, ("asset",)), "value", "bucket", ("asset",)))
 
 
+
+
+@query(f"with {PANEL} select asset, ts, round(greatest(close - 50, 0), 6) + 0e0 volume from panel")
+def volume_cleansed(spark, sf_dir):
+    p = panel(spark, sf_dir).select("asset", "ts", (F.col("close") - 50).alias("volume"))
+    return rounded(sync.sanitize_volume(p))
+
+
+@query(f"with {PANEL}, n as (select asset, ts, case when volume > 1 then close / (volume - 1) end x from panel) select asset, ts, round(x, 6) + 0e0 x from n where x is not null")
+def finite_rows_only(spark, sf_dir):
+    p = panel(spark, sf_dir)
+    x = F.when(F.col("volume") > 1, F.col("close") / (F.col("volume") - 1)).otherwise(F.lit(float("inf")))
+    return rounded(slices.finite_rows(p.select("asset", "ts", x.alias("x")), ["x"]))
+
+
+@query(f"with {PANEL} select asset, ts, round(close::float::double, 6) + 0e0 x from panel")
+def float_close(spark, sf_dir):
+    p = slices.as_float(panel(spark, sf_dir).select("asset", "ts", "close"), ["close"])
+    return p.select("asset", "ts", r(F.col("close").cast("double")).alias("x"))
