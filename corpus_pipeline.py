@@ -32,10 +32,16 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near-duplicates."""
-    groups = ngram_join.ngram_join(docs.select("doc_id", "text"))[0]
+    """The document of the smallest doc_id of each group of near-duplicates; of rows with one doc_id and one text, one row."""
+    groups = stored(ngram_join.ngram_join(docs.select("doc_id", "text"))[0])
     gone = stored(groups.where("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
+    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
+    repeated = stored(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return kept
+    again = kept.join(repeated.hint("merge"), "doc_id", "left_semi").groupBy("doc_id", F.sha2("text", 256).alias("of"))
+    again = again.agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row")).select("doc_id", "row.*")
+    return kept.join(repeated.hint("merge"), "doc_id", "left_anti").select(*COLUMNS).union(again.select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

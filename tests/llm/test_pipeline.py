@@ -29,6 +29,15 @@ def test_near_duplicates_stage(spark):
     assert sorted(map(str, (r["doc_id"] for r in got.collect()))) == ["1", "3", "4", "None"]
 
 
+def test_repeated_rows_of_a_document(spark):
+    """Of rows with one doc_id and one text one stays; other texts of that doc_id stay too."""
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(5, text, "en", "s", 1), (5, text, "en", "s", 1), (5, text, None, "t", 1), (7, text + " x", "en", "s", 1), (9, "one", "en", "s", 1), (9, "two", "en", "s", 1), (9, "two", "en", "s", 1), (4, None, None, None, None)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = cp.drop_near_duplicates(spark, d, SF).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got if r["doc_id"] != 4) == [(5, text), (9, "one"), (9, "two")] and len(got) == 4
+
+
 def test_empty_table(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in cp.STAGES:
