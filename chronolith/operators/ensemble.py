@@ -24,8 +24,10 @@ class Config:
     temperature: float = 1.0
     risk_aversion: float = 1.0
     pessimistic_scaling: bool = True
-    scaling_factor: float = 1.0
     least_scale: float = 0.1
+    min_agreement: float = 0.0
+    disagreement_action: float = 0.0
+    confidence_epsilon: float = 1e-6
     ood_threshold: float = 2.5
     ood_warning: float = 1.5
     fallback_action: float = 0.0
@@ -61,8 +63,8 @@ def aggregate(actions: Column, spreads: Column | None = None, method: str = "mea
     raise ValueError(f"unknown aggregation: {method}")
 
 
-def pessimistic(action: Column, actions: Column, factor: float = 1.0, least: float = 0.1) -> Column:
-    return action * clip(1 - F.lit(factor) * pop_std(actions), least, 1)
+def pessimistic(action: Column, actions: Column, risk_aversion: float = 1.0, least: float = 0.1) -> Column:
+    return action * clip(1 - F.lit(risk_aversion) * pop_std(actions), least, 1)
 
 
 def agreement(actions: Column) -> Column:
@@ -86,16 +88,25 @@ def member_confidence(spread: Column) -> Column:
     return 1 / (spread + F.lit(1e-6))
 
 
-def normalized_spreads(spreads: Column, ema: Column) -> Column:
-    return F.transform(spreads, lambda s: div(s, F.greatest(ema, F.lit(1e-8))))
+def normalized_spreads(spreads: Column, ema: Column, epsilon: float = 1e-6) -> Column:
+    """Spreads over their running mean; as they are where there is none yet."""
+    return F.transform(spreads, lambda s: F.coalesce(div(s, ema + F.lit(epsilon)), s))
 
 
-def predict(df: DataFrame, config: Config, actions: str = "actions", spreads: str = "spreads", ood: str | None = None) -> DataFrame:
-    """df with action, agreement, final_action and mode."""
-    a = F.col(actions)
-    act = aggregate(a, F.col(spreads) if config.aggregation == "confidence" else None, config.aggregation, config.temperature, config.risk_aversion)
+def agreed(action: Column, actions: Column, least: float, otherwise: float = 0.0) -> Column:
+    """The action where the members agree at least so far, else a fixed one; least 0: the action always."""
+    return action if least <= 0 else F.when(agreement(actions) < least, F.lit(float(otherwise))).otherwise(action)
+
+
+def predict(df: DataFrame, config: Config, actions: str = "actions", spreads: str = "spreads", ood: str | None = None, spread_ema: str | None = None) -> DataFrame:
+    """df with action, agreement, final_action and mode. spread_ema: the column that calibrates the spreads, if any."""
+    a, s = F.col(actions), F.col(spreads) if config.aggregation == "confidence" else None
+    if s is not None and spread_ema is not None:
+        s = normalized_spreads(s, F.col(spread_ema), config.confidence_epsilon)
+    act = aggregate(a, s, config.aggregation, config.temperature, config.risk_aversion)
     if config.pessimistic_scaling:
-        act = pessimistic(act, a, config.scaling_factor, config.least_scale)
+        act = pessimistic(act, a, config.risk_aversion, config.least_scale)
+    act = agreed(act, a, config.min_agreement, config.disagreement_action)
     out = df.withColumns({"action": act, "agreement": agreement(a)})
     score = F.lit(0.0) if ood is None else F.col(ood)
     return out.withColumns(gate(F.col("action"), score, config.ood_threshold, config.ood_warning, config.fallback_action, config.fallback_scale))

@@ -34,13 +34,23 @@ def between(df: DataFrame, start, end, ts: str = "ts", lookback: str | None = No
     return df.where(F.col(ts).between(first, F.lit(end)))
 
 
+def all_finite(columns: list[str]) -> Column:
+    """True where none of the columns is NULL, NaN or infinite."""
+    good = F.lit(True)
+    for c in columns:
+        good = good & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    return good
+
+
+def assign_finite(df: DataFrame, columns: list[str], made: dict[str, Column]) -> DataFrame:
+    """df with new columns, worked out where `columns` are all finite and NULL in the other rows, which all stay."""
+    good = all_finite(columns)
+    return df.withColumns({k: F.when(good, c) for k, c in made.items()})
+
+
 def finite_rows(df: DataFrame, columns: list[str], least: int = 0) -> DataFrame:
     """Rows whose columns are all finite; ValueError if there are fewer than `least` (checked only if asked for)."""
-    good = None
-    for c in columns:
-        one = F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
-        good = one if good is None else good & one
-    out = df.where(good)
+    out = df.where(all_finite(columns))
     if least and out.limit(least).count() < least:
         raise ValueError(f"fewer than {least} finite rows")
     return out

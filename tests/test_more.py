@@ -104,3 +104,26 @@ def test_class_and_training_audits(spark):
     r = audit.training_diagnostics(d).first()
     assert r["saturation"] == 0.5 and r["churn_ratio"] == pytest.approx(1 / 6)
     assert regime.transition_diagnostics(np.eye(4))["kind"] == "STICKY"
+
+
+def test_ensemble_agreement_and_calibration(spark):
+    """Members that differ too much give the fixed action; spreads without a running mean stay as they are."""
+    from chronolith.operators import ensemble
+
+    d = spark.createDataFrame([(0, [0.5, 0.5], [1.0, 3.0], 2.0), (1, [-1.0, 1.0], [1.0, 1.0], 2.0), (2, [0.5, 0.4], [1.0, 3.0], None)], "k int, actions array<double>, spreads array<double>, ema double")
+    config = ensemble.Config(min_agreement=0.5, disagreement_action=0.25, pessimistic_scaling=False)
+    got = {r["k"]: r for r in ensemble.predict(d, config, spread_ema="ema").collect()}
+    assert got[0]["action"] == pytest.approx(0.5) and got[1]["action"] == 0.25 and got[1]["agreement"] == 0
+    w = np.exp([-1.0, -3.0])
+    assert got[2]["action"] == pytest.approx(w @ [0.5, 0.4] / w.sum())
+    n = {r["k"]: r["n"] for r in d.select("k", ensemble.normalized_spreads(F.col("spreads"), F.col("ema")).alias("n")).collect()}
+    assert n[0] == pytest.approx([1 / (2 + 1e-6), 3 / (2 + 1e-6)]) and n[2] == [1.0, 3.0]
+    kept = ensemble.predict(d, ensemble.Config(aggregation="mean", pessimistic_scaling=False)).where("k = 1").first()
+    assert kept["action"] == 0
+
+
+def test_masked_assignment_keeps_every_row(spark):
+    d = spark.createDataFrame([(1.0,), (None,), (float("nan"),), (float("-inf"),)], "x double")
+    got = [r["y"] for r in slices.assign_finite(d, ["x"], {"y": F.col("x") + 1}).collect()]
+    assert got == [2.0, None, None, None]
+    assert slices.assign_finite(d.limit(0), ["x"], {"y": F.col("x")}).count() == 0
