@@ -214,9 +214,19 @@ def dead_zone(spark, sf_dir):
     return returns(spark, sf_dir).select("asset", "ts", r(indicators.dead_zone("ret")).alias("action"))
 
 
-@query()
+FFD_ALL = ", ".join(f"({k}, {x!r}::double)" for k, x in enumerate(f.ffd_weights(0.4)))
+
+
+@query(f"""with {PANEL}, b as (select *, lag(close) over w p, case when volume = 0 then 1 else volume end v, case when high > 0 and low > 0 then sqrt(ln(high / low) ** 2 / (4 * ln(2e0))) end pk,
+  case when low > 0 and open > 0 and close > 0 then 0.5e0 * ln(high / low) ** 2 - (2 * ln(2e0) - 1) * ln(close / open) ** 2 end g, case when close > 0 then ln(close) end x, row_number() over w rn from panel window w as (partition by asset order by ts)),
+c as (select *, case when g >= 0 then sqrt(g) end gy from b), wt(k, w) as (values {FFD_ALL}),
+fd as (select a.asset, a.rn, case when count(b.x) = {len(f.ffd_weights(0.4))} then sum(b.x * wt.w) end fd from c a cross join wt join c b on b.asset = a.asset and b.rn = a.rn - wt.k group by 1, 2)
+select asset, ts, round(open, 6) + 0e0 as open, round(high, 6) + 0e0 high, round(low, 6) + 0e0 low, round(close, 6) + 0e0 as close, round(volume, 6) + 0e0 volume,
+round(least(greatest({LN.format(p="p", c="close")}, -0.2e0), 0.2e0) + case when p is null then null else 0e0 end, 6) + 0e0 log_ret, round(coalesce(ln(v / lag(v) over (partition by asset order by ts)), 0), 6) + 0e0 vol_logret,
+round(coalesce((volume - avg(volume) over w48) / (stddev_samp(volume) over w48 + 1e-8), 0), 6) + 0e0 vol_zscore, round(case when count(pk) over w24 = 24 then avg(pk) over w24 end, 6) + 0e0 parkinson, round(case when count(gy) over w24 = 24 then avg(gy) over w24 end, 6) + 0e0 gk,
+round(case when count(close) over w48 = 48 then (close - avg(close) over w48) / (stddev_samp(close) over w48 + 1e-8) end, 6) + 0e0 zscore, round(fd, 6) + 0e0 fracdiff from c left join fd using (asset, rn) window w24 as {w(24)}, w48 as {w(48)}""")
 def feature_panel(spark, sf_dir):
-    """All windowed features over one shuffle of blocks; checked against the single queries in the tests."""
+    """All windowed features over one shuffle of blocks, all 101 weights of the fractional difference."""
     return rounded(f.feature_panel(panel(spark, sf_dir), 0.4, 48, 48))
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ensemble, features, indicators, portfolio, slices
+from ..operators import audit, ensemble, features, indicators, portfolio, regime, slices
+from ..streaming import live
 from .backtests import ENS, SD, WEIGHTED, members
-from .base import PANEL, panel, query, r, rounded
+from .base import BARS, PANEL, RETURNS, events, panel, query, r, returns, rounded
 from .featured import N
 
 
@@ -53,3 +54,64 @@ def masked_assignment(spark, sf_dir):
     x = F.when(F.col("volume") > 1, F.col("close") / (F.col("volume") - 1)).otherwise(F.lit(float("nan")))
     d = panel(spark, sf_dir).withColumn("x", x)
     return rounded(slices.assign_finite(d, ["x", "open"], {"y": F.col("x") * 2 + F.col("open")}).select("asset", "ts", "y"))
+
+
+NR = "n as (select asset, ts, ret, row_number() over (partition by asset order by ts) i from returns)"
+
+
+@query(f"""with recursive {RETURNS}, {NR}, x as (select asset, i, 0.001e0 + 0.1e0 * (1e-4 - 0.001e0) + 0.0005e0 * ret x from n where i = 1 union all
+  select x.asset, n.i, x.x + 0.1e0 * (1e-4 - x.x) + 0.0005e0 * n.ret from x join n on n.asset = x.asset and n.i = x.i + 1)
+select n.asset, n.ts, round(greatest(least(x.x, 3e-3), -1e-3), 6) + 0e0 funding_rate from n join x using (asset, i)""")
+def funding_rates(spark, sf_dir):
+    """A mean-reverting rate driven by returns, so that its noise is a column."""
+    got = indicators.funding(returns(spark, sf_dir).select("asset", "ts", "ret"), "ret", 0.1, 1e-4, 0.0005, start=1e-3)
+    return got.select("asset", "ts", r("funding_rate").alias("funding_rate"))
+
+
+@query(f"""with recursive {RETURNS}, {NR}, s as (select asset, i, ret g, 1 + 1e-4 c, ret / (1 + 1e-4) m, 1e-4 + ret * (ret - ret / (1 + 1e-4)) q from n where i = 1 union all
+  select asset, i, g, c, m + d / c, q + d * (g - m - d / c) from (select s.asset, n.i, 0.99e0 * s.g + n.ret g, s.c + 1 c, s.m, s.q, 0.99e0 * s.g + n.ret - s.m d from s join n on n.asset = s.asset and n.i = s.i + 1))
+select n.asset, n.ts, round(greatest(least(ret / sqrt(q / c + 1e-8), 10), -10), 6) + 0e0 normalized from n join s using (asset, i)""")
+def normalized_rewards(spark, sf_dir):
+    got = indicators.running_normalization(returns(spark, sf_dir).select("asset", "ts", "ret"), "ret", keys=("asset",), order="ts")
+    return got.select("asset", "ts", r("normalized").alias("normalized"))
+
+
+@query(f"""with {PANEL}, n as (select asset, ts, close, row_number() over (partition by asset order by ts) - 1 rn from panel), s as (select unnest([0, 1, 2]) episode), a as (select distinct asset from panel)
+select n.asset, s.episode::int episode, n.ts, n.close from n join a using (asset) join s on n.rn between s.episode * 40 and s.episode * 40 + 64""")
+def overlapping_episodes(spark, sf_dir):
+    p = panel(spark, sf_dir).select("asset", "ts", "close")
+    starts = p.select("asset").distinct().withColumn("episode", F.explode(F.array(*[F.lit(k) for k in range(3)]))).withColumn("start", F.col("episode") * 40)
+    return portfolio.episodes(p, starts, 64).select("asset", "episode", "ts", "close")
+
+
+@query(f"""with {RETURNS}, g as (select state, stddev_pop(ret) / 10 v, 100e0 * avg((ret > 0)::int) w from returns group by 1)
+select state, (case when v < 0.05 then 'Low volatility' when v < 0.15 then 'Medium volatility' else 'High volatility' end) || ', ' || (case when w > 52 then 'bullish' when w < 48 then 'bearish' else 'neutral' end) words from g""")
+def state_words(spark, sf_dir):
+    got = returns(spark, sf_dir).groupBy("state").agg((F.stddev_pop("ret") / 10).alias("v"), (100 * F.avg((F.col("ret") > 0).cast("double"))).alias("w"))
+    return got.select("state", regime.describe(F.col("v"), F.col("w")).alias("words"))
+
+
+@query(f"""with {RETURNS}, d as (select asset, greatest(least(ret, 1), -1) a, abs(ret) * 0.001e0 c, ret g from returns)
+select asset, round(avg((abs(a) > 0.95)::int), 6) saturation, round(avg(a), 6) + 0e0 mean_action, round(avg(abs(a)), 6) mean_abs_action, round(coalesce(sum(c) / nullif(sum(abs(g)), 0), 0), 6) churn_ratio from d group by 1""")
+def action_diagnostics(spark, sf_dir):
+    d = returns(spark, sf_dir).select("asset", F.greatest(F.least("ret", F.lit(1.0)), F.lit(-1.0)).alias("action"), (F.abs("ret") * 0.001).alias("cost"), F.col("ret").alias("gain"))
+    return rounded(audit.training_diagnostics(d, ("asset",)))
+
+
+@query(f"with {BARS} select asset, ts, open, high, low, close, volume from bars")
+def live_bars(spark, sf_dir):
+    """The streaming operator on a table: the bars of the batch one."""
+    return live.hourly_bars(events(spark, sf_dir))
+
+
+@query("""with l as (select event_type asset, ts, ts - lag(ts) over (partition by event_type order by ts) >= interval 3 hour as far from events), n as (select asset, ts, sum(coalesce(far, true)::int) over (partition by asset order by ts rows between unbounded preceding and current row) k from l)
+select asset, min(ts) as start, max(ts) + interval 3 hour as "end", count(*) n from n group by asset, k""")
+def live_sessions(spark, sf_dir):
+    return live.sessions(events(spark, sf_dir))
+
+
+@query("""with e as (select event_type, date_trunc('day', ts)::timestamp ts, event_id, value from events) select event_type, ts, max(event_id) event_id, arg_max(value, event_id) as value from e group by 1, 2""")
+def live_latest(spark, sf_dir):
+    """Of the rows of one key and time (days here), the last."""
+    e = events(spark, sf_dir).select("event_type", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts"), "event_id", "value")
+    return live.latest(e, ["event_type"])

@@ -27,6 +27,13 @@ def deduplicated(events: DataFrame, keys: list[str], late: str = "2 hours", ts:
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
+def latest(events: DataFrame, keys: list[str], late: str = "2 hours", ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    """The last row (by `tie`) of each key and time, once the watermark passes. State is one row a key and time within the watermark."""
+    names = [c for c in events.columns if c != ts and c not in keys]
+    got = events.withWatermark(ts, late).groupBy(ts, *keys).agg(F.max_by(F.struct(*names), tie).alias("row"))
+    return got.select(*keys, ts, *[F.col("row").getField(c).alias(c) for c in names])
+
+
 def sessions(events: DataFrame, gap: str = "3 hours", late: str = "2 hours", asset: str = "event_type", ts: str = "ts") -> DataFrame:
     """Spells of activity, ended by a gap."""
     got = events.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("s"), F.col(asset).alias("asset")).agg(F.count("*").alias("n"))
