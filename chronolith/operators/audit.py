@@ -249,8 +249,8 @@ def resample(df: DataFrame, c: str, order: str, buckets: int, keys: tuple[str, .
     d = df.withColumns({"__rn": F.row_number().over(w.orderBy(order)) - 1, "__n": F.count("*").over(w)})
     size = F.greatest(F.ceil(F.col("__n") / buckets), F.lit(1))
     d = d.withColumns({"bucket": F.floor(F.col("__rn") / size).cast("int"), "__in": F.col("__rn") % size})
-    mid = F.floor(F.count("*") / 2)
-    return d.groupBy(*keys, "bucket").agg(F.avg(c).alias("value"), F.element_at(F.array_sort(F.collect_list(order)), (mid + 1).cast("int")).alias("step"))
+    mid = F.floor(F.least(size, F.col("__n") - F.col("bucket") * size) / 2)  # the last bucket may be shorter
+    return d.groupBy(*keys, "bucket").agg(F.avg(c).alias("value"), F.max(F.when(F.col("__in") == mid, F.col(order))).alias("step"))
 
 
 def sparkline(df: DataFrame, c: str, order: str, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -125,9 +125,10 @@ def backtest_breaker(spark, sf_dir):
     return rounded(portfolio.breaker_stats(steps))
 
 
-@query()
+@query(f"""with recursive {PRICE}, act as (select *, 1e0 act from st), {WALK} select i - 1 t, round(avg(nav), 4) + 0e0 mean_nav, round(max(dd), 4) + 0e0 max_drawdown, round(avg(held), 4) + 0e0 mean_position,
+round(stddev_samp(held), 4) + 0e0 std_position, round(avg((abs(held) > 0.1)::int), 4) + 0e0 in_market from w where i > 0 group by 1""")
 def environment_snapshot(spark, sf_dir):
-    return rounded(audit.environment_snapshot(portfolio.backtest(portfolio.buy_and_hold(priced(spark, sf_dir)), RULES)))
+    return rounded(audit.environment_snapshot(portfolio.backtest(portfolio.buy_and_hold(priced(spark, sf_dir)), RULES)), 4)
 
 
 @query(f"""with {RETURNS}, x as (select asset, ts, ret / 100 ret, (state - 1.5e0) / 1.5e0 p from returns), d as (select *, abs(p - coalesce(lag(p) over (partition by asset order by ts), 0)) c, coalesce(stddev_pop(case when ret < 0 then ret end) over w, 1e-8) dn, avg(ret) over w m from x window w as (partition by asset order by ts rows between 23 preceding and current row)),

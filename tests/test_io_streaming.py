@@ -83,3 +83,18 @@ def test_live_beliefs_equal_batch(spark, tmp_path):
     want = regime.forward_filter(d, model, ["x"], states=2)
     both = got.withColumnRenamed("hmm_prob_0", "p").join(want, ["asset", "ts"])
     assert both.count() == 30 and both.where("abs(p - hmm_prob_0) > 1e-6").count() == 0
+
+
+def test_live_sessions_and_latest_rows_equal_batch(spark, tmp_path):
+    """Repeated rows of a key: the last by event_id; a session that is still open doesn't come out."""
+    at = [0, 1, 2, 9, 10, 30]
+    rows = [(T0 + timedelta(hours=h), k, "a", float(k)) for k, h in enumerate(at)] + [(T0 + timedelta(hours=1), 50, "a", 7.0), (T0 + timedelta(hours=1), 40, "a", None)]
+    d = spark.createDataFrame(rows, "ts timestamp, event_id bigint, event_type string, value double")
+    d.coalesce(1).write.parquet(f"{tmp_path}/s")
+    stream = lambda: spark.readStream.schema(d.schema).parquet(f"{tmp_path}/s")
+    got = [(r["start"], r["end"], r["n"]) for r in run(live.sessions(stream()), spark).orderBy("start").collect()]
+    whole = [(r["start"], r["end"], r["n"]) for r in live.sessions(d).orderBy("start").collect()]
+    assert [x[2] for x in whole] == [5, 2, 1] and got == whole[:2]
+    last = {r["ts"]: (r["event_id"], r["value"]) for r in run(live.latest(stream(), ["event_type"]), spark).collect()}
+    want = {r["ts"]: (r["event_id"], r["value"]) for r in live.latest(d, ["event_type"]).collect()}
+    assert len(want) == 6 and (50, 7.0) in want.values() and last == {t: v for t, v in want.items() if t != max(want)}
