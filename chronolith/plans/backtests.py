@@ -120,7 +120,7 @@ def dsr_reward(spark, sf_dir):
 
 @query()
 def backtest_breaker(spark, sf_dir):
-    """Circuit breaker's statistics; the fold is checked against a step-by-step reference in the tests."""
+    """Circuit breaker's statistics; the tests check that it forces positions flat, not every step."""
     steps = portfolio.backtest(portfolio.oracle(priced(spark, sf_dir)), RULES, breaker=portfolio.Breaker(0.005))
     return rounded(portfolio.breaker_stats(steps))
 
