@@ -1,6 +1,6 @@
 """The registered queries of this package and the SQL that says the same, where SQL can."""
 
-from . import bpe, exact_dedup, language_id, line_dedup, ngram_join, secrets, source_mix, substring_dedup, toxicity, vector_dedup
+from . import bpe, conversation_repair, exact_dedup, language_id, line_dedup, ngram_join, secrets, source_mix, substring_dedup, toxicity, vector_dedup
 
 QUERIES = {
     "op1_source_mix": source_mix.op1_source_mix,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_conversation_repair": conversation_repair.op11_conversation_repair,
 }
 
 ORACLES = {
@@ -21,4 +22,5 @@ ORACLES = {
     "op6_secret_scan": secrets.ORACLE,
     "op7_substring_dedup": substring_dedup.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
+    "op11_conversation_repair": conversation_repair.ORACLE,
 }
