@@ -1,6 +1,6 @@
 """The registered queries of this package and the SQL that says the same, where SQL can."""
 
-from . import bpe, conversation_repair, exact_dedup, html_extract, language_id, line_dedup, ngram_join, secrets, source_mix, substring_dedup, toxicity, vector_dedup
+from . import bpe, collocations, conversation_repair, exact_dedup, html_extract, language_id, line_dedup, ngram_join, secrets, source_mix, substring_dedup, toxicity, vector_dedup
 
 QUERIES = {
     "op1_source_mix": source_mix.op1_source_mix,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_conversation_repair": conversation_repair.op11_conversation_repair,
+    "op12_collocations": collocations.op12_collocations,
     "op13_html_extract": html_extract.op13_html_extract,
 }
 
@@ -24,4 +25,5 @@ ORACLES = {
     "op7_substring_dedup": substring_dedup.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
     "op11_conversation_repair": conversation_repair.ORACLE,
+    "op12_collocations": collocations.ORACLE,
 }
