@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: Hours of a block; halos of the default lookbacks (up to 720 rows) add a tenth.
 BLOCK_HOURS = 8192
 BLOCK, LENT = "__block", "__lent"
+#: Rows of a block where the order is a number, hours where it is a time.
+BLOCK_ROWS = 8192
 
 
 def hour_index(ts: str = "ts") -> Column:
@@ -32,6 +34,43 @@ def unblocked(df: DataFrame) -> DataFrame:
     return df.where(~F.col(LENT)).drop(BLOCK, LENT)
 
 
+def block_of(df: DataFrame, order: str, size: int = BLOCK_ROWS) -> Column:
+    """Number of the block that a row lies in, rising with the order column: a time or a number."""
+    kind = df.schema[order].dataType.typeName()
+    if kind in ("timestamp", "timestamp_ntz", "date"):
+        return F.floor(hour_index(order) / size)
+    return F.floor(F.col(order) / size).cast("long")
+
+
+def dealt(df: DataFrame, keys: Sequence[str] = ("asset",), order: str = "ts", size: int = BLOCK_ROWS, previous: Sequence[str] = (), anchors: Sequence[str] = ()) -> DataFrame:
+    """df with its block, __rn (the row's number in its series, from 0), __n (rows of the series), __first (number of the first row whose anchors
+    all have values) and __prev_c (the value of c in the row before) for each column of `previous`.
+
+    Rows are numbered within their block; what a block adds to later ones is one small row, and only those are taken in order.
+    """
+    keys = list(keys)
+    d = df.withColumn(BLOCK, block_of(df, order, size))
+    w = Window.partitionBy(*keys, BLOCK).orderBy(order)
+    d = d.withColumns({"__in": F.row_number().over(w) - 1, **{f"__prev_{c}": F.lag(c).over(w) for c in previous}})
+    has = F.lit(True)
+    for c in anchors:
+        has = has & F.col(c).isNotNull() & (~F.isnan(c) if df.schema[c].dataType.typeName() in ("double", "float") else F.lit(True))
+    blocks = d.groupBy(*keys, BLOCK).agg(
+        F.count("*").alias("__rows"), F.min(F.when(has, F.col("__in"))).alias("__head"), *[F.max_by(c, F.struct("__in")).alias(f"__last_{c}") for c in previous]
+    )
+    all_ = Window.partitionBy(*keys)
+    after = all_.orderBy(BLOCK)
+    blocks = blocks.withColumn("__before", F.coalesce(F.sum("__rows").over(after.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    blocks = blocks.withColumns({"__n": F.sum("__rows").over(all_), "__first": F.min(F.col("__before") + F.col("__head")).over(all_), **{f"__last_{c}": F.lag(f"__last_{c}").over(after) for c in previous}})
+    blocks = blocks.withColumnsRenamed({k: f"__k_{k}" for k in [*keys, BLOCK]})
+    met = F.lit(True)
+    for k in [*keys, BLOCK]:
+        met = met & d[k].eqNullSafe(F.col(f"__k_{k}"))
+    d = d.join(blocks, met)
+    d = d.withColumns({"__rn": F.col("__before") + F.col("__in"), **{f"__prev_{c}": F.when(F.col("__in") > 0, F.col(f"__prev_{c}")).otherwise(F.col(f"__last_{c}")) for c in previous}})
+    return d.select(*df.columns, BLOCK, "__rn", "__n", "__first", *[f"__prev_{c}" for c in previous])
+
+
 def over(df: DataFrame, keys: Sequence[str] = ("asset",), order: Sequence[str] = ("ts",)) -> WindowSpec:
     """The window of an ordered series; within blocks if df has been dealt to blocks."""
     keys = [*keys, BLOCK] if BLOCK in df.columns else list(keys)

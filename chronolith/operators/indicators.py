@@ -1,7 +1,9 @@
-"""Recursive indicators. A recursion is a fold over one key's rows in order, in numpy, one key a task.
+"""Recursive indicators. Averages are affine recursions, worked out over blocks of a series (`functions.scans`), so that one
+long series is many tasks; an indicator whose second average is of a ratio of first ones takes two such passes.
 
 Seeds: Wilder averages start from the mean of the first n values, exponential averages from the mean of the first n;
-earlier rows are NULL. Keys can be (asset, segment) or any finer split, which is what makes folds parallel.
+earlier rows are NULL. A NULL after the first value makes all later ones of that series NULL. The functions of arrays are the
+same on one array; `fold` is for what isn't affine.
 """
 
 from __future__ import annotations
@@ -11,7 +13,10 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..functions.scans import known, recursion, smoothing
+from ..functions.windows import BLOCK_ROWS
 
 
 def fold(df: DataFrame, keys: tuple[str, ...], order: str, inputs: list[str], outputs: list[str], f: Callable[..., list[np.ndarray]]) -> DataFrame:
@@ -79,92 +84,128 @@ def adx_of(high: np.ndarray, low: np.ndarray, close: np.ndarray, n: int = 14) ->
     return wilder(np.where(np.isnan(a), np.nan, dx), n)
 
 
-def rsi(df: DataFrame, n: int = 14, keys: tuple[str, ...] = ("asset",), order: str = "ts") -> DataFrame:
-    return fold(df, keys, order, ["close"], ["rsi"], lambda c: [rsi_of(c, n)])
+Keys = tuple[str, ...]
 
 
-def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, keys: tuple[str, ...] = ("asset",), order: str = "ts") -> DataFrame:
-    return fold(df, keys, order, ["close"], ["macd", "macd_hist"], lambda c: list(macd_of(c, fast, slow, signal)))
+class _Momentum:
+    """First averages of rsi, macd and adx side by side, by name: (values of a row, seed length, alpha, rows before the first value)."""
 
+    def __init__(self, n: int, fast: int, slow: int, signal: int):
+        self.n, self.fast, self.slow, self.signal = n, fast, slow, signal
+        w = 1 / n
+        gain = lambda r: np.maximum(r["close"] - r["prev_close"], 0)
+        loss = lambda r: np.maximum(r["prev_close"] - r["close"], 0)
+        up, down = (lambda r: r["high"] - r["prev_high"]), (lambda r: r["prev_low"] - r["low"])
+        self.first = {
+            "gain": (gain, n, w, 1), "loss": (loss, n, w, 1),
+            "fast": (lambda r: r["close"], fast, 2 / (fast + 1), 0), "slow": (lambda r: r["close"], slow, 2 / (slow + 1), 0),
+            "range": (_true_range, n, w, 1),
+            "plus": (lambda r: np.where((up(r) > down(r)) & (up(r) > 0), up(r), 0.0), n, w, 1), "minus": (lambda r: np.where((down(r) > up(r)) & (down(r) > 0), down(r), 0.0), n, w, 1),
+        }
 
-def adx(df: DataFrame, n: int = 14, keys: tuple[str, ...] = ("asset",), order: str = "ts") -> DataFrame:
-    return fold(df, keys, order, ["high", "low", "close"], ["adx"], lambda h, l, c: [adx_of(h, l, c, n)])
+    def averages(self, df: DataFrame, names: list[str], inputs: list[str], outputs: list[str], finish, keys: Keys, order: str, size: int) -> DataFrame:
+        own = [self.first[k] for k in names]
 
+        def maps(r):
+            return [smoothing(_from(f(r), r["pos"] >= lag), r["pos"] - lag, n, alpha) for f, n, alpha, lag in own]
 
-def atr_ratio(df: DataFrame, n: int = 14, keys: tuple[str, ...] = ("asset",), order: str = "ts") -> DataFrame:
-    def f(h, l, c):
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return [wilder(true_range(h, l, c), n) / c]
+        def done(r, y):
+            return finish(r, {k: known(v, r["pos"] - lag, n) for k, v, (_, n, _, lag) in zip(names, y, own, strict=True)})
 
-    return fold(df, keys, order, ["high", "low", "close"], ["atr_ratio"], f)
+        return recursion(df, keys, order, inputs, outputs, [0.0] * len(names), maps, done, inputs, size)
 
 
-def momentum(df: DataFrame, keys: tuple[str, ...] = ("asset",), order: str = "ts") -> DataFrame:
-    """rsi, macd_hist and adx in one fold; rows before an indicator's first value are NULL."""
-    return fold(df, keys, order, ["high", "low", "close"], ["rsi", "macd_hist", "adx"], lambda h, l, c: [rsi_of(c), macd_of(c)[1], adx_of(h, l, c)])
+def _from(x: np.ndarray, on: np.ndarray) -> np.ndarray:
+    return np.where(on, x, 0.0)
 
 
-def ema_volatility(df: DataFrame, ret: str, window: int = 24, target: float = 0.05, keys: tuple[str, ...] = ("asset",), order: str = "ts") -> DataFrame:
-    """Root of the exponential average of squared returns, from the target's square on."""
-    alpha = 2 / (window + 1)
+def _true_range(r) -> np.ndarray:
+    return np.maximum(r["high"] - r["low"], np.maximum(np.abs(r["high"] - r["prev_close"]), np.abs(r["low"] - r["prev_close"])))
 
-    def f(r):
-        v, out = target * target, np.empty(len(r))
-        for t, x in enumerate(np.nan_to_num(r)):
-            v = alpha * x * x + (1 - alpha) * v
-            out[t] = max(np.sqrt(v), 1e-6)
-        return [out]
 
-    return fold(df, keys, order, [ret], ["ema_vol"], f)
+def _again(df: DataFrame, inputs: dict[str, tuple[int, float]], finish, outputs: list[str], keys: Keys, order: str, size: int) -> DataFrame:
+    """Second averages of columns that begin after NULLs, each (n, alpha), and outputs made of them; the inputs are taken away."""
+    for c in inputs:  # NULLs after the first value must stay without value, those before it count as nothing
+        n, alpha = inputs[c]
+        df = recursion(
+            df, keys, order, [c], [f"__s{c}"], [0.0], lambda r, c=c, n=n, alpha=alpha: [smoothing(_from(r[c], r["pos"] >= 0), r["pos"], n, alpha)],
+            lambda r, y, n=n: [known(y[0], r["pos"], n)], (), size,
+        )
+    return finish(df).drop(*inputs, *[f"__s{c}" for c in inputs])
 
 
-def smoothed_action(df: DataFrame, action: str = "action", alpha: float = 0.3, keys: tuple[str, ...] = ("asset",), order: str = "ts") -> DataFrame:
-    """alpha a + (1 - alpha) the one before, the first as it is."""
+def _rsi(y: dict[str, np.ndarray]) -> np.ndarray:
+    return np.where(y["loss"] == 0, 100.0, 100 - 100 / (1 + y["gain"] / y["loss"])) + 0 * y["gain"]
+
+
+def _dx(y: dict[str, np.ndarray]) -> np.ndarray:
+    a, b = 100 * y["plus"] / y["range"], 100 * y["minus"] / y["range"]
+    return np.where(np.isnan(a), np.nan, np.where(a + b == 0, 0.0, 100 * np.abs(a - b) / (a + b)))
+
+
+def rsi(df: DataFrame, n: int = 14, keys: Keys = ("asset",), order: str = "ts", size: int = BLOCK_ROWS) -> DataFrame:
+    return _Momentum(n, 12, 26, 9).averages(df, ["gain", "loss"], ["close"], ["rsi"], lambda r, y: [_rsi(y)], keys, order, size)
+
+
+def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, keys: Keys = ("asset",), order: str = "ts", size: int = BLOCK_ROWS) -> DataFrame:
+    d = _Momentum(14, fast, slow, signal).averages(df, ["fast", "slow"], ["close"], ["__line"], lambda r, y: [y["fast"] - y["slow"]], keys, order, size)
+    return _again(d, {"__line": (signal, 2 / (signal + 1))}, lambda d: d.withColumns({"macd": F.col("__line"), "macd_hist": F.col("__line") - F.col("__s__line")}), ["macd", "macd_hist"], keys, order, size)
+
+
+def adx(df: DataFrame, n: int = 14, keys: Keys = ("asset",), order: str = "ts", size: int = BLOCK_ROWS) -> DataFrame:
+    d = _Momentum(n, 12, 26, 9).averages(df, ["range", "plus", "minus"], ["high", "low", "close"], ["__dx"], lambda r, y: [_dx(y)], keys, order, size)
+    return _again(d, {"__dx": (n, 1 / n)}, lambda d: d.withColumn("adx", F.col("__s__dx")), ["adx"], keys, order, size)
+
 
-    def f(a):
-        out = a.copy()
-        for t in range(1, len(a)):
-            out[t] = alpha * a[t] + (1 - alpha) * out[t - 1]
-        return [out]
+def atr_ratio(df: DataFrame, n: int = 14, keys: Keys = ("asset",), order: str = "ts", size: int = BLOCK_ROWS) -> DataFrame:
+    return _Momentum(n, 12, 26, 9).averages(df, ["range"], ["high", "low", "close"], ["atr_ratio"], lambda r, y: [y["range"] / r["close"]], keys, order, size)
 
-    return fold(df, keys, order, [action], ["smoothed"], f)
+
+def momentum(df: DataFrame, keys: Keys = ("asset",), order: str = "ts", size: int = BLOCK_ROWS) -> DataFrame:
+    """rsi, macd_hist and adx, their first averages in one pass; rows before an indicator's first value are NULL."""
+    m = _Momentum(14, 12, 26, 9)
+    finish = lambda r, y: [_rsi(y), y["fast"] - y["slow"], _dx(y)]
+    d = m.averages(df, list(m.first), ["high", "low", "close"], ["rsi", "__line", "__dx"], finish, keys, order, size)
+    return _again(d, {"__line": (9, 0.2), "__dx": (14, 1 / 14)}, lambda d: d.withColumns({"macd_hist": F.col("__line") - F.col("__s__line"), "adx": F.col("__s__dx")}), ["macd_hist", "adx"], keys, order, size)
+
+
+def ema_volatility(df: DataFrame, ret: str, window: int = 24, target: float = 0.05, keys: Keys = ("asset",), order: str = "ts", size: int = BLOCK_ROWS) -> DataFrame:
+    """Root of the exponential average of squared returns (NULL counts as 0), from the target's square on."""
+    alpha = 2 / (window + 1)
+    maps = lambda r: [(np.full(len(r["rn"]), 1 - alpha), alpha * np.nan_to_num(r[ret]) ** 2)]
+    return recursion(df, keys, order, [ret], ["ema_vol"], [target * target], maps, lambda r, y: [np.maximum(np.sqrt(y[0]), 1e-6)], (), size)
+
+
+def smoothed_action(df: DataFrame, action: str = "action", alpha: float = 0.3, keys: Keys = ("asset",), order: str = "ts", size: int = BLOCK_ROWS) -> DataFrame:
+    """alpha a + (1 - alpha) the one before, the first as it is."""
+    maps = lambda r: [(np.where(r["rn"] == 0, 0.0, 1 - alpha), np.where(r["rn"] == 0, 1.0, alpha) * r[action])]
+    return recursion(df, keys, order, [action], ["smoothed"], [0.0], maps, lambda r, y: y, (), size)
 
 
 def dead_zone(c, width: float = 0.1):
     """0 for actions smaller than the width; a plain projection."""
-    from pyspark.sql import functions as F
-
     return F.when(F.abs(c) < width, 0.0).otherwise(F.col(c) if isinstance(c, str) else c)
 
 
-def funding(df: DataFrame, noise: str, theta: float, mu: float, sigma: str | float, dt: float = 1.0, start: float = 0.0, bound: tuple[float, float] = (-1e-3, 3e-3), keys: tuple[str, ...] = ("asset",), order: str = "ts") -> DataFrame:
+def funding(df: DataFrame, noise: str, theta: float, mu: float, sigma: str | float, dt: float = 1.0, start: float = 0.0, bound: tuple[float, float] = (-1e-3, 3e-3), keys: Keys = ("asset",), order: str = "ts", size: int = BLOCK_ROWS) -> DataFrame:
     """Mean-reverting rate driven by a column of noise (and of volatility, if sigma names one), clipped at the end."""
     inputs = [noise, sigma] if isinstance(sigma, str) else [noise]
 
-    def f(e, s=None):
-        x, out = start, np.empty(len(e))
-        for t in range(len(e)):
-            x += theta * (mu - x) * dt + (sigma if s is None else s[t]) * np.sqrt(dt) * e[t]
-            out[t] = x
-        return [np.clip(out, *bound)]
-
-    return fold(df, keys, order, inputs, ["funding_rate"], f)
-
+    def maps(r):
+        s = r[sigma] if isinstance(sigma, str) else sigma
+        return [(np.full(len(r["rn"]), 1 - theta * dt), theta * mu * dt + s * np.sqrt(dt) * r[noise])]
 
-def running_normalization(df: DataFrame, reward: str = "reward", gamma: float = 0.99, bound: float = 10.0, keys: tuple[str, ...] = ("episode",), order: str = "t") -> DataFrame:
-    """Rewards over the running deviation of their discounted sums, clipped."""
+    return recursion(df, keys, order, inputs, ["funding_rate"], [start], maps, lambda r, y: [np.clip(y[0], *bound)], (), size)
 
-    def f(r):
-        n, mean, m2, g, out = 1e-4, 0.0, 1e-4, 0.0, np.empty(len(r))
-        for t, x in enumerate(r):
-            g = gamma * g + x
-            n += 1
-            d = g - mean
-            mean += d / n
-            m2 += d * (g - mean)
-            out[t] = np.clip(x / np.sqrt(m2 / n + 1e-8), -bound, bound)
-        return [out]
 
-    return fold(df, keys, order, [reward], ["normalized"], f)
+def running_normalization(df: DataFrame, reward: str = "reward", gamma: float = 0.99, bound: float = 10.0, keys: Keys = ("episode",), order: str = "t", size: int = BLOCK_ROWS) -> DataFrame:
+    """Rewards over the running deviation of their discounted sums, clipped. The sums are one recursion, their running moments another."""
+    d = recursion(df, keys, order, [reward], ["__sum"], [0.0], lambda r: [(np.full(len(r["rn"]), gamma), r[reward])], lambda r, y: y, (), size)
 
+    def finish(r, y):
+        n = 1e-4 + r["rn"] + 1
+        spread = (1e-4 + y[1] - y[0] ** 2 / n) / n
+        return [np.clip(r[reward] / np.sqrt(np.maximum(spread, 0) + 1e-8), -bound, bound)]
 
+    ones = lambda r: np.ones(len(r["rn"]))
+    return recursion(d, keys, order, [reward, "__sum"], ["normalized"], [0.0, 0.0], lambda r: [(ones(r), r["__sum"]), (ones(r), r["__sum"] ** 2)], finish, (), size).drop("__sum")

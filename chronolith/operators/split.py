@@ -5,9 +5,10 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.windows import dealt
 from ..schema import CONTEXT_ROWS, EMBARGO, MAX_LOOKBACK, PURGE
 
 
@@ -21,9 +22,8 @@ def check_purge(purge: int, least: int = MAX_LOOKBACK, strict: bool = True) -> b
 
 
 def numbered(df: DataFrame, keys: tuple[str, ...] = ("asset",), order: str = "ts") -> DataFrame:
-    """df with rn, from 0, and n, the rows of its series."""
-    w = Window.partitionBy(*keys)
-    return df.withColumns({"rn": F.row_number().over(w.orderBy(order)) - 1, "n": F.count("*").over(w)})
+    """df with rn, from 0, and n, the rows of its series. Rows are numbered by blocks of time, a series of any length in many tasks."""
+    return dealt(df, keys, order).select(*df.columns, F.col("__rn").alias("rn"), F.col("__n").alias("n"))
 
 
 def split_label(n: Column, rn: Column, train: float = 0.7, val: float = 0.15, purge: int = PURGE) -> Column:
