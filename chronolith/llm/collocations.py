@@ -1,14 +1,16 @@
 """Phrase collocations by contiguous pattern growth from frequent prefixes.
 
-Texts are cut into pieces and words, per language. A phrase can't be more frequent than the words and word pairs in it, so
-words are counted first, then the pairs of frequent words, and what is projected for growth are the occurrences of words that
-begin a run of frequent pairs: each with the up to four words to its right, equal ones of a task counted together. Sorted by
-those words, a prefix's occurrences lie together; each task takes the prefixes of a range and extends them to the right, depth first,
-as long as they are frequent (`grow`). A prefix with a great share of all occurrences is split over tasks: what touches the edge
-of a batch is passed on as a partial count, whatever it is, and partial counts are summed.
-
-Frequent words and pairs reach the tasks as bitmaps of at most 2**27 bits, which let through a few more; counts of phrases are exact. 64-bit
-hashes stand for words (of one language), as elsewhere in this package.
+Texts are cut into pieces and words, per language. A phrase can't be more frequent than the words and phrases in it, so
+words are counted first, then the pairs of frequent words, then, in sketches, runs of three to five words whose pairs are frequent. What is
+projected for growth are the occurrences of frequent pairs that a sketch lets go on: each with the up to three words to its right
+that it lets through, equal ones of a task counted together. Sorted by those words, a prefix's occurrences lie together; each
+task takes the prefixes of a range and extends them to the right, depth first, as long as they are frequent (`grow`). A prefix with
+a great share of all occurrences is split over tasks: what touches the edge of a batch is passed on as a partial count,
+whatever it is, and partial counts are summed.
+
+Frequent words and pairs reach the tasks as bitmaps of at most 2**27 bits, longer runs as count-min sketches of at most 2**24 cells, merged from
+the tasks' ones: both only let through more than is frequent, never less, and counts of phrases are exact. 64-bit hashes stand for words (of
+one language), as elsewhere in this package.
 
 Defined results: null text is empty, null language is `und`; a phrase never crosses the end of a piece or a text; words that only differ in
 the case of A-Z are one; repeated rows count as often as they stand; equal scores and counts are ordered by the phrase's bytes. Scores are whole numbers
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import _LOWER, Words, chunks, mix, ship, stored, table, tidy, trim
+from .common import _LOWER, Words, chunks, merged, mix, ship, stored, table, tidy, trim
 
 #: Words of a phrase at most.
 LONGEST = 5
@@ -73,10 +75,6 @@ def each_text(batches, langs: dict[str, int]):
             yield Texts(buf, offsets, codes[i:j], seeds)
 
 
-def pair_ids(ids: np.ndarray) -> np.ndarray:
-    return mix(ids[:-1] * _PAIR + ids[1:])
-
-
 def has(bitmap: np.ndarray, bits: int, ids: np.ndarray) -> np.ndarray:
     cell = ids >> np.uint64(64 - bits)
     return ((bitmap[(cell >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (cell & np.uint64(7)).astype(np.uint8))) & 1).astype(bool)
@@ -105,25 +103,25 @@ def bits_for(n: int) -> int:
 
 
 def counted(d: DataFrame, pick, schema: str) -> DataFrame:
-    """pick(texts) -> (language codes, ids) of each run of texts; equal ones of a task are counted: (lang, w, n) or (w, n)."""
+    """pick(texts) -> (ids, values beside them) of each run of texts; equal ids of a task are counted: a language for codes, or values, and n."""
 
     def count(batches):
         langs: dict[str, int] = {}
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def out():
-            lang, ids = (np.concatenate(x) for x in zip(*held, strict=True))
-            w, first, n = np.unique(ids, return_index=True, return_counts=True)
-            columns = {"w": pa.array(w.view(np.int64)), "n": pa.array(n.astype(np.int64))}
+            ids, *beside = (np.concatenate(x) for x in zip(*held, strict=True))
+            _, first, n = np.unique(ids, return_index=True, return_counts=True)
             if schema.startswith("lang"):
-                names = np.array(list(langs), dtype=object)
-                columns = {"lang": pa.array(names[lang[first]], pa.string()), **columns}
-            return pa.RecordBatch.from_pydict(columns)
+                made = [pa.array(np.array(list(langs), dtype=object)[beside[0][first]], pa.string()), pa.array(ids[first].view(np.int64))]
+            else:
+                made = [pa.array(x[first].view(np.int64)) for x in beside]
+            return pa.RecordBatch.from_arrays([*made, pa.array(n.astype(np.int64))], [c.split()[0] for c in schema.split(", ")])
 
         for t in each_text(batches, langs):
             held.append(pick(t))
-            size += len(held[-1][1])
+            size += len(held[-1][0])
             if size > FLUSH:
                 yield out()
                 held, size = [], 0
@@ -133,8 +131,70 @@ def counted(d: DataFrame, pick, schema: str) -> DataFrame:
     return d.mapInArrow(count, schema)
 
 
-def windows(d: DataFrame, words: tuple[np.ndarray, int], pairs: tuple[np.ndarray, int]) -> DataFrame:
-    """Projected occurrences (lang, w1 to w5, n): a word and the frequent pairs' words after it; and the spelling of words (w1, word)."""
+#: Cells of a sketch of runs of m words, at most; rows of it are blocks of so many.
+SKETCH_BITS, BLOCK_BITS = 24, 18
+
+
+def frequent_runs(t: Texts, words: tuple[np.ndarray, int], pairs: tuple[np.ndarray, int]) -> np.ndarray:
+    """Whether a word begins a frequent pair."""
+    ok = t.joint.copy()
+    if len(ok) > 1:
+        on = has(*words, t.id)
+        ok[:-1] &= on[:-1] & on[1:]
+        at = np.flatnonzero(ok)
+        ok[at] = has(*pairs, mix(t.id[at] * _PAIR + t.id[at + 1]))
+    return ok
+
+
+def longer(t: Texts, ok: np.ndarray):
+    """(m, places, ids) of the runs of m words, three and more, all of whose pairs are frequent."""
+    at = np.flatnonzero(ok)
+    key = mix(t.id[at] * _PAIR + t.id[np.minimum(at + 1, len(ok) - 1)])
+    for m in range(3, LONGEST + 1):
+        go = ok[np.minimum(at + m - 2, len(ok) - 1)] & (at + m - 1 < len(ok))
+        at, key = at[go], key[go]
+        key = mix(key * _PAIR + t.id[at + m - 1])
+        yield m, at, key
+
+
+def sketches(d: DataFrame, words: tuple[np.ndarray, int], pairs: tuple[np.ndarray, int], bits: int, least: int) -> np.ndarray:
+    """Bitmaps, one for each m, of the cells that runs of m words hit `least` times or more, in tasks' sketches merged by block."""
+    kind = np.min_scalar_type(2 * least)
+    width = 1 << min(bits, BLOCK_BITS)
+    schema = "m int, block int, cells binary"
+
+    def count(batches):
+        cells = np.zeros((LONGEST - 2, 1 << bits), dtype=kind)
+        for t in each_text(batches, {}):
+            for m, _, key in longer(t, frequent_runs(t, words, pairs)):
+                at, n = np.unique((key >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
+                cells[m - 3, at] = np.minimum(cells[m - 3, at] + np.minimum(n, least).astype(kind), least)
+        for m in range(3, LONGEST + 1):
+            for b in range((1 << bits) // width):
+                block = cells[m - 3, b * width : (b + 1) * width]
+                if block.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([m], pa.int32()), pa.array([b], pa.int32()), pa.array([block.tobytes()], pa.binary())], ["m", "block", "cells"])
+
+    def total(found):
+        sums = np.zeros(width, dtype=kind)
+        for c in found["cells"]:
+            sums = np.minimum(sums + np.frombuffer(c.as_buffer(), dtype=kind), least).astype(kind)
+        return sums
+
+    def row(key, data):
+        return pa.table({"m": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), "cells": pa.array([data], pa.binary())})
+
+    parts = merged(stored(d.mapInArrow(count, schema)), ["m", "block"], lambda key, found: row(key, total(found).tobytes()), schema, lambda key, found: row(key, np.packbits(total(found) >= least).tobytes()))
+    out = np.zeros((LONGEST - 2, 1 << bits >> 3), dtype=np.uint8)
+    for r in parts.collect():
+        out[r["m"] - 3, r["block"] * (width >> 3) : (r["block"] + 1) * (width >> 3)] = np.frombuffer(r["cells"], dtype=np.uint8)
+    trim()
+    return out
+
+
+def windows(d: DataFrame, words: tuple[np.ndarray, int], pairs: tuple[np.ndarray, int], runs: tuple[np.ndarray, int]) -> DataFrame:
+    """Projected occurrences (lang, w1 to w5, n): a frequent pair and the words after it that may be frequent with it; and the
+    spelling of words of frequent pairs (w1, word)."""
     shape = pa.schema([("lang", pa.string()), *[(w, pa.int64()) for w in _W], ("n", pa.int64()), ("word", pa.string())])
 
     def project(batches):
@@ -157,22 +217,20 @@ def windows(d: DataFrame, words: tuple[np.ndarray, int], pairs: tuple[np.ndarray
             return pa.RecordBatch.from_arrays([pa.array(names[lang[at]], pa.string()), *columns, pa.array(n.astype(np.int64)), pa.nulls(len(at), pa.string())], schema=shape)
 
         for t in each_text(batches, langs):
-            if len(t.id) < 2:
-                continue
-            frequent = has(*words, t.id)
-            ok = t.joint.copy()
-            ok[:-1] &= frequent[:-1] & frequent[1:] & has(*pairs, pair_ids(t.id))
+            ok = frequent_runs(t, words, pairs)
             begin = np.flatnonzero(ok)
             if not len(begin):
                 continue
-            w = np.zeros((len(begin), LONGEST), dtype=np.uint64)
-            w[:, 0], on = t.id[begin], np.ones(len(begin), dtype=bool)
-            for k in range(1, LONGEST):
-                at = np.minimum(begin + k, len(ok) - 1)
-                on = on & ok[np.minimum(begin + k - 1, len(ok) - 1)]
-                w[on, k] = t.id[at[on]]
-            held.append((t.lang[begin], w))
-            size += len(begin)
+            w, length = np.zeros((len(t.id), LONGEST), dtype=np.uint64), np.full(len(t.id), 2)
+            for m, at, key in longer(t, ok):  # a run's beginning must be let through before it
+                at = at[has(runs[0][m - 3], runs[1], key) & (length[at] == m - 1)]
+                length[at] = m
+                w[at, m - 1] = t.id[at + m - 1]
+            whole = np.flatnonzero(length > 2)
+            if len(whole):
+                w[whole, 0], w[whole, 1] = t.id[whole], t.id[whole + 1]
+                held.append((t.lang[whole], w[whole]))
+                size += len(whole)
             ids, first = np.unique(np.concatenate((t.id[begin], t.id[begin + 1])), return_index=True)
             where = np.concatenate((begin, begin + 1))[first]
             new = [k for k in range(len(ids)) if int(ids[k]) not in told]
@@ -209,14 +267,14 @@ def grow(w: np.ndarray, on: np.ndarray, n: np.ndarray, least: int, first: int, e
     ends = np.append(at[1:], end - a)
     for k in np.flatnonzero((sums >= least) | (at + a == 0) | (ends + a == len(w))):
         low, high = int(at[k]) + a, int(ends[k]) + a
-        if depth:
+        if depth > 1:  # pairs are counted already
             yield low, depth + 1, int(sums[k])
         if depth + 1 < LONGEST:
             yield from grow(w, on, n, least, low, high, depth + 1, lang)
 
 
 def grown(projected: DataFrame, least: int) -> DataFrame:
-    """(lang, words, a) of the phrases of two words or more with a count of `least`."""
+    """(lang, words, a) of the phrases of three words or more with a count of `least`."""
 
     def each(batches):
         for batch in batches:
@@ -264,7 +322,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     """lang, rank, phrase, a, l, r, n, score of each language's best phrases."""
     ship(docs.sparkSession)
     d = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    counts = stored(counted(d, lambda t: (t.lang, t.id), "lang string, w long, n long").groupBy("lang", "w").agg(F.sum("n").alias("n")))
+    counts = stored(counted(d, lambda t: (t.id, t.lang), "lang string, w long, n long").groupBy("lang", "w").agg(F.sum("n").alias("n")))
     total = stored(counts.groupBy("lang").agg(F.sum("n").alias("n")))
     words = counts.where(F.col("n") >= least)
     bits = bits_for(words.count())
@@ -272,13 +330,22 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
 
     def frequent_pairs(t):
         on = has(*frequent, t.id)
-        keep = np.flatnonzero(t.joint[:-1] & on[:-1] & on[1:]) if len(t.id) > 1 else np.zeros(0, dtype=np.int64)
-        return t.lang[keep], pair_ids(t.id)[keep] if len(keep) else np.zeros(0, dtype=np.uint64)
-
-    pairs = stored(counted(d, frequent_pairs, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
-    bits = bits_for(pairs.count())
-    projected = stored(windows(d, frequent, (bitmap(pairs, bits), bits)))
-    found = stored(grown(projected.where("word is null").drop("word"), least))
+        at = np.flatnonzero(t.joint[:-1] & on[:-1] & on[1:])
+        return mix(t.id[at] * _PAIR + t.id[at + 1]), t.id[at], t.id[at + 1]
+
+    def ids(batches):
+        for b in batches:
+            w1, w2 = (b[c].to_numpy().view(np.uint64) for c in ("w1", "w2"))
+            yield pa.RecordBatch.from_arrays([pa.array(mix(w1 * _PAIR + w2).view(np.int64))], ["w"])
+
+    pairs = stored(counted(d, frequent_pairs, "w1 long, w2 long, n long").groupBy("w1", "w2").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+    occurrences = pairs.agg(F.count("*"), F.sum("n")).first()
+    bits = bits_for(occurrences[0])
+    frequent_two = (bitmap(pairs.mapInArrow(ids, "w long"), bits), bits)
+    bits = int(min(SKETCH_BITS, max(12, math.ceil(math.log2(occurrences[1] or 1)))))
+    projected = stored(windows(d, frequent, frequent_two, (sketches(d, frequent, frequent_two, bits, least), bits)))
+    two = pairs.join(words.select("lang", F.col("w").alias("w1")), "w1").select("lang", F.array("w1", "w2").alias("words"), F.col("n").alias("a"))
+    found = stored(two.union(grown(projected.where("word is null").drop("word"), least)))
     best = stored(uncovered(scored(found, words, total), percent))
     spelt = projected.where("word is not null").groupBy(F.col("w1").alias("w")).agg(F.min("word").alias("word"))
     each = best.select("lang", "words", F.posexplode("words").alias("pos", "w")).join(spelt, "w")
