@@ -69,58 +69,84 @@ class Sharpener:
         return out
 
 
-def simulate(price: np.ndarray, action: np.ndarray, rules: Rules, breaker: Breaker | None = None) -> dict[str, list[float]]:
-    """Steps 0 to len(price) - 2: the action at a row acts at its price and is valued at the next. Ends early when broke."""
-    cash, units, held, peak, var = START, 0.0, 0.0, START, rules.target_vol**2
-    sharpener = Sharpener(rules.eta, rules.warm_up, -0.9 if rules.regret else -0.99)
-    alpha, floor = 2 / (rules.vol_window + 1), rules.target_vol / rules.leverage
-    rate = (rules.commission + rules.slippage) * rules.anneal
-    out: dict[str, list[float]] = {k: [] for k in ("nav", "ret", "position", "cost", "drawdown", "reward", "trades", "alpha_ema", "panic")}
-    navs, wait, trades, ema, done = [], 0, 0, 0.0, False
-    for t in range(len(price) - 1):
-        if done:
-            break
-        raw = min(1.0, max(-1.0, float(action[t]))) if wait == 0 else 0.0
-        wait = max(0, wait - 1)
-        p, nav = price[t], cash + units * price[t]
-        scale = min(rules.leverage, max(0.1, rules.target_vol / max(math.sqrt(var), floor)))
+class Account:
+    """One episode's running values; `step` takes it a row further. What it holds can be stored between rows (`state`) and taken up again."""
+
+    #: What a step tells, in order.
+    TELLS = ("nav", "ret", "position", "cost", "drawdown", "reward", "trades", "alpha_ema", "panic")
+    #: What is held between steps, with its type in SQL.
+    HOLDS = {
+        "t": "bigint", "cash": "double", "units": "double", "held": "double", "peak": "double", "var": "double", "mean": "double", "square": "double", "wait": "bigint", "trades": "bigint", "ema": "double", "done": "boolean",
+    }
+
+    def __init__(self, rules: Rules, breaker: Breaker | None = None, state: tuple | None = None, navs: list[float] | None = None):
+        """navs: the last values, for the breaker: as many as its window at most."""
+        self.rules, self.breaker, self.navs = rules, breaker, list(navs or [])
+        self.sharpener = Sharpener(rules.eta, rules.warm_up, -0.9 if rules.regret else -0.99)
+        self.alpha, self.floor = 2 / (rules.vol_window + 1), rules.target_vol / rules.leverage
+        self.rate = (rules.commission + rules.slippage) * rules.anneal
+        if state is None:
+            state = (0, START, 0.0, 0.0, START, rules.target_vol**2, self.sharpener.a, self.sharpener.b, 0, 0, 0.0, False)
+        (self.t, self.cash, self.units, self.held, self.peak, self.var, self.sharpener.a, self.sharpener.b, self.wait, self.trades, self.ema, self.done) = state
+
+    @property
+    def state(self) -> tuple:
+        return (self.t, float(self.cash), float(self.units), float(self.held), float(self.peak), float(self.var), float(self.sharpener.a), float(self.sharpener.b), self.wait, self.trades, float(self.ema), bool(self.done))
+
+    def step(self, p: float, action: float, following: float) -> tuple[float, ...]:
+        """Acts at price p and is valued at the following one."""
+        rules = self.rules
+        raw = min(1.0, max(-1.0, float(action))) if self.wait == 0 else 0.0
+        self.wait = max(0, self.wait - 1)
+        nav = self.cash + self.units * p
+        scale = min(rules.leverage, max(0.1, rules.target_vol / max(math.sqrt(self.var), self.floor)))
         target = min(1.0, max(-1.0, raw * scale))
         if rules.grid > 0:
             target = min(1.0, max(-1.0, round(target / rules.grid) * rules.grid))  # halves to even
-        delta, cost = abs(target - held), 0.0
-        if target != held:
+        delta, cost = abs(target - self.held), 0.0
+        if target != self.held:
             new = nav * target / p
-            cost = abs(new - units) * p * rate
-            cash -= (new - units) * p + cost
-            units, held, trades = new, target, trades + 1
-        if units < 0 and rules.funding > 0:
-            cash -= abs(units) * p * rules.funding
-        nav_new = cash + units * price[t + 1]
+            cost = abs(new - self.units) * p * self.rate
+            self.cash -= (new - self.units) * p + cost
+            self.units, self.held, self.trades = new, target, self.trades + 1
+        if self.units < 0 and rules.funding > 0:
+            self.cash -= abs(self.units) * p * rules.funding
+        nav_new = self.cash + self.units * following
         ret = (nav_new - nav) / max(nav, 1e-8)
-        peak = max(peak, nav_new)
-        var = alpha * ret * ret + (1 - alpha) * var
-        bench = (price[t + 1] - p) / max(p, 1e-8)
-        gain = sharpener.reward(ret - bench if rules.regret else ret, t)
-        idle = -rules.inaction_penalty if rules.regret and abs(held) < rules.inaction_below else 0.0
+        self.peak = max(self.peak, nav_new)
+        self.var = self.alpha * ret * ret + (1 - self.alpha) * self.var
+        bench = (following - p) / max(p, 1e-8)
+        gain = self.sharpener.reward(ret - bench if rules.regret else ret, self.t)
+        idle = -rules.inaction_penalty if rules.regret and abs(self.held) < rules.inaction_below else 0.0
         churn = min(0.0, max(-0.1, -10 * delta * rules.anneal))
         reward = (gain + idle) * rules.reward_scale + rules.w_cost * churn * 0.05
-        done = nav_new <= 0
-        ema = (1 - rules.eta) * ema + rules.eta * (ret - bench)
+        self.done = nav_new <= 0
+        self.ema = (1 - rules.eta) * self.ema + rules.eta * (ret - bench)
+        breaker = self.breaker
         if breaker:
-            navs = [*navs, nav_new][-breaker.window :]
-            moves = np.diff(np.log(navs)) if min(navs) > 0 else np.zeros(0)
+            self.navs = [*self.navs, nav_new][-breaker.window :]
+            moves = np.diff(np.log(self.navs)) if min(self.navs) > 0 else np.zeros(0)
             vol = float(np.std(moves)) if len(moves) > 1 else 0.0
-            if wait == 0 and (vol > breaker.baseline_vol * breaker.vol_times or (peak - nav_new) / peak > breaker.max_drawdown):
-                wait = breaker.cooldown
-        for k, v in zip(out, (nav_new, ret, held, cost, (peak - nav_new) / peak, -1.0 if done else reward, float(trades), ema, float(wait > 0)), strict=True):
-            out[k].append(v)
-    return out
+            if self.wait == 0 and (vol > breaker.baseline_vol * breaker.vol_times or (self.peak - nav_new) / self.peak > breaker.max_drawdown):
+                self.wait = breaker.cooldown
+        self.t += 1
+        return nav_new, ret, self.held, cost, (self.peak - nav_new) / self.peak, -1.0 if self.done else reward, float(self.trades), self.ema, float(self.wait > 0)
+
+
+def simulate(price: np.ndarray, action: np.ndarray, rules: Rules, breaker: Breaker | None = None) -> dict[str, list[float]]:
+    """Steps 0 to len(price) - 2: the action at a row acts at its price and is valued at the next. Ends early when broke."""
+    account, told = Account(rules, breaker), []
+    for t in range(len(price) - 1):
+        if account.done:
+            break
+        told.append(account.step(price[t], action[t], price[t + 1]))
+    return {k: [row[j] for row in told] for j, k in enumerate(Account.TELLS)}
 
 
 def backtest(df: DataFrame, rules: Rules = Rules(), keys: tuple[str, ...] = ("asset",), order: str = "ts", price: str = "close", action: str = "action", breaker: Breaker | None = None) -> DataFrame:  # noqa: B008
     """One row a step of each episode (keys): t, ts, price, next value, return, position, cost, drawdown, reward, and so on."""
     types = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    names = ["nav", "ret", "position", "cost", "drawdown", "reward", "trades", "alpha_ema", "panic"]
+    names = Account.TELLS
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)

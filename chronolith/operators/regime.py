@@ -1,7 +1,8 @@
 """Regimes: states of rows, their runs and statistics, and a hidden-Markov model with mixture emissions.
 
-The model is fitted per key (segment) by expectation-maximisation in numpy, one key a task; its parameters are one
-row a key. Beliefs use past rows only (forward filter); smoothed ones are offered apart, as they look ahead.
+The model is fitted per key (segment) by expectation-maximisation in numpy, one key a task, or over blocks of series of any length
+(`fit_blocks`); its parameters are one row a key. Beliefs use past rows only (forward filter); smoothed ones are offered apart, as
+they look ahead. Both are worked out over blocks.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import argmax, div
-from ..functions.windows import over, upto
+from ..functions.windows import BLOCK, BLOCK_ROWS, block_of, over, upto
 from ..schema import TRADING_HOURS_A_YEAR
 from .metrics import sharpe
 
@@ -242,37 +243,245 @@ def fit(df: DataFrame, columns: list[str], keys: tuple[str, ...], order: str = "
     return df.select(*keys, order, *columns).groupBy(*keys).applyInPandas(one, f"{types}, {PARAMETERS}")
 
 
-def _beliefs(df: DataFrame, model: DataFrame | dict, columns: list[str], keys: tuple[str, ...], order: str, states: int, f, prefix: str) -> DataFrame:
-    """Rows whose columns are all finite get beliefs, all others NULLs."""
-    fixed = {k: np.asarray(v, dtype=float) for k, v in model.items()} if isinstance(model, dict) else None
-    d = df if fixed else df.join(model, list(keys), "left")
-    names, own = [f"{prefix}{k}" for k in range(states)], df.columns
-    extra = ", ".join(f"{n} double" for n in [*names, f"{prefix}entropy"])
+# ---------------------------------------------------------------- beliefs, over blocks of a series
+#
+# A row moves a vector of beliefs by the transition matrix and then weighs it by the row's emissions, so a block of rows is one k x k
+# matrix, scaled. Blocks' matrices, a small row each, are carried forwards (what is believed before a block) and backwards (what later rows say
+# of its end); then every block is worked out from those two vectors. One long series is many tasks.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order).reset_index(drop=True)
+_MODEL = ("start", "trans", "weights", "means", "vars")
+
+
+def _arrays(row) -> dict[str, np.ndarray] | None:
+    """Model parameters of a row (of a frame, or a mapping) as arrays; None where it has none."""
+    if row["start"] is None:
+        return None
+    deep = lambda v: np.array([deep(x) for x in v]) if hasattr(v, "__len__") else float(v)
+    return {k: deep(row[k]) for k in _MODEL}
+
+
+def block_matrix(emissions: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """diag(e_1) A diag(e_2) ... A diag(e_n), scaled to a largest entry of 1, by products of neighbours, then of those, and so on."""
+    k = len(trans)
+    m = trans[None] * emissions[:, None, :]
+    m[0] = np.diag(emissions[0])
+    while len(m) > 1:
+        odd = m[-1:] if len(m) % 2 else m[:0]
+        m = np.concatenate((np.matmul(m[: len(m) // 2 * 2 : 2], m[1::2]), odd))
+        m /= np.maximum(m.max(axis=(1, 2), keepdims=True), 1e-300)
+    return m[0].reshape(k, k)
+
+
+def _scaled(logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    top = logs.max(axis=1)
+    return np.exp(logs - top[:, None]), top
+
+
+def filtered(logs: np.ndarray, model: dict, prior: np.ndarray) -> np.ndarray:
+    """Beliefs (n, states) of rows in order, from the prior of the first."""
+    move, out = np.log(model["trans"] + TINY), np.empty_like(logs)
+    a = np.log(prior + TINY) + logs[0]
+    for t in range(len(logs)):
+        if t:
+            a = _log_sum(a[:, None] + move, axis=0) + logs[t]
+        a = a - _log_sum(a, axis=0)
+        out[t] = np.exp(a)
+    return out
+
+
+def both_ways(logs: np.ndarray, model: dict, prior: np.ndarray, beyond: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Smoothed beliefs of a block, expected moves into its rows, and its share of the log likelihood. before: beliefs before the
+    block, None for the series' first; beyond: what later rows say of its last row's state."""
+    b, top = _scaled(logs)
+    n, k = logs.shape
+    alpha, beta, scale = np.empty((n, k)), np.empty((n, k)), np.empty(n)
+    for t in range(n):
+        a = (prior if t == 0 else alpha[t - 1] @ model["trans"]) * b[t]
+        scale[t] = max(a.sum(), 1e-300)
+        alpha[t] = a / scale[t]
+    beta[-1] = beyond / max(float(alpha[-1] @ beyond), 1e-300)
+    for t in range(n - 2, -1, -1):
+        beta[t] = model["trans"] @ (b[t + 1] * beta[t + 1]) / scale[t + 1]
+    gamma = alpha * beta
+    gamma /= np.maximum(gamma.sum(axis=1, keepdims=True), 1e-300)
+    later = b * beta / scale[:, None]
+    moves = model["trans"] * (alpha[:-1].T @ later[1:])
+    if before is not None:
+        moves = moves + model["trans"] * np.outer(before, later[0])
+    return gamma, moves, float(np.log(scale).sum() + top.sum())
+
+
+def _in_blocks(df: DataFrame, model: DataFrame | dict, columns: list[str], keys: tuple[str, ...], order: str, size: int, work, schema: str, tiny: float) -> DataFrame:
+    """work(rows in order, which are finite, their log emissions, model, prior, before, beyond) of every block; the vectors are None
+    where the block has no finite row, all are None where the key has no model. tiny is added to the matrix."""
+    by = [*keys, BLOCK]
+    d = df.withColumn(BLOCK, block_of(df, order, size))
+    kind = lambda c: d.schema[c].dataType.simpleString()
+    blocks = d.groupBy(*by).agg(F.lit(1).alias("one")).drop("one")
+    if isinstance(model, dict):
+        fixed = {k: np.asarray(v, dtype=float).tolist() for k, v in model.items()}
+        one = df.sparkSession.createDataFrame([tuple(fixed[k] for k in _MODEL)], PARAMETERS)
+        blocks = blocks.join(F.broadcast(one), how="cross")  # one row
+    else:
+        m = model.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *_MODEL)
+        met = F.lit(True)
+        for k in keys:
+            met = met & blocks[k].eqNullSafe(m[f"__k_{k}"])
+        blocks = blocks.join(m, met, "left").drop(*[f"__k_{k}" for k in keys])
+
+    blocks = blocks.select(*[F.col(c).alias(c) for c in blocks.columns])  # columns of their own, apart from those of d
+
+    def finite(pdf):
         x = pdf[columns].to_numpy(dtype=float)
-        good = np.isfinite(x).all(axis=1)
-        out = np.full((len(pdf), states + 1), np.nan)
-        m = fixed or (None if pdf["start"].iloc[0] is None else {k: np.array([np.array([np.array(z) for z in y]) if k in ("means", "vars") else np.array(y) for y in pdf[k].iloc[0]]) for k in ("start", "trans", "weights", "means", "vars")})
+        return np.isfinite(x).all(axis=1), x
+
+    def matrix(pdf: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
+        if not len(at) or not len(pdf):
+            return at.assign(m=None).head(0)
+        m, (good, x) = _arrays(at.iloc[0]), finite(pdf.sort_values(order, kind="stable"))
+        made = None
         if m is not None and good.any():
-            b = f(log_emissions(x[good], m), m)
+            made = block_matrix(_scaled(log_emissions(x[good], m))[0], m["trans"] + tiny).ravel().tolist()
+        return at.assign(m=[made])
+
+    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(BLOCK).reset_index(drop=True)
+        m, n = _arrays(pdf.iloc[0]), len(pdf)
+        prior, before, beyond = [None] * n, [None] * n, [None] * n
+        if m is not None:
+            k = len(m["start"])
+            steps = [None if v is None else np.asarray(v, dtype=float).reshape(k, k) for v in pdf["m"]]
+            belief = None
+            for j, step in enumerate(steps):
+                if step is not None:
+                    p = m["start"] + tiny if belief is None else belief @ (m["trans"] + tiny)
+                    prior[j], before[j] = (p / p.sum()).tolist(), None if belief is None else belief.tolist()
+                    belief = p @ step
+                    belief = belief / max(belief.sum(), 1e-300)
+            end = np.ones(k)
+            for j in range(n - 1, -1, -1):
+                if steps[j] is not None:
+                    beyond[j] = end.tolist()
+                    end = (m["trans"] + tiny) @ (steps[j] @ end)
+                    end = end / max(end.max(), 1e-300)
+        return pdf.drop(columns="m").assign(prior=prior, before=before, beyond=beyond)
+
+    def one_block(pdf: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
+        m, (good, x) = _arrays(at.iloc[0]), finite(pdf)
+        vectors = [None if at[c].iloc[0] is None else np.asarray(at[c].iloc[0], dtype=float) for c in ("prior", "before", "beyond")]
+        return work(pdf, good, x, log_emissions(x[good], m) if m is not None and good.any() else None, m, *vectors)
+
+    types = ", ".join(f"`{k}` {kind(k)}" for k in by) + ", " + PARAMETERS
+    slim = d.select(*dict.fromkeys([*by, order, *columns]))
+    matrices = slim.groupBy(*by).cogroup(blocks.groupBy(*by)).applyInPandas(matrix, f"{types}, m array<double>")
+    carried = matrices.groupBy(*keys).applyInPandas(carry, f"{types}, prior array<double>, before array<double>, beyond array<double>")
+    return d.groupBy(*by).cogroup(carried.groupBy(*by)).applyInPandas(one_block, schema)
+
+
+def _beliefs(df: DataFrame, model: DataFrame | dict, columns: list[str], keys: tuple[str, ...], order: str, states: int, prefix: str, f, tiny: float, size: int) -> DataFrame:
+    """Rows whose columns are all finite get beliefs, all others NULLs."""
+    names, own = [f"{prefix}{k}" for k in range(states)] + [f"{prefix}entropy"], df.columns
+
+    def work(pdf, good, x, logs, m, prior, before, beyond):
+        out = np.full((len(pdf), states + 1), np.nan)
+        if logs is not None:
+            b = f(logs, m, prior, before, beyond)
             p = b / b.sum(axis=1, keepdims=True)
             out[good, :states] = b
             out[good, states] = -(p * np.log2(np.maximum(p, 1e-300))).sum(axis=1) / np.log2(states)
-        for k, n in enumerate([*names, f"{prefix}entropy"]):
+        for k, n in enumerate(names):
             pdf[n] = pd.Series(out[:, k]).astype(object).where(~np.isnan(out[:, k]), None)
-        return pdf[[*own, *names, f"{prefix}entropy"]]
+        return pdf[[*own, *names]]
 
-    schema = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in df.schema.fields)
-    return d.groupBy(*keys).applyInPandas(one, f"{schema}, {extra}")
+    schema = ", ".join([f"`{c.name}` {c.dataType.simpleString()}" for c in df.schema.fields] + [f"`{n}` double" for n in names])
+    return _in_blocks(df, model, columns, keys, order, size, work, schema, tiny)
 
 
-def forward_filter(df: DataFrame, model: DataFrame | dict, columns: list[str], keys: tuple[str, ...] = ("asset",), order: str = "ts", states: int = 4) -> DataFrame:
+def forward_filter(df: DataFrame, model: DataFrame | dict, columns: list[str], keys: tuple[str, ...] = ("asset",), order: str = "ts", states: int = 4, size: int = BLOCK_ROWS) -> DataFrame:
     """df with hmm_prob_0.. and hmm_entropy (0 to 1): beliefs from past rows only."""
-    return _beliefs(df, model, columns, keys, order, states, forward, "hmm_prob_").withColumnRenamed("hmm_prob_entropy", "hmm_entropy")
+    f = lambda logs, m, prior, before, beyond: filtered(logs, m, prior)
+    return _beliefs(df, model, columns, keys, order, states, "hmm_prob_", f, TINY, size).withColumnRenamed("hmm_prob_entropy", "hmm_entropy")
 
 
-def smoothed_beliefs(df: DataFrame, model: DataFrame | dict, columns: list[str], keys: tuple[str, ...] = ("asset",), order: str = "ts", states: int = 4) -> DataFrame:
+def smoothed_beliefs(df: DataFrame, model: DataFrame | dict, columns: list[str], keys: tuple[str, ...] = ("asset",), order: str = "ts", states: int = 4, size: int = BLOCK_ROWS) -> DataFrame:
     """df with prob_0.. and prob_entropy from all rows: looks ahead, for training rows only."""
-    return _beliefs(df, model, columns, keys, order, states, lambda logs, m: smoothed(logs, m)[0], "prob_")
+    f = lambda logs, m, prior, before, beyond: both_ways(logs, m, prior, beyond, before)[0]
+    return _beliefs(df, model, columns, keys, order, states, "prob_", f, 0.0, size)
+
+
+# ---------------------------------------------------------------- fitting over blocks
+
+_SUMS = "first array<double>, moves array<double>, share array<double>, sums array<double>, squares array<double>, like double, n bigint"
+
+
+def expectation(df: DataFrame, model: DataFrame | dict, columns: list[str], keys: tuple[str, ...] = ("asset",), order: str = "ts", size: int = BLOCK_ROWS) -> DataFrame:
+    """One row a key: expected first state, moves, shares of mixture parts, sums of x and squares in them, log likelihood, rows: summed
+    over the key's blocks. Squares are about the model's means, so that they don't cancel."""
+    kinds = {k: df.schema[k].dataType.simpleString() for k in keys}
+
+    def work(pdf, good, x, logs, m, prior, before, beyond):
+        if logs is None:
+            return pd.DataFrame(columns=[*keys, "first", "moves", "share", "sums", "squares", "like", "n"])
+        x = x[good]
+        gamma, moves, like = both_ways(logs, m, prior, beyond, before)
+        parts = np.log(m["weights"] + TINY)[None] - 0.5 * (np.log(2 * np.pi * m["vars"])[None] + (x[:, None, None, :] - m["means"][None]) ** 2 / m["vars"][None]).sum(axis=3)
+        share = np.exp(parts - parts.max(axis=2, keepdims=True))
+        share = gamma[:, :, None] * share / share.sum(axis=2, keepdims=True)
+        off = x[:, None, None, :] - m["means"][None]
+        made = {
+            "first": (gamma[0] if before is None else np.zeros_like(gamma[0])).tolist(), "moves": moves.ravel().tolist(), "share": share.sum(axis=0).ravel().tolist(),
+            "sums": np.einsum("nkm,nkmf->kmf", share, off).ravel().tolist(), "squares": np.einsum("nkm,nkmf->kmf", share, off**2).ravel().tolist(), "like": like, "n": len(x),
+        }
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, **made}])
+
+    schema = ", ".join(f"`{k}` {v}" for k, v in kinds.items())
+    each = _in_blocks(df, model, columns, keys, order, size, work, f"{schema}, {_SUMS}", 0.0)
+    return each.groupBy(*keys).agg(*[_element_sums(c).alias(c) for c in ("first", "moves", "share", "sums", "squares")], F.sum("like").alias("like"), F.sum("n").alias("n"))
+
+
+def _element_sums(c: str) -> Column:
+    """Sums of arrays by place: a map-side aggregation of struct-free doubles is made of a few hundred places at most."""
+    add = lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(F.zip_with(a, b, lambda x, y: x + y))
+    return F.aggregate(F.collect_list(c), F.lit(None).cast("array<double>"), add)
+
+
+def maximization(sums: DataFrame, model: DataFrame, keys: tuple[str, ...] = ("asset",), floor: float = 1e-2) -> DataFrame:
+    """The next parameters of each key (with like and n) from its sums and the present ones; one small row a key."""
+    kinds = ", ".join(f"`{k}` {model.schema[k].dataType.simpleString()}" for k in keys)
+
+    def one(now: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        if not len(got) or not len(now):
+            return now.assign(like=None, n=0).head(0)
+        m, s = _arrays(now.iloc[0]), got.iloc[0]
+        k, parts, f = m["means"].shape
+        take = lambda c, shape: np.asarray(s[c], dtype=float).reshape(shape)
+        total = take("share", (k, parts)) + TINY
+        shift = take("sums", (k, parts, f)) / total[..., None]
+        moves = take("moves", (k, k)) + TINY
+        first = take("first", k)
+        new = {
+            "start": first / first.sum(), "trans": moves / moves.sum(axis=1, keepdims=True), "weights": total / total.sum(axis=1, keepdims=True), "means": m["means"] + shift,
+            "vars": np.maximum(take("squares", (k, parts, f)) / total[..., None] - shift**2, floor),
+        }
+        return pd.DataFrame([{**{c: now[c].iloc[0] for c in keys}, **{c: v.tolist() for c, v in new.items()}, "like": float(s["like"]), "n": int(s["n"])}])
+
+    return model.select(*keys, *_MODEL).groupBy(*keys).cogroup(sums.groupBy(*keys)).applyInPandas(one, f"{kinds}, {PARAMETERS}, like double, n bigint")
+
+
+def fit_blocks(df: DataFrame, columns: list[str], start: DataFrame, keys: tuple[str, ...] = ("asset",), order: str = "ts", rounds: int = 200, tolerance: float = 1e-3, floor: float = 1e-2, size: int = BLOCK_ROWS) -> DataFrame:
+    """Parameters (keys, start, trans, ..., like, n) by expectation-maximisation over blocks, all keys at once, from the parameters `start`.
+
+    For series too long for one task: each round is one aggregation over all blocks; only parameters, one row a key, come to the
+    driver between rounds, and rounds end when no key's likelihood rises by `tolerance` or more.
+    """
+    spark, now, before = df.sparkSession, start.select(*keys, *_MODEL), {}
+    for _ in range(rounds):
+        after = maximization(expectation(df, now, columns, keys, order, size), now, keys, floor)
+        rows = after.collect()  # one small row a key
+        now = spark.createDataFrame(rows, after.schema)
+        likes = {tuple(r[k] for k in keys): r["like"] for r in rows}
+        if all(like - before.get(k, -np.inf) < tolerance for k, like in likes.items()):
+            break
+        before = likes
+    return now

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronolith.operators import indicators as ind
-from chronolith.operators import split
+from chronolith.operators import regime, split
 
 T0 = datetime(2024, 1, 1)
 
@@ -114,3 +114,64 @@ def test_a_long_series_is_many_tasks(spark):
     close = np.array([r["close"] for r in d.orderBy("ts").collect()])
     values = got.orderBy("ts").select("rsi").toPandas()["rsi"].to_numpy(dtype=float)
     np.testing.assert_allclose(values, ind.rsi_of(close), rtol=1e-9, atol=1e-9)
+
+
+MODEL = {
+    "start": [0.5, 0.3, 0.2], "trans": [[0.9, 0.08, 0.02], [0.2, 0.7, 0.1], [0.05, 0.15, 0.8]], "weights": [[0.6, 0.4], [0.5, 0.5], [0.3, 0.7]],
+    "means": [[[-1.0, 0.0], [0.0, 1.0]], [[0.5, 0.0], [1.5, -1.0]], [[3.0, 2.0], [2.0, 3.0]]], "vars": [[[1.0, 0.5], [0.5, 1.0]], [[0.8, 1.0], [2.0, 1.0]], [[1.0, 1.0], [0.5, 0.5]]],
+}
+ARRAYS = {k: np.array(v) for k, v in MODEL.items()}
+
+
+@pytest.fixture(scope="module")
+def walk(spark):
+    """Two series with gaps and rows that aren't finite; one has no finite row."""
+    rng, rows = np.random.default_rng(9), []
+    for asset, n in (("a", 400), ("b", 130), ("c", 3)):
+        level = np.repeat(rng.normal(size=n // 10 + 1) * 2, 10)[:n]
+        for k in range(n):
+            x = None if asset == "c" or k % 37 == 5 else float(level[k] + rng.normal())
+            rows.append((asset, k if k < 200 else k + 100, x, float(rng.normal()) if k % 53 else float("nan")))
+    return spark.createDataFrame(rows, "asset string, ts bigint, x double, y double").cache()
+
+
+def finite(walk, asset):
+    rows = [(r["x"], r["y"]) for r in walk.where(F.col("asset") == asset).orderBy("ts").collect()]
+    x = np.array([[math.nan if v is None else v for v in r] for r in rows], dtype=float)
+    return x[np.isfinite(x).all(axis=1)]
+
+
+@pytest.mark.parametrize("size", [32, 8192])
+def test_beliefs(walk, size):
+    got = regime.forward_filter(walk, MODEL, ["x", "y"], states=3, size=size)
+    smooth = regime.smoothed_beliefs(walk, MODEL, ["x", "y"], states=3, size=size)
+    assert got.count() == walk.count() and got.where("asset = 'c' and hmm_entropy is not null").count() == 0
+    for a in ("a", "b"):
+        logs = regime.log_emissions(finite(walk, a), ARRAYS)
+        take = lambda d, names, a=a: np.array([[r[n] for n in names] for r in d.where(F.col("asset") == a).where(f"{names[0]} is not null").orderBy("ts").collect()])
+        np.testing.assert_allclose(take(got, [f"hmm_prob_{k}" for k in range(3)]), regime.forward(logs, ARRAYS), atol=1e-8)
+        np.testing.assert_allclose(take(smooth, [f"prob_{k}" for k in range(3)]), regime.smoothed(logs, ARRAYS)[0], atol=1e-9)
+
+
+def plain_rounds(x, m, rounds):
+    likes = []
+    for _ in range(rounds):
+        gamma, moves, like = regime.smoothed(regime.log_emissions(x, m), m)
+        parts = np.log(m["weights"] + regime.TINY)[None] - 0.5 * (np.log(2 * np.pi * m["vars"])[None] + (x[:, None, None, :] - m["means"][None]) ** 2 / m["vars"][None]).sum(axis=3)
+        share = np.exp(parts) / np.exp(parts).sum(axis=2, keepdims=True) * gamma[:, :, None]
+        total = share.sum(axis=0)
+        means = np.einsum("nkm,nf->kmf", share, x) / total[..., None]
+        v = np.einsum("nkm,nkmf->kmf", share, (x[:, None, None, :] - means[None]) ** 2) / total[..., None]
+        m = {"start": gamma[0], "trans": moves / moves.sum(axis=1, keepdims=True), "weights": total / total.sum(axis=1, keepdims=True), "means": means, "vars": np.maximum(v, 1e-2)}
+        likes.append(like)
+    return m, likes
+
+
+def test_fit_over_blocks_equals_the_local_rounds(spark, walk):
+    start = spark.createDataFrame([(a, *[MODEL[k] for k in ("start", "trans", "weights", "means", "vars")]) for a in ("a", "b")], f"asset string, {regime.PARAMETERS}")
+    got = {r["asset"]: r for r in regime.fit_blocks(walk.where("asset <> 'c'"), ["x", "y"], start, rounds=3, tolerance=-1e9, size=64).collect()}
+    for a in ("a", "b"):
+        want, likes = plain_rounds(finite(walk, a), ARRAYS, 3)
+        assert likes == sorted(likes) and got[a]["like"] == pytest.approx(likes[-1], abs=1e-6) and got[a]["n"] == len(finite(walk, a))
+        for k, v in want.items():
+            np.testing.assert_allclose(np.array(got[a][k]), v, rtol=1e-6, atol=1e-8)
