@@ -33,7 +33,7 @@ from .common import _LOWER, Words, chunks, merged, mix, ship, stored, table, tid
 #: Words of a phrase at most.
 LONGEST = 5
 #: Words whose equal windows are counted together in a task before they are passed on.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 #: Words of a task whose spelling it remembers having passed on.
 SPELT = 1 << 17
 _BETWEEN, _ENDS = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
@@ -127,6 +127,8 @@ def counted(d: DataFrame, pick, schema: str) -> DataFrame:
                 held, size = [], 0
         if size:
             yield out()
+        held.clear()
+        trim()
 
     return d.mapInArrow(count, schema)
 
@@ -174,6 +176,8 @@ def sketches(d: DataFrame, words: tuple[np.ndarray, int], pairs: tuple[np.ndarra
                 block = cells[m - 3, b * width : (b + 1) * width]
                 if block.any():
                     yield pa.RecordBatch.from_arrays([pa.array([m], pa.int32()), pa.array([b], pa.int32()), pa.array([block.tobytes()], pa.binary())], ["m", "block", "cells"])
+        del cells, block
+        trim()
 
     def total(found):
         sums = np.zeros(width, dtype=kind)
@@ -245,6 +249,8 @@ def windows(d: DataFrame, words: tuple[np.ndarray, int], pairs: tuple[np.ndarray
                 held, size = [], 0
         if size:
             yield out()
+        held.clear()
+        trim()
 
     return d.mapInArrow(project, f"lang string, {', '.join(w + ' long' for w in _W)}, n long, word string")
 
@@ -342,7 +348,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     occurrences = pairs.agg(F.count("*"), F.sum("n")).first()
     bits = bits_for(occurrences[0])
     frequent_two = (bitmap(pairs.mapInArrow(ids, "w long"), bits), bits)
-    bits = int(min(SKETCH_BITS, max(12, math.ceil(math.log2(occurrences[1] or 1)))))
+    bits = int(min(SKETCH_BITS, max(12, math.ceil(math.log2((occurrences[1] or 1) / 8)))))
     projected = stored(windows(d, frequent, frequent_two, (sketches(d, frequent, frequent_two, bits, least), bits)))
     two = pairs.join(words.select("lang", F.col("w").alias("w1")), "w1").select("lang", F.array("w1", "w2").alias("words"), F.col("n").alias("a"))
     found = stored(two.union(grown(projected.where("word is null").drop("word"), least)))
