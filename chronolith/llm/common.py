@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
+import contextvars
 import ctypes
 import functools
 import gc
 import re
 import tempfile
+import threading
 import uuid
 
 import numpy as np
@@ -37,15 +40,25 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-#: Paths stored by the `tidy` functions that are running, innermost last; and paths that returned frames still read.
-_running: list[list[str]] = []
+#: Paths stored by the innermost `tidy` function that runs in this thread (or context), and whether there is one.
+_scope: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scope", default=None)
+#: Paths that returned frames still read, of all threads.
 _left: list[str] = []
+_lock = threading.Lock()
+
+
+def _note(paths: list[str], scope: list[str] | None) -> None:
+    if scope is not None:
+        scope += paths
+        return
+    with _lock:
+        _left.extend(paths)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: lineage ends there, and any executor can be lost."""
     path = shared_dir(df.sparkSession)
-    (_running[-1] if _running else _left).append(path)
+    _note([path], _scope.get())
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -56,33 +69,64 @@ def delete(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _session(values) -> SparkSession:
+    for v in values:
+        if isinstance(v, SparkSession):
+            return v
+        if isinstance(v, DataFrame):
+            return v.sparkSession
+    return SparkSession.active()
+
+
 def tidy(f):
     """f, after which the tables that it stored are deleted but for those that its result (frames, or one) still reads.
 
-    Those belong to the function around it, if that is tidy too, or stay until `release`.
+    Those belong to the function around it, if that is tidy too, or stay until `release`. What runs in other threads is apart.
     """
 
     @functools.wraps(f)
     def run(*args, **kwargs):
-        _running.append([])
-        result = None
+        around, made, result = _scope.get(), [], None
+        token = _scope.set(made)
         try:
             result = f(*args, **kwargs)
         finally:
-            made, around = _running.pop(), _running[-1] if _running else _left
+            _scope.reset(token)
             frames = [d for d in (result if isinstance(result, tuple) else (result,)) if isinstance(d, DataFrame)]
             read = {file.rsplit("/", 2)[-2] for d in frames for file in d.inputFiles()}
-            around += [p for p in made if p.rsplit("/", 1)[-1] in read]
-            delete(SparkSession.active(), [p for p in made if p.rsplit("/", 1)[-1] not in read])
+            _note([p for p in made if p.rsplit("/", 1)[-1] in read], around)
+            delete(_session([*frames, *args, *kwargs.values()]), [p for p in made if p.rsplit("/", 1)[-1] not in read])
         return result
 
     return run
 
 
+@contextlib.contextmanager
+def scope(spark: SparkSession):
+    """All that is stored within, results' tables too, is deleted at the end: results are to be written or counted before."""
+    made: list[str] = []
+    token = _scope.set(made)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        delete(spark, made)
+
+
 def release(spark: SparkSession) -> None:
     """Deletes all that finished operators have left for their results: those can't be read any more."""
-    delete(spark, _left)
-    _left.clear()
+    with _lock:
+        paths, _left[:] = list(_left), []
+    delete(spark, paths)
+
+
+@atexit.register
+def _at_exit() -> None:
+    """What is left goes with the process, if its session still runs."""
+    session = SparkSession.getActiveSession() if _left else None
+    if session is not None:
+        with contextlib.suppress(Exception):  # the JVM may be on its way out
+            release(session)
 
 
 def trim() -> None:
@@ -97,6 +141,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def refuse_clash(keep: list[str], added: tuple[str, ...]) -> None:
+    """ValueError if columns to keep have the name of one that is added."""
+    if clash := set(added) & set(keep):
+        raise ValueError(f"columns to keep have the names of added ones: {sorted(clash)}")
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text, 0 for null: word starts are counted without making the words."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import merged, ship, table
+from .common import merged, refuse_clash, ship, table
 
 DIM, GRAM, SEED = 1024, 3, 20240501
 #: Characters worked on at once, and n-gram vectors kept at once, in a worker.
@@ -139,7 +139,8 @@ def _merge(held: dict) -> None:
 
 
 def language_id(docs: DataFrame, learned: dict[str, np.ndarray], keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns `keep` of docs with lang_pred and score, the cosine with that prototype, 0 to 1."""
+    """The columns `keep` of docs with lang_pred and score, the cosine with that prototype, 0 to 1. `keep` may not hold `lang_pred` or `score`."""
+    refuse_clash(keep, ("lang_pred", "score"))
     ship(docs.sparkSession)
     names = sorted(k for k, v in learned.items() if np.any(v))
     unit = np.array([learned[k] / np.linalg.norm(learned[k]) for k in names]).reshape(len(names), DIM)

@@ -12,7 +12,8 @@ DataFrame functions only.
 Defined results: a null text stays null and a text without boilerplate stays as it is; a document of boilerplate only
 becomes an empty text, its row stays; a null site counts for no site; rows without doc_id are cleaned by the same
 lines but hold no first occurrence; rows that share a doc_id are taken as one document for the first occurrence, and each
-loses its own lines: what goes is kept by id and text together. All columns of docs are returned unchanged but for the text, whatever their names.
+loses its own lines: what goes is kept by id and text together. All columns of docs are returned unchanged but for the text, whatever
+their names, except that `__n_lines` and `__n_removed` are refused.
 """
 
 from __future__ import annotations
@@ -54,26 +55,31 @@ def mask(gone: Column) -> Column:
 def line_dedup(
     docs: DataFrame, min_sites: int = 5, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", keep_first: bool = True
 ) -> DataFrame:
-    """docs with its text cleaned, and n_lines and n_removed added as `__n_lines`, `__n_removed`."""
+    """docs with its text cleaned, and n_lines and n_removed added as `__n_lines`, `__n_removed` (docs may not have these two)."""
+    if clash := {"__n_lines", "__n_removed"} & set(docs.columns):
+        raise ValueError(f"docs has columns that are to be added: {sorted(clash)}")
+    # the caller's columns are one struct, so none of them meets a name used here
+    d = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("own"))
+    id_, text, site = (F.col("own").getField(c) for c in (id_col, text_col, site_col))
     # what goes from a row depends on its id and text only, so a hash of both is its key; it is never null
-    docs = docs.withColumn("__row", F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.lit(" "), F.coalesce(F.col(text_col), F.lit(""))).cast("binary"))))
-    split = F.split(F.col(text_col), "\n", -1)
-    each = docs.select("__row", F.col(id_col).alias("doc_id"), F.col(site_col).cast("string").alias("site"), F.posexplode(split).alias("pos", "line"))
+    d = d.withColumn("row", F.unhex(F.md5(F.concat(F.coalesce(id_.cast("string"), F.lit("-")), F.lit(" "), F.coalesce(text, F.lit(""))).cast("binary"))))
+    split = F.split(text, "\n", -1)
+    each = d.select("row", id_.alias("doc_id"), site.cast("string").alias("site"), F.posexplode(split).alias("pos", "line"))
     h = F.unhex(F.md5(F.trim(F.col("line"), F.lit(" \t\r\x0b\x0c")).cast("binary")))
-    lines = each.where(F.length(F.trim(F.col("line"), F.lit(" \t\r\x0b\x0c"))) > 0).select("__row", "doc_id", "site", "pos", h.alias("h"))
+    lines = each.where(F.length(F.trim(F.col("line"), F.lit(" \t\r\x0b\x0c"))) > 0).select("row", "doc_id", "site", "pos", h.alias("h"))
     lines = stored(lines)
     bad = boilerplate(lines, min_sites)
     hit = lines.join(bad.hint("merge"), "h")  # as a sort-merge join a frequent line can be split
     if keep_first:
         hit = hit.where(~F.coalesce((F.col("doc_id") == F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos")), F.lit(False)))
-    gone = stored(hit.groupBy("__row").agg(F.array_sort(F.collect_set("pos")).alias("__gone")))
-    gone = gone.select("__row", F.size("__gone").cast("long").alias("__n_gone"), mask(F.col("__gone")).alias("__mask"))
-    out = docs.join(gone.hint("merge"), "__row", "left").drop("__row")
+    gone = stored(hit.groupBy("row").agg(F.array_sort(F.collect_set("pos")).alias("gone")))
+    gone = gone.select("row", F.size("gone").cast("long").alias("n_gone"), mask(F.col("gone")).alias("mask"))
+    out = d.join(gone.hint("merge"), "row", "left")
     # a line's byte in the mask is found by its place, so the work is linear in the lines
-    kept = F.filter(split, lambda line, i: F.substring(F.col("__mask"), i + 1, F.lit(1)) != F.lit(b"1"))
-    clean = F.when(F.col("__mask").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    out = out.withColumns({"__n_lines": F.coalesce(F.size(split), F.lit(0)).cast("long"), "__n_removed": F.coalesce("__n_gone", F.lit(0)).cast("long"), "__text": clean})
-    return out.withColumn(text_col, F.col("__text")).drop("__text", "__mask", "__n_gone")
+    kept = F.filter(split, lambda line, i: F.substring(F.col("mask"), i + 1, F.lit(1)) != F.lit(b"1"))
+    clean = F.when(F.col("mask").isNull() | text.isNull(), text).otherwise(F.array_join(kept, "\n"))
+    columns = [(clean if c == text_col else F.col("own").getField(c)).alias(c) for c in docs.columns]
+    return out.select(*columns, F.coalesce(F.size(split), F.lit(0)).cast("long").alias("__n_lines"), F.coalesce("n_gone", F.lit(0)).cast("long").alias("__n_removed"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, mix, ship, stored, table, tidy, trim
+from .common import Words, chunks, mix, refuse_clash, ship, stored, table, tidy, trim
 from .language_id import fold
 
 #: Words of a window, and from one window to the next.
@@ -364,7 +364,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: Sample | None = None, id_col
 
 
 def toxicity(docs: DataFrame, net: Network | None, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns `keep` of docs with score, 0 to 1. The text goes to the workers once, kept or not."""
+    """The columns `keep` of docs with score, 0 to 1. The text goes to the workers once, kept or not. `keep` may not hold `score`."""
+    refuse_clash(keep, ("score",))
     spark = docs.sparkSession
     ship(spark)
     held = spark.sparkContext.broadcast(net)

@@ -94,6 +94,28 @@ def test_stored_tables_go_when_nothing_reads_them(spark):
     assert not any(os.path.exists(f.removeprefix("file://")) for f in b)
 
 
+def test_operators_in_threads_keep_their_own_tables(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from chronolith.llm.queries import QUERIES
+
+    names, sf = ["op1_source_mix", "op3_line_dedup", "op6_secret_scan", "op10_exact_dedup"], "/root/testdata/sf0.001"
+    rows = lambda name: sorted(map(str, QUERIES[name](spark, sf).collect()))
+    alone = {n: rows(n) for n in names}
+    with ThreadPoolExecutor(4) as pool:
+        assert dict(zip(names, pool.map(rows, names), strict=True)) == alone
+
+
+def test_a_scope_deletes_results_too(spark):
+    import os
+
+    with common.scope(spark):
+        out = common.tidy(lambda: common.stored(spark.range(3)))()
+        files = [f.removeprefix("file://") for f in out.inputFiles()]
+        assert out.count() == 3 and all(map(os.path.exists, files))
+    assert not any(map(os.path.exists, files))
+
+
 def test_repeated_cells_lose_nothing(spark):
     rng = np.random.default_rng(0)
     h = rng.integers(0, 2**63, 4000).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -156,6 +178,55 @@ def test_digest_index_in_batches_and_reopened(spark, tmp_path):
     assert exact_dedup.DigestIndex(spark, f"{path}2", rows=10**10).buckets == 2500
 
 
+def test_a_batch_counts_once_and_cut_short_appends_not_at_all(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/index"
+    index = exact_dedup.DigestIndex(spark, path, 4)
+    seen = exact_dedup.digests(docs(spark, [(1, "a"), (2, "A"), (3, "b")]))
+    sizes = lambda i: sorted((r["keep_id"], r["group_size"]) for r in i.read().collect())
+    assert index.add(seen).count() == 2 and index.add(seen.orderBy("doc_id")).count() == 0 and sizes(index) == [(2, 2), (3, 1)]
+    more = exact_dedup.digests(docs(spark, [(9, "a"), (10, "c")]))
+    with monkeypatch.context() as m:  # the rows are written, their note is not
+        m.setattr(index, "_write_note", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            index.add(more, "second")
+    assert sizes(index) == [(2, 2), (3, 1)]
+    opened = exact_dedup.DigestIndex(spark, path)
+    assert opened.add(more, "second").count() == 1 and opened.add(more, "second").count() == 0
+    assert sizes(opened) == [(2, 3), (3, 1), (10, 1)]
+    assert sizes(exact_dedup.DigestIndex(spark, path)) == sizes(opened)
+
+
+def test_the_index_is_compacted(spark, tmp_path, monkeypatch):
+    import glob
+
+    path = f"file://{tmp_path}/index"
+    monkeypatch.setattr(exact_dedup, "APPENDS", 4)
+    index = exact_dedup.DigestIndex(spark, path, 2)
+    for k in range(9):
+        index.add(exact_dedup.digests(docs(spark, [(k, f"t{k}"), (100 + k, "same")])))
+    assert index.read().count() == 10 and index.read().agg(F.max("group_size")).first()[0] == 9 and index.add(exact_dedup.digests(docs(spark, [(0, "t0"), (100, "same")]))).count() == 0
+    monkeypatch.setattr(exact_dedup, "PER_BUCKET", 3)
+    index.compact()
+    files = glob.glob(f"{tmp_path}/index/*/*.parquet")
+    assert index.buckets == 4 and len(files) <= 4 and len({f.rsplit("/", 2)[1] for f in files}) == 1
+    opened = exact_dedup.DigestIndex(spark, path)
+    assert opened.buckets == 4 and opened.read().count() == 10 and opened.entries().count() == 10
+    assert opened.find(exact_dedup.digests(docs(spark, [(7, "t7")]))).first()["keep_id"] == 7
+
+
+def test_columns_with_the_names_of_added_ones(spark):
+    odd = ["__row", "__mask", "__n_gone", "row", "own", "mask", "h", "pos"]
+    d = docs(spark, [(1, "a\nb"), (2, None)], extra=False).withColumns({c: F.lit(c) for c in odd})
+    out = line_dedup.line_dedup(d)
+    assert out.columns == [*d.columns, "__n_lines", "__n_removed"] and all(r[c] == c for r in out.collect() for c in odd)
+    with pytest.raises(ValueError):
+        line_dedup.line_dedup(d.withColumn("__n_lines", F.lit(1)))
+    with pytest.raises(ValueError):
+        toxicity.toxicity(d.withColumn("score", F.lit(1)), None, ["doc_id", "score"])
+    with pytest.raises(ValueError):
+        language_id.language_id(d.withColumn("score", F.lit(1)), {}, ["doc_id", "score"])
+
+
 def test_exact_dedup_uses_no_python(spark, tmp_path):
     df = exact_dedup.exact_dedup(docs(spark, ODD), exact_dedup.DigestIndex(spark, f"file://{tmp_path}/i", 4))
     plan = df._jdf.queryExecution().executedPlan().toString()
