@@ -35,11 +35,13 @@ def unblocked(df: DataFrame) -> DataFrame:
 
 
 def block_of(df: DataFrame, order: str, size: int = BLOCK_ROWS) -> Column:
-    """Number of the block that a row lies in, rising with the order column: a time or a number."""
+    """Number of the block that a row lies in, rising with the order column: a time or a number; orders of other types have one block."""
     kind = df.schema[order].dataType.typeName()
     if kind in ("timestamp", "timestamp_ntz", "date"):
         return F.floor(hour_index(order) / size)
-    return F.floor(F.col(order) / size).cast("long")
+    if kind in ("byte", "short", "integer", "long", "float", "double", "decimal"):
+        return F.floor(F.col(order) / size).cast("long")
+    return F.lit(0).cast("long")
 
 
 def dealt(df: DataFrame, keys: Sequence[str] = ("asset",), order: str = "ts", size: int = BLOCK_ROWS, previous: Sequence[str] = (), anchors: Sequence[str] = ()) -> DataFrame:

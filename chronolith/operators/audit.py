@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import div, entropy
 from ..functions.windows import over
 from .scale import long
+from .split import numbered
 
 GLYPHS = "▁▂▃▄▅▆▇█"
 
@@ -222,8 +223,7 @@ def trend_stats(df: DataFrame, c: str, order: str, keys: tuple[str, ...] = (), b
     STABLE (Noisy) (slope below twice the noise), RISING (Controlled) (upwards to less than 1.5 times the start),
     DIVERGING, CONVERGING.
     """
-    w = Window.partitionBy(*keys)
-    d = df.withColumns({"__rn": F.row_number().over(w.orderBy(order)) - 1, "__n": F.count("*").over(w)})
+    d = numbered(df, keys, order).withColumnsRenamed({"rn": "__rn", "n": "__n"})
     size = F.floor(F.col("__n") / bins)
     counts = d.groupBy(*keys).agg(F.count("*").alias("n"))
     b = d.where(size > 0).withColumn("bin", F.floor(F.col("__rn") / F.when(size > 0, size)).cast("int")).where(F.col("bin") < bins)
@@ -245,8 +245,7 @@ def trend_stats(df: DataFrame, c: str, order: str, keys: tuple[str, ...] = (), b
 
 def resample(df: DataFrame, c: str, order: str, buckets: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """A series in at most so many buckets of rows: mean value, and the order of the middle row."""
-    w = Window.partitionBy(*keys)
-    d = df.withColumns({"__rn": F.row_number().over(w.orderBy(order)) - 1, "__n": F.count("*").over(w)})
+    d = numbered(df, keys, order).withColumnsRenamed({"rn": "__rn", "n": "__n"})
     size = F.greatest(F.ceil(F.col("__n") / buckets), F.lit(1))
     d = d.withColumns({"bucket": F.floor(F.col("__rn") / size).cast("int"), "__in": F.col("__rn") % size})
     mid = F.floor(F.least(size, F.col("__n") - F.col("bucket") * size) / 2)  # the last bucket may be shorter
@@ -362,7 +361,7 @@ def row_entropy(df: DataFrame, probs: list[str]) -> DataFrame:
 
 def zip_by_position(a: DataFrame, b: DataFrame, order: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Rows of two series with the same place, up to the shorter one."""
-    n = lambda d: d.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+    n = lambda d: numbered(d, keys, order).drop("n").withColumnRenamed("rn", "__rn")
     right = n(b).drop(order)
     return n(a).join(right, [*keys, "__rn"]).drop("__rn")
 

@@ -8,10 +8,12 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clip, div, dot, median, pop_std, softmax, total
+from ..functions.scans import recursion
 
 METHODS = ("mean", "median", "confidence", "conservative", "pessimistic_bound")
 
@@ -33,6 +35,7 @@ class Config:
     fallback_action: float = 0.0
     fallback_scale: float = 0.25
     ema_alpha: float = 0.01
+    calibrate_spread: bool = False
 
     def to_json(self) -> str:
         return json.dumps(asdict(self))
@@ -93,13 +96,28 @@ def normalized_spreads(spreads: Column, ema: Column, epsilon: float = 1e-6) -> C
     return F.transform(spreads, lambda s: F.coalesce(div(s, ema + F.lit(epsilon)), s))
 
 
+def running_spread(df: DataFrame, spreads: str, alpha: float = 0.01, keys: tuple[str, ...] = ("model",), order: str = "step", name: str = "spread_ema") -> DataFrame:
+    """df with the running mean of the rows' mean spreads before each row: NULL in a key's first row, the first row's mean in the
+    second, and from there moved by alpha towards each. Only earlier rows count; a recursion over blocks."""
+    d = df.withColumn("__mean", mean(F.col(spreads)))
+
+    def maps(r):
+        return [(np.where(r["rn"] <= 1, 0.0, 1 - alpha), np.where(r["rn"] == 0, 0.0, np.where(r["rn"] == 1, 1.0, alpha) * np.nan_to_num(r["prev___mean"])))]
+
+    return recursion(d, keys, order, ["__mean"], [name], [0.0], maps, lambda r, y: [np.where(r["rn"] == 0, np.nan, y[0])], ("__mean",)).drop("__mean")
+
+
 def agreed(action: Column, actions: Column, least: float, otherwise: float = 0.0) -> Column:
     """The action where the members agree at least so far, else a fixed one; least 0: the action always."""
     return action if least <= 0 else F.when(agreement(actions) < least, F.lit(float(otherwise))).otherwise(action)
 
 
-def predict(df: DataFrame, config: Config, actions: str = "actions", spreads: str = "spreads", ood: str | None = None, spread_ema: str | None = None) -> DataFrame:
-    """df with action, agreement, final_action and mode. spread_ema: the column that calibrates the spreads, if any."""
+def predict(df: DataFrame, config: Config, actions: str = "actions", spreads: str = "spreads", ood: str | None = None, spread_ema: str | None = None, keys: tuple[str, ...] = ("model",), order: str = "step") -> DataFrame:
+    """df with action, agreement, final_action and mode. spread_ema: the column that calibrates the spreads; without one, and with
+    config.calibrate_spread, the running mean of each key's earlier rows does."""
+    if config.calibrate_spread and spread_ema is None and config.aggregation == "confidence":
+        made = predict(running_spread(df, spreads, config.ema_alpha, keys, order, "__spread_ema"), config, actions, spreads, ood, "__spread_ema")
+        return made.drop("__spread_ema")
     a, s = F.col(actions), F.col(spreads) if config.aggregation == "confidence" else None
     if s is not None and spread_ema is not None:
         s = normalized_spreads(s, F.col(spread_ema), config.confidence_epsilon)

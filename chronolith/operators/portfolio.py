@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clip
+from ..functions.scans import recursion
 
 START = 10_000.0
 
@@ -133,6 +134,20 @@ class Account:
         return nav_new, ret, self.held, cost, (self.peak - nav_new) / self.peak, -1.0 if self.done else reward, float(self.trades), self.ema, float(self.wait > 0)
 
 
+def sharpe_rewards(df: DataFrame, ret: str, eta: float = 0.02, warm_up: int = 200, floor: float = -0.9, keys: tuple[str, ...] = ("asset",), order: str = "ts", name: str = "reward") -> DataFrame:
+    """df with the differential Sharpe reward of each row's return; floor: -0.9 for returns above a benchmark, -0.99 for plain ones.
+    The moments are recursions over blocks; a reward takes those before its own row."""
+    x = lambda r: np.nan_to_num(r[ret])
+
+    def finish(r, y):
+        a, b = ((m - eta * v) / (1 - eta) for m, v in zip(y, (x(r), x(r) ** 2), strict=True))
+        late = 10 * (b * (x(r) - a) - 0.5 * a * (x(r) ** 2 - b)) / np.maximum(b - a * a, 1e-8) ** 1.5
+        return [np.where(r["rn"] < warm_up, 10 * np.log1p(np.maximum(x(r), floor)), np.clip(late, -5, 5))]
+
+    maps = lambda r: [(np.full(len(r["rn"]), 1 - eta), eta * x(r)), (np.full(len(r["rn"]), 1 - eta), eta * x(r) ** 2)]
+    return recursion(df, keys, order, [ret], [name], [0.0, 1e-6], maps, finish)
+
+
 def simulate(price: np.ndarray, action: np.ndarray, rules: Rules, breaker: Breaker | None = None) -> dict[str, list[float]]:
     """Steps 0 to len(price) - 2: the action at a row acts at its price and is valued at the next. Ends early when broke."""
     account, told = Account(rules, breaker), []
@@ -187,6 +202,18 @@ def episode_end(steps: DataFrame, keys: tuple[str, ...] = ("asset",)) -> DataFra
     return got.select(*keys, F.col("l.nav").alias("final_nav"), F.col("l.position").alias("final_position"), F.col("l.trades").alias("trades"), "episode_reward", "episode_length", "max_drawdown")
 
 
+def reward_parts(steps: DataFrame, rules: Rules, keys: tuple[str, ...] = ("asset",)) -> DataFrame:
+    """steps with what their reward is made of: gain (differential Sharpe), idle and churn."""
+    from pyspark.sql import Window
+
+    bench = (F.col("next_price") - F.col("price")) / F.greatest("price", F.lit(1e-8))
+    d = steps.withColumn("__x", F.col("ret") - bench if rules.regret else F.col("ret"))
+    d = sharpe_rewards(d, "__x", rules.eta, rules.warm_up, -0.9 if rules.regret else -0.99, keys, "t", "gain").drop("__x")
+    before = F.lag("position", 1, 0.0).over(Window.partitionBy(*keys).orderBy("t"))
+    idle = F.when(F.abs("position") < rules.inaction_below, -rules.inaction_penalty).otherwise(0.0) if rules.regret else F.lit(0.0)
+    return d.withColumns({"idle": idle, "churn": F.least(F.lit(0.0), F.greatest(F.lit(-0.1), -10 * F.abs(F.col("position") - before) * rules.anneal))})
+
+
 def breaker_stats(steps: DataFrame, keys: tuple[str, ...] = ("asset",)) -> DataFrame:
     """Steps spent in cooldown and how often one began."""
     from pyspark.sql import Window

@@ -110,6 +110,18 @@ def transition_diagnostics(a: np.ndarray) -> dict[str, float | str]:
     return {"mean_stay": stay, "mean_row_entropy": spread, "kind": "STICKY" if stay > 0.8 else "VOLATILE" if stay < 0.5 else "MODERATE"}
 
 
+def transition_report(df: DataFrame, state: str = "state", keys: tuple[str, ...] = ("asset",), order: str = "ts") -> DataFrame:
+    """(keys, mean_stay, mean_row_entropy, kind) of each series' observed transitions: shares of the next state by the present one, averaged over
+    the states that have a next row."""
+    d = df.withColumn("__next", F.lead(state).over(over(df, keys, (order,)))).where("__next is not null")
+    n = d.groupBy(*keys, state, "__next").agg(F.count("*").alias("__n"))
+    p = F.col("__n") / F.sum("__n").over(Window.partitionBy(*keys, state))  # one row a pair of states
+    rows = n.withColumn("__p", p).groupBy(*keys, state).agg(
+        F.coalesce(F.sum(F.when(F.col(state) == F.col("__next"), F.col("__p"))), F.lit(0.0)).alias("stay"), F.sum(-F.col("__p") * F.ln("__p")).alias("e"))
+    got = rows.groupBy(*keys).agg(F.avg("stay").alias("mean_stay"), F.avg("e").alias("mean_row_entropy"))
+    return got.withColumn("kind", F.when(F.col("mean_stay") > 0.8, "STICKY").when(F.col("mean_stay") < 0.5, "VOLATILE").otherwise("MODERATE"))
+
+
 def state_means(model: dict) -> np.ndarray:
     """Mean of each feature in each state, over its mixture."""
     return np.einsum("km,kmf->kf", model["weights"], model["means"])

@@ -74,16 +74,24 @@ def report(tests: DataFrame) -> DataFrame:
     return tests.withColumn("report", F.concat_ws(" ", "asset", F.when(F.col("stationary"), "STATIONARY").otherwise("NON-STATIONARY"), F.concat(F.lit("tau="), F.round("tau", 3).cast("string"))))
 
 
-def prefix_invariant(df: DataFrame, f, rows: int, columns: list[str], keys: tuple[str, ...] = ("asset",), order: str = "ts") -> bool:
-    """Whether columns of the first rows are the same when later rows are not there: no look-ahead."""
+def isolation(df: DataFrame, f, rows: int, columns: list[str], keys: tuple[str, ...] = ("asset",), order: str = "ts", digits: int = 9) -> DataFrame:
+    """(keys, rows, changed): of each series' first rows, how many have other values in the columns that f makes when later rows aren't there:
+    none, if f doesn't look ahead."""
     from .split import numbered
 
     head = numbered(df, keys, order).where(F.col("rn") < rows).drop("rn", "n")
-    r = [F.round(c, 9).alias(c) for c in columns]
-    a = numbered(f(df), keys, order).where(F.col("rn") < rows).select(*keys, order, *r)
-    return a.exceptAll(f(head).select(*keys, order, *r)).isEmpty()
+    values = F.struct(*[F.round(c, digits).alias(c) for c in columns])
+    by = [*keys, order]
+    a = head.select(*by).join(f(df).select(*by, values.alias("a")), by, "left")
+    b = f(head).select(*[F.col(c).alias(f"__{c}") for c in by], values.alias("b"))
+    both = a.join(b, [F.col(c) == F.col(f"__{c}") for c in by], "full_outer")
+    key = [F.coalesce(c, f"__{c}").alias(c) for c in keys]
+    return both.select(*key, "a", "b").groupBy(*keys).agg(F.count("*").alias("rows"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("changed"))
 
 
+def prefix_invariant(df: DataFrame, f, rows: int, columns: list[str], keys: tuple[str, ...] = ("asset",), order: str = "ts") -> bool:
+    """Whether columns of the first rows are the same when later rows are not there: no look-ahead."""
+    return isolation(df, f, rows, columns, keys, order).where("changed > 0").isEmpty()
 
 
 def kpss(df: DataFrame, c: str, lags: int = 12, keys: tuple[str, ...] = ("asset",), order: str = "ts") -> DataFrame:

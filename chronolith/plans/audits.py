@@ -135,10 +135,10 @@ def best_lag(spark, sf_dir):
     return rounded(audit.best_lag(lags(spark, sf_dir)))
 
 
-@query(f"""with {PROBS}, h as (select asset, p1, lead(close, 1) over w / nullif(close, 0) - 1 a, lead(close, 24) over w / nullif(close, 0) - 1 b from probs window w as (partition by asset order by ts))
-select asset, round(corr(p1, a), 6) + 0e0 corr_1, round(corr(p1, b), 6) + 0e0 corr_24 from h group by 1""")
+@query(f"""with {PROBS}, h as (select asset, p1, lead(close, 1) over w / nullif(close, 0) - 1 a, lead(close, 24) over w / nullif(close, 0) - 1 b, lead(close, 168) over w / nullif(close, 0) - 1 c from probs window w as (partition by asset order by ts))
+select asset, round(corr(p1, a), 6) + 0e0 corr_1, round(corr(p1, b), 6) + 0e0 corr_24, round(corr(p1, c), 6) + 0e0 corr_168 from h group by 1""")
 def horizon_corr(spark, sf_dir):
-    return rounded(audit.horizon_correlation(probs(spark, sf_dir), "p1", (1, 24)))
+    return rounded(audit.horizon_correlation(probs(spark, sf_dir), "p1", (1, 24, 168)))
 
 
 @query(f"""with {RETURNS}, e as (select min(close) a0, max(close) a1, min(ret) b0, max(ret) b1 from returns), n as (select least(floor((close - a0) * 10 / (a1 - a0)), 9) i, least(floor((ret - b0) * 10 / (b1 - b0)), 9) j, count(*)::double n from returns, e group by 1, 2),

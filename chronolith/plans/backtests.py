@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import audit, ensemble, metrics, portfolio, regime, split, stationarity
@@ -107,15 +106,8 @@ d as (select asset, 0::bigint i, 0e0 a, 1e-6::double b, 0e0 d from (select disti
   from d join x on x.asset = d.asset and x.i = d.i + 1)
 select x.asset, x.ts, round(d.d, 6) + 0e0 reward from d join x using (asset, i)""")
 def dsr_reward(spark, sf_dir):
-    from ..operators.indicators import fold
-
     d = returns(spark, sf_dir).select("asset", "ts", (F.col("ret") / 100).alias("alpha"))
-
-    def rewards(x):
-        s = portfolio.Sharpener(0.02, 200, -0.9)
-        return [np.array([s.reward(float(v), t) for t, v in enumerate(x)])]
-
-    return fold(d, ("asset",), "ts", ["alpha"], ["reward"], rewards).select("asset", "ts", r("reward").alias("reward"))
+    return portfolio.sharpe_rewards(d, "alpha").select("asset", "ts", r("reward").alias("reward"))
 
 
 @query()

@@ -58,14 +58,14 @@ def garman_klass_24(spark, sf_dir):
     return p.select("asset", "ts", r(f.garman_klass(p)).alias("gk"))
 
 
-FFD = ", ".join(f"({k}, {x!r}::double)" for k, x in enumerate(f.ffd_weights(0.4, 24)))
+FFD = ", ".join(f"({k}, {x!r}::double)" for k, x in enumerate(f.ffd_weights(0.4)))
 
 
 @query(f"""with {PANEL}, x as (select asset, ts, row_number() over (partition by asset order by ts) rn, case when close > 0 then ln(close) end x from panel), wt(k, w) as (values {FFD})
-select a.asset, a.ts, round(case when count(b.x) = 25 then sum(b.x * wt.w) end, 6) + 0e0 fracdiff from x a cross join wt left join x b on b.asset = a.asset and b.rn = a.rn - wt.k group by 1, 2""")
+select a.asset, a.ts, round(case when count(b.x) = (select count(*) from wt) then sum(b.x * wt.w) end, 6) + 0e0 fracdiff from x a cross join wt left join x b on b.asset = a.asset and b.rn = a.rn - wt.k group by 1, 2""")
 def fracdiff_d040(spark, sf_dir):
     p = panel(spark, sf_dir)
-    return p.select("asset", "ts", r(f.fracdiff(p, f.ffd_weights(0.4, 24))).alias("fracdiff"))
+    return p.select("asset", "ts", r(f.fracdiff(p, f.ffd_weights(0.4))).alias("fracdiff"))
 
 
 @query(f"""with {PANEL} select asset, ts, round(case when count(volume) over w = 24 then ln(1 + volume) / nullif(ln(1 + avg(volume) over w), 0) end, 6) + 0e0 volume_rel from panel window w as {w(24)}""")

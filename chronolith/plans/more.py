@@ -119,19 +119,6 @@ def split_lineitem_daily(spark, sf_dir):
     return d.groupBy("asset", "split").agg(F.count("*").alias("rows"), F.round(F.min("v"), 2).alias("min_v"), F.round(F.max("v"), 2).alias("max_v"))
 
 
-@query()
-def signal_probe(spark, sf_dir):
-    """A forest on a series that carries a signal, split in time; the tests check that it beats the majority."""
-    d = split.split(synthetic.oracle_bars(spark, 600), purge=0).withColumn("y", (F.lead("close").over(_by_time()) > F.col("close")).cast("int")).where("y is not null")
-    return probes.signal(d.where("split = 'train'"), d.where("split = 'test'"), ["signal", "volume"], "y")
-
-
-def _by_time():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("asset").orderBy("ts")
-
-
 @query()
 def regime_projection(spark, sf_dir):
     """Two principal components, their variance and the states' silhouette."""

@@ -92,8 +92,9 @@ def split_two_way(spark, sf_dir):
     return d.withColumn("split", split.two_way(F.col("n"), F.col("rn"), 0.8, 50)).where("split is not null").select("asset", "ts", "split")
 
 
-SEGMENTS = """segments as (select k::int segment, s train_start, s + 240 train_end, s + 288 eval_start, s + 360 eval_end, s + 408 test_start, s + 504 test_end
-  from (select unnest(range(0, 3)) k, unnest(range(0, 3)) * 96 s))"""
+SEGMENTS = """longest as (select coalesce(max(c), 0) n from (select count(*) c from returns group by asset)),
+segments as (select k::int segment, k * 96 train_start, k * 96 + 240 train_end, k * 96 + 288 eval_start, k * 96 + 360 eval_end, k * 96 + 408 test_start, k * 96 + 504 test_end
+  from (select unnest(range(0, greatest(0, floor((n - 516) / 96e0)::bigint + 1))) k from longest))"""
 RANKED = f"{RETURNS}, n as (select *, row_number() over (partition by asset order by ts) - 1 rn from returns)"
 SEGMENT_ROWS = f"""{RANKED}, {SEGMENTS}, rowed as (select n.*, segment, case when rn < train_end then 'train' when rn >= eval_start and rn < eval_end then 'eval' when rn >= test_start then 'test' end split
   from n join segments on rn >= train_start and rn < test_end), seg as (select * from rowed where split is not null)"""
@@ -109,7 +110,7 @@ def segment_rows(spark, sf_dir):
     return WF.rows(d, segments(spark, d))
 
 
-@query(f"with {SEGMENTS} select * from segments")
+@query(f"with {RETURNS}, {SEGMENTS} select * from segments")
 def wfo_segments(spark, sf_dir):
     return segments(spark, returns(spark, sf_dir))
 

@@ -11,15 +11,16 @@ from .base import BARS, PANEL, RETURNS, events, panel, query, r, returns, rounde
 from .featured import N
 
 
-@query(f"""with {ENS}, e as (select avg(x) m from (select unnest(s) x from ens)), c as (select vec_id, a, list_transform(s, lambda x: x / k) s from (select vec_id, a, s, m + 1e-6 k from ens, e)),
+@query(f"""with recursive {ENS}, e as (select ens.vec_id, label, list_avg(s) m, row_number() over (partition by label order by ens.vec_id) i from ens join embeddings using (vec_id)),
+x as (select label, 1::bigint i, null::double k, m k2 from e where i = 1 union all select x.label, e.i, x.k2, 0.05e0 * e.m + 0.95e0 * x.k2 from x join e on e.label is not distinct from x.label and e.i = x.i + 1),
+c as (select vec_id, a, case when k is null then s else list_transform(s, lambda y: y / (k + 1e-6)) end s from ens join e using (vec_id) join x on x.label is not distinct from e.label and x.i = e.i),
 g as (select vec_id, {WEIGHTED} * greatest(least(1 - 2 * {SD}, 1), 0.1) act, greatest(least(1 - {SD}, 1), 0) agr from c) select vec_id, round(case when agr < 0.8 then 0.05e0 else act end, 6) + 0e0 as action, round(agr, 6) + 0e0 agreement from g""")
 def ensemble_calibrated(spark, sf_dir):
-    """Spreads over their mean, doubled aversion, a fixed action where members agree too little."""
-    m = members(spark, sf_dir)
-    ema = m.select(F.explode("spreads").alias("s")).agg(F.avg("s").alias("ema"))
-    m = m.join(F.broadcast(ema), how="cross")  # one row
-    config = ensemble.Config(risk_aversion=2.0, min_agreement=0.8, disagreement_action=0.05)
-    return rounded(ensemble.predict(m, config, spread_ema="ema").select("vec_id", "action", "agreement"))
+    """Spreads over the running mean of earlier rows of the label, doubled aversion, a fixed action where members agree too little."""
+    labels = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label")
+    m = members(spark, sf_dir).join(labels, "vec_id")
+    config = ensemble.Config(risk_aversion=2.0, min_agreement=0.8, disagreement_action=0.05, calibrate_spread=True, ema_alpha=0.05)
+    return rounded(ensemble.predict(m, config, keys=("label",), order="vec_id").select("vec_id", "action", "agreement"))
 
 
 @query(f"""with recursive {PANEL}, {N}, l as (select *, lag(close) over (partition by asset order by ts) pc from n), d as (select asset, i, greatest(high - low, abs(high - pc), abs(low - pc)) tr from l where i > 1),

@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 
+def workspace(spark: SparkSession) -> str:
+    """A new path in spark.checkpoint.dir, for what streams read, write and note. Where that is unset a temporary folder is set for
+    it in a session of one machine; a cluster must name a folder that all its machines share."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is unset: it must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="chronolith-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> None:
     """Sends the package to the executors once a context, by Spark's own file server."""
     sc = spark.sparkContext
