@@ -7,20 +7,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import div, entropy
+from ..functions.ranks import quantiles
 from ..functions.windows import over
-from .scale import long
+from .scale import long, with_quantiles
 from .split import numbered
 
 GLYPHS = "▁▂▃▄▅▆▇█"
 
 
 def feature_stats(df: DataFrame, columns: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
-    """Counts, extremes, mean, deviation (n - 1), exact percentiles and share of NULLs of each column, in one pass."""
-    q = F.percentile("x", F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75, 0.95, 0.99)]))
-    out = long(df, columns, list(keys)).groupBy(*keys, "feature").agg(
-        F.count("x").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), q.alias("q"),
+    """Counts, extremes, mean, deviation (n - 1), exact percentiles and share of NULLs of each column."""
+    rows = long(df, columns, list(keys))
+    out = rows.groupBy(*keys, "feature").agg(
+        F.count("x").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
         F.count_if(F.col("x").isNull()).alias("nulls"), F.count("*").alias("rows"),
     )
+    out = with_quantiles(out, quantiles(rows, [*keys, "feature"], (0.25, 0.5, 0.75, 0.95, 0.99)), [*keys, "feature"])
     return out.select(*keys, "feature", "n", "min", "max", "mean", "std", *[F.get("q", k).alias(f"p{p}") for k, p in enumerate((25, 50, 75, 95, 99))],
                       "nulls", (100 * div("nulls", "rows")).alias("null_pct"))
 
@@ -35,8 +37,9 @@ def clip_report(df: DataFrame, columns: list[str], low: float, high: float, keys
 
 def clip_justification(df: DataFrame, columns: list[str], low: float, high: float) -> DataFrame:
     """What bounds would cut, against the 1 % and 99 % percentiles; flagged beyond 5 %."""
-    q = F.percentile("x", F.array(F.lit(0.01), F.lit(0.99)))
-    out = long(df, columns, []).groupBy("feature").agg(F.count("x").alias("n"), F.count_if(F.col("x") < low).alias("below"), F.count_if(F.col("x") > high).alias("above"), q.alias("q"))
+    rows = long(df, columns, [])
+    out = rows.groupBy("feature").agg(F.count("x").alias("n"), F.count_if(F.col("x") < low).alias("below"), F.count_if(F.col("x") > high).alias("above"))
+    out = with_quantiles(out, quantiles(rows, ["feature"], (0.01, 0.99)), ["feature"])
     pct = 100 * div(F.col("below") + F.col("above"), "n")
     return out.select("feature", (100 * div("below", "n")).alias("below_pct"), (100 * div("above", "n")).alias("above_pct"), F.get("q", 0).alias("p1"), F.get("q", 1).alias("p99"), (pct > 5).alias("flagged"))
 
@@ -45,7 +48,7 @@ def outliers(df: DataFrame, columns: list[str], method: str = "iqr", k: float =
     """Rows outside quartiles -+ k IQR, or more than k deviations from the mean: count, share, extremes."""
     rows = long(df, columns, []).where("x is not null")
     if method == "iqr":
-        q = rows.groupBy("feature").agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+        q = quantiles(rows, ["feature"], (0.25, 0.75))
         iqr = F.get("q", 1) - F.get("q", 0)
         bounds = q.select("feature", (F.get("q", 0) - k * iqr).alias("lo"), (F.get("q", 1) + k * iqr).alias("hi"))
     else:
@@ -134,7 +137,8 @@ def calibration(df: DataFrame, prob: str, outcome: str, bins: int = 10) -> DataF
 
 def decile_calibration(df: DataFrame, prob: str, outcome: str, bins: int = 10) -> DataFrame:
     """Means by bins whose edges are percentiles of the prediction; ece is their mean absolute gap, brier the mean squared error."""
-    edges = df.agg(F.percentile(prob, F.array(*[F.lit(k / bins) for k in range(1, bins)])).alias("e"), F.avg(F.pow(F.col(prob) - F.col(outcome), 2)).alias("brier"))
+    brier = df.agg(F.avg(F.pow(F.col(prob) - F.col(outcome), 2)).alias("brier"))
+    edges = quantiles(df, [], [k / bins for k in range(1, bins)], prob).withColumnRenamed("q", "e").join(F.broadcast(brier), how="cross")  # one row each
     d = df.join(F.broadcast(edges), how="cross")  # one row
     at = F.size(F.filter("e", lambda x: x <= F.col(prob)))
     got = d.groupBy(at.alias("bin")).agg(F.avg(prob).alias("mean_pred"), F.avg(outcome).alias("mean_true"), F.count("*").alias("n"), F.first("brier").alias("brier"))

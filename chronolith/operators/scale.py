@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranks import quantiles
 from ..schema import MIN_IQR, SCALER_CLIP
 
 
@@ -15,6 +16,15 @@ def long(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
     )
 
 
+def with_quantiles(groups: DataFrame, q: DataFrame, by: list[str]) -> DataFrame:
+    """groups with the q of the same keys, NULL where there is none."""
+    q = q.withColumnsRenamed({k: f"__q_{k}" for k in by})
+    on = F.lit(True)
+    for k in by:
+        on = on & F.col(k).eqNullSafe(F.col(f"__q_{k}"))
+    return groups.join(q, on, "left").drop(*[f"__q_{k}" for k in by])
+
+
 def check_finite(df: DataFrame, columns: list[str]) -> None:
     """ValueError, naming the columns, if any holds NULL, NaN or an infinity."""
     bad = df.agg(*[F.count_if(F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))).alias(c) for c in columns]).first()
@@ -25,8 +35,9 @@ def check_finite(df: DataFrame, columns: list[str]) -> None:
 
 def fit(df: DataFrame, columns: list[str], keys: tuple[str, ...] = (), min_iqr: float = MIN_IQR) -> DataFrame:
     """(keys, feature, center, scale): exact median and interquartile range, the latter floored."""
-    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = long(df, columns, list(keys)).groupBy(*keys, "feature").agg(q.alias("q"))
+    rows = long(df, columns, list(keys))
+    some = quantiles(rows, [*keys, "feature"], (0.25, 0.5, 0.75))
+    out = with_quantiles(rows.groupBy(*keys, "feature").agg(F.lit(1).alias("one")), some, [*keys, "feature"])  # a column of NULLs has NULLs
     return out.select(*keys, "feature", F.get("q", 1).alias("center"), F.greatest(F.get("q", 2) - F.get("q", 0), F.lit(min_iqr)).alias("scale"))
 
 
