@@ -110,9 +110,21 @@ def dsr_reward(spark, sf_dir):
     return portfolio.sharpe_rewards(d, "alpha").select("asset", "ts", r("reward").alias("reward"))
 
 
-@query()
+#: The walk with a breaker: no action while it waits; it falls beyond three times a volatility of 0.005 over 25 values, or a drawdown of 0.2, for 12 steps.
+BREAKER = WALK.replace("w as (", "wb as (", 1).replace("from w join act a on a.asset = w.asset and a.i = w.i + 1", "from wb w join act a on a.asset = w.asset and a.i = w.i + 1").replace(
+    "0::bigint trades, 0e0 dd from", "0::bigint trades, 0e0 dd, 0 wait, []::double[] navs from"
+).replace(
+    "select asset, i + 1, cash3, units2, held2, greatest(peak, nav2), (2e0 / 25) * ret * ret + (1 - 2e0 / 25) * var, nav2, trades + ch, (greatest(peak, nav2) - nav2) / greatest(peak, nav2)\n  from (",
+    """select asset, i + 1, cash3, units2, held2, peak2, (2e0 / 25) * ret * ret + (1 - 2e0 / 25) * var, nav2, trades + ch, dd2,
+    case when greatest(wait - 1, 0) = 0 and (coalesce(list_stddev_pop(list_transform(range(2, len(navs2) + 1), lambda j: ln(navs2[j]) - ln(navs2[j - 1]))), 0) > 0.015e0 or dd2 > 0.2e0) then 12 else greatest(wait - 1, 0) end, navs2
+  from (select *, greatest(peak, nav2) peak2, (greatest(peak, nav2) - nav2) / greatest(peak, nav2) dd2, list_append(navs, nav2)[-25:] navs2 from (""",
+).replace("greatest(least(a.act * greatest(", "greatest(least(case when w.wait = 0 then a.act else 0 end * greatest(").replace("where a.nxt is not null)))))\n)", "where a.nxt is not null))))))\n)")
+
+
+@query(f"""with recursive {PRICE}, act as (select *, coalesce(sign(nxt - price), 0)::double act from st), {BREAKER}, p as (select asset, i, wait > 0 panic, coalesce(lag(wait > 0) over (partition by asset order by i), false) before from wb where i > 0)
+select asset, count(*) filter (panic and not before) triggers, count(*) filter (panic) panic_steps, round(count(*) filter (panic and not before) / count(*)::double, 6) + 0e0 trigger_rate from p group by 1""")
 def backtest_breaker(spark, sf_dir):
-    """Circuit breaker's statistics; the tests check that it forces positions flat, not every step."""
+    """Circuit breaker's statistics."""
     steps = portfolio.backtest(portfolio.oracle(priced(spark, sf_dir)), RULES, breaker=portfolio.Breaker(0.005))
     return rounded(portfolio.breaker_stats(steps))
 
@@ -220,13 +232,26 @@ def regime_model(spark, sf_dir):
     return m.select("asset", F.size("start").alias("states"), "start", "trans", "weights", "means", "vars")
 
 
-@query()
+#: Least squares of a difference on the level before it and a constant (b0), and on the difference before too (b1), from centred sums; the better by AIC.
+ADF = """ad as (select {k}, x - l d, l, l - lag(l) over (partition by {k} order by ts) m from (select *, lag(x) over (partition by {k} order by ts) l from {source} where x is not null)),
+aq as (select {k}, count(*)::double n, regr_sxx(l, l) ll, regr_sxx(m, m) mm, regr_sxx(d, d) dd, covar_pop(l, m) * count(*) lm, covar_pop(l, d) * count(*) ld, covar_pop(m, d) * count(*) md from ad where m is not null and d is not null group by all),
+ab as (select *, ld / ll b0, (ld * mm - md * lm) / (ll * mm - lm * lm) b1, (md * ll - ld * lm) / (ll * mm - lm * lm) b2 from aq),
+ar as (select *, greatest(dd - b0 * ld, 0) r0, greatest(dd - b1 * ld - b2 * md, 0) r1 from ab),
+av as (select {k}, n, b0 / sqrt(r0 / (n - 2) / ll) t0, b1 / sqrt(r1 / (n - 3) * mm / (ll * mm - lm * lm)) t1, n * ln(r0 / n) + 4 a0, n * ln(r1 / n) + 6 a1 from ar),
+adf as (select {k}, n::bigint n, case when a1 < a0 then t1 else t0 end tau, (a1 < a0)::int lags, case when a1 < a0 then t1 else t0 end < -2.86154e0 - 2.8903e0 / n - 4.234e0 / n ** 2 - 40.04e0 / n ** 3 stationary from av)"""
+
+
+@query(f"""with {PANEL}, src as (select asset, ts, close x from panel), {ADF.format(k="asset", source="src")} select asset, n, round(tau, 4) + 0e0 tau, lags, stationary from adf""")
 def adf_test(spark, sf_dir):
-    """By moment sums; the tests check it against least squares."""
     return rounded(stationarity.adf(panel(spark, sf_dir), "close"), 4)
 
 
-@query()
+@query(f"""with recursive {PANEL}, o as (select unnest(range(0, 15)) o), wt as (select o, 0 k, 1e0 w from o union all select o, k + 1, -w * (0.3e0 + 0.05e0 * o - k) / (k + 1) from wt where k < 100 and abs(w * (0.3e0 + 0.05e0 * o - k) / (k + 1)) >= 1e-5),
+nw as (select o, count(*) c from wt group by 1), lg as (select asset, ts, row_number() over (partition by asset order by ts) rn, ln(close + 1) y from panel),
+fx as (select a.asset, wt.o, a.ts, a.rn, sum(b.y * wt.w) x from wt join lg b on true join lg a on a.asset = b.asset and a.rn = b.rn + wt.k group by 1, 2, 3, 4),
+src as (select fx.asset, fx.o, fx.ts, x from fx join nw using (o) where rn >= c), {ADF.format(k="asset, o", source="src")},
+g as (select asset, min(o) o from adf where stationary and n >= 100 group by 1)
+select a.asset, coalesce(round(0.3e0 + 0.05e0 * g.o, 10), 1e0) d from (select distinct asset from panel) a left join g using (asset)""")
 def least_fracdiff_order(spark, sf_dir):
     d = panel(spark, sf_dir).withColumn("close", F.col("close") + 1)
     return stationarity.least_order(d)

@@ -128,7 +128,14 @@ def regime_projection(spark, sf_dir):
     return p.groupBy("state").agg(F.count("*").alias("n")).withColumns({"explained": F.lit(round(sum(share), 6)), "silhouette": F.lit(round(s, 6))})
 
 
-@query()
+@query(f"""with {PANEL}, n as (select asset, ts, close, row_number() over (partition by asset order by ts) - 1 rn, count(*) over (partition by asset) n from panel),
+b as (select asset, floor(rn / greatest(ceil(n / 200e0), 1))::int bucket, avg(close) v from n group by 1, 2),
+m as (select asset, v, row_number() over (partition by asset order by bucket) - 1 rn, count(*) over (partition by asset) n from b),
+c as (select asset, floor(rn / floor(n / 50e0))::int bin, avg(v) m, coalesce(stddev_pop(v), 0) s, any_value(n) n from m where n >= 50 and floor(rn / floor(n / 50e0)) < 50 group by 1, 2),
+t as (select asset, max(case when bin = 0 then m end) "start", max(case when bin = 49 then m end) "end", max(m) peak, coalesce(regr_slope(case when bin >= 40 then m end, bin), 0) slope, coalesce(avg(case when bin >= 40 then s end), 0) noise from c group by 1),
+u as (select k.asset, k.n, t.* exclude (asset), abs(slope) / (noise + 1e-9) snr from (select asset, count(*) n from b group by 1) k left join t using (asset))
+select asset, n, round("start", 6) + 0e0 "start", round("end", 6) + 0e0 "end", round(peak, 6) + 0e0 peak, round(slope, 6) + 0e0 slope, round(noise, 6) + 0e0 noise, round(snr, 6) + 0e0 snr,
+case when n < 50 then 'INSUFFICIENT_DATA' when "end" is null or "end" > 1e4 then 'EXPLODING' when snr < 2 then 'STABLE (Noisy)' when slope > 0 and "end" < 1.5e0 * coalesce("start", 0) then 'RISING (Controlled)' when slope > 0 then 'DIVERGING' else 'CONVERGING' end status from u""")
 def convergence(spark, sf_dir):
     """Trend statistics of a logged series, resampled first."""
     d = panel(spark, sf_dir).select("asset", "ts", "close")
