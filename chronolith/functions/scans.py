@@ -42,15 +42,16 @@ def known(y: np.ndarray, pos: np.ndarray, n: int) -> np.ndarray:
 def recursion(
     df: DataFrame, keys: Sequence[str], order: str, inputs: Sequence[str], outputs: Sequence[str], start: Sequence[float],
     maps: Callable[[Rows], Sequence[tuple[np.ndarray, np.ndarray]]], finish: Callable[[Rows, list[np.ndarray]], Sequence[np.ndarray]], previous: Sequence[str] = (), size: int = BLOCK_ROWS,
+    anchors: Sequence[str] | None = None,
 ) -> DataFrame:
     """df with the outputs of len(start) recursions side by side.
 
     maps(rows) gives (a, b) for each recursion, finish(rows, values) the outputs, NaN as NULL. rows has arrays of the inputs, of
-    `rn` (the row's number in its series), `pos` (from the first row on in which all inputs have values, negative before) and
-    `prev_c` for each column of `previous`.
+    `rn` (the row's number in its series), `pos` (from the first row on in which all anchors, or else inputs, have values, negative before) and
+    `prev_c` for each column of `previous`. df is read three times: what is dear to make is better settled first.
     """
     need = [*inputs, "__rn", "__first", *[f"__prev_{c}" for c in previous]]
-    d = dealt(df, keys, order, size, previous, inputs)
+    d = dealt(df, keys, order, size, previous, inputs if anchors is None else anchors)
     names, by = df.columns, [*keys, BLOCK]
     type_of = lambda c: d.schema[c].dataType.simpleString()
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scans import known, recursion, smoothing
 from ..functions.windows import BLOCK_ROWS
+from ..runtime import settled
 
 
 def fold(df: DataFrame, keys: tuple[str, ...], order: str, inputs: list[str], outputs: list[str], f: Callable[..., list[np.ndarray]]) -> DataFrame:
@@ -123,15 +124,16 @@ def _true_range(r) -> np.ndarray:
     return np.maximum(r["high"] - r["low"], np.maximum(np.abs(r["high"] - r["prev_close"]), np.abs(r["low"] - r["prev_close"])))
 
 
-def _again(df: DataFrame, inputs: dict[str, tuple[int, float]], finish, outputs: list[str], keys: Keys, order: str, size: int) -> DataFrame:
-    """Second averages of columns that begin after NULLs, each (n, alpha), and outputs made of them; the inputs are taken away."""
-    for c in inputs:  # NULLs after the first value must stay without value, those before it count as nothing
-        n, alpha = inputs[c]
-        df = recursion(
-            df, keys, order, [c], [f"__s{c}"], [0.0], lambda r, c=c, n=n, alpha=alpha: [smoothing(_from(r[c], r["pos"] >= 0), r["pos"], n, alpha)],
-            lambda r, y, n=n: [known(y[0], r["pos"], n)], (), size,
-        )
-    return finish(df).drop(*inputs, *[f"__s{c}" for c in inputs])
+def _again(df: DataFrame, inputs: dict[str, tuple[int, float, int]], anchors: list[str], keys: Keys, order: str, size: int) -> DataFrame:
+    """df with second averages `__s...` of columns, each (n, alpha, rows from the anchors' first values to its own), side by side."""
+
+    def maps(r):
+        return [smoothing(_from(r[c], r["pos"] >= lag), r["pos"] - lag, n, alpha) for c, (n, alpha, lag) in inputs.items()]
+
+    def finish(r, y):
+        return [known(v, r["pos"] - lag, n) for v, (n, _, lag) in zip(y, inputs.values(), strict=True)]
+
+    return recursion(settled(df), keys, order, list(inputs), [f"__s{c}" for c in inputs], [0.0] * len(inputs), maps, finish, (), size, anchors)
 
 
 def _rsi(y: dict[str, np.ndarray]) -> np.ndarray:
@@ -149,12 +151,13 @@ def rsi(df: DataFrame, n: int = 14, keys: Keys = ("asset",), order: str = "ts",
 
 def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, keys: Keys = ("asset",), order: str = "ts", size: int = BLOCK_ROWS) -> DataFrame:
     d = _Momentum(14, fast, slow, signal).averages(df, ["fast", "slow"], ["close"], ["__line"], lambda r, y: [y["fast"] - y["slow"]], keys, order, size)
-    return _again(d, {"__line": (signal, 2 / (signal + 1))}, lambda d: d.withColumns({"macd": F.col("__line"), "macd_hist": F.col("__line") - F.col("__s__line")}), ["macd", "macd_hist"], keys, order, size)
+    d = _again(d, {"__line": (signal, 2 / (signal + 1), max(fast, slow) - 1)}, ["close"], keys, order, size)
+    return d.select(*df.columns, F.col("__line").alias("macd"), (F.col("__line") - F.col("__s__line")).alias("macd_hist"))
 
 
 def adx(df: DataFrame, n: int = 14, keys: Keys = ("asset",), order: str = "ts", size: int = BLOCK_ROWS) -> DataFrame:
     d = _Momentum(n, 12, 26, 9).averages(df, ["range", "plus", "minus"], ["high", "low", "close"], ["__dx"], lambda r, y: [_dx(y)], keys, order, size)
-    return _again(d, {"__dx": (n, 1 / n)}, lambda d: d.withColumn("adx", F.col("__s__dx")), ["adx"], keys, order, size)
+    return _again(d, {"__dx": (n, 1 / n, n)}, ["high", "low", "close"], keys, order, size).select(*df.columns, F.col("__s__dx").alias("adx"))
 
 
 def atr_ratio(df: DataFrame, n: int = 14, keys: Keys = ("asset",), order: str = "ts", size: int = BLOCK_ROWS) -> DataFrame:
@@ -166,7 +169,8 @@ def momentum(df: DataFrame, keys: Keys = ("asset",), order: str = "ts", size: in
     m = _Momentum(14, 12, 26, 9)
     finish = lambda r, y: [_rsi(y), y["fast"] - y["slow"], _dx(y)]
     d = m.averages(df, list(m.first), ["high", "low", "close"], ["rsi", "__line", "__dx"], finish, keys, order, size)
-    return _again(d, {"__line": (9, 0.2), "__dx": (14, 1 / 14)}, lambda d: d.withColumns({"macd_hist": F.col("__line") - F.col("__s__line"), "adx": F.col("__s__dx")}), ["macd_hist", "adx"], keys, order, size)
+    d = _again(d, {"__line": (9, 0.2, 25), "__dx": (14, 1 / 14, 14)}, ["high", "low", "close"], keys, order, size)
+    return d.select(*df.columns, "rsi", (F.col("__line") - F.col("__s__line")).alias("macd_hist"), F.col("__s__dx").alias("adx"))
 
 
 def ema_volatility(df: DataFrame, ret: str, window: int = 24, target: float = 0.05, keys: Keys = ("asset",), order: str = "ts", size: int = BLOCK_ROWS) -> DataFrame:
@@ -208,4 +212,4 @@ def running_normalization(df: DataFrame, reward: str = "reward", gamma: float =
         return [np.clip(r[reward] / np.sqrt(np.maximum(spread, 0) + 1e-8), -bound, bound)]
 
     ones = lambda r: np.ones(len(r["rn"]))
-    return recursion(d, keys, order, [reward, "__sum"], ["normalized"], [0.0, 0.0], lambda r: [(ones(r), r["__sum"]), (ones(r), r["__sum"] ** 2)], finish, (), size).drop("__sum")
+    return recursion(settled(d), keys, order, [reward, "__sum"], ["normalized"], [0.0, 0.0], lambda r: [(ones(r), r["__sum"]), (ones(r), r["__sum"] ** 2)], finish, (), size).drop("__sum")

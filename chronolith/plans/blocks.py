@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audit, indicators, portfolio, probes, regime, split, stationarity
 from ..operators import features as f
-from ..runtime import workspace
+from ..runtime import settled, workspace
 from ..streaming import steps
 from .backtests import MODEL, PRICE, RULES, WALK, _emission, priced
 from .base import PANEL, RETURNS, panel, query, r, returns, rounded
@@ -89,7 +89,7 @@ def temporal_isolation(spark, sf_dir):
         d = indicators.momentum(d)
         return d.withColumns({"vol": f.parkinson(d), "z": f.zscore(d, "close", 48)})
 
-    return stationarity.isolation(panel(spark, sf_dir).select("asset", "ts", "open", "high", "low", "close"), made, 400, ["rsi", "macd_hist", "adx", "vol", "z"])
+    return stationarity.isolation(settled(panel(spark, sf_dir).select("asset", "ts", "open", "high", "low", "close")), made, 400, ["rsi", "macd_hist", "adx", "vol", "z"])
 
 
 STATS = """select '{c}' feature, avg({c}) m, stddev_samp({c}) s, quantile_cont({c}, 0.25) q1, quantile_cont({c}, 0.5) q2, quantile_cont({c}, 0.75) q3, count(*) n from returns"""
