@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import clip
 from ..functions.scans import recursion
+from .split import numbered
 
 START = 10_000.0
 
@@ -176,13 +177,31 @@ def backtest(df: DataFrame, rules: Rules = Rules(), keys: tuple[str, ...] = ("as
 
 def episodes(df: DataFrame, starts: DataFrame, length: int, keys: tuple[str, ...] = ("asset",), order: str = "ts") -> DataFrame:
     """Rows of each episode (asset, episode, start): `length` + 1 rows from a start by number; rows of several are repeated."""
-    from .split import numbered
-
     d = numbered(df, keys, order).drop("n")
     s = starts.withColumn("rn", F.explode(F.sequence(F.col("start"), F.col("start") + length)))
     return d.join(s.select(*keys, "episode", "rn"), [*keys, "rn"])
 
 
+def lanes(df: DataFrame, starts: DataFrame, length: int, steps: int, rules: Rules = Rules(), keys: tuple[str, ...] = ("asset",), order: str = "ts", action: str = "action", breaker: Breaker | None = None) -> DataFrame:  # noqa: B008
+    """The log of lanes that restart in place: (keys, lane, step) with the episode it belongs to and what `backtest` gives.
+
+    starts: (keys, lane, episode, start), a lane's episodes in order and the row number each starts at. A lane plays an episode for
+    `length` steps, or until broke or out of rows, and then takes its next one, `steps` steps in all. Episodes don't depend on one another, so
+    each is a task's work of its own; when a lane comes to it follows from the lengths of those before, one small row each.
+    """
+    from pyspark.sql import Window
+
+    by = [*keys, "lane", "episode"]
+    d = numbered(df, keys, order).drop("n")
+    rows = starts.select(*by, F.explode(F.sequence("start", F.col("start") + length)).alias("rn")).join(d, [*keys, "rn"]).drop("rn")
+    played = backtest(rows, rules, tuple(by), order, action=action, breaker=breaker)
+    sizes = played.groupBy(*by).agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*keys, "lane").orderBy("episode").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    out = played.join(sizes, by).withColumn("step", F.col("__before") + F.col("t")).where(F.col("step") < steps)
+    return out.drop("__before")
+
+
 def buy_and_hold(df: DataFrame) -> DataFrame:
     return df.withColumn("action", F.lit(1.0))
 

@@ -74,6 +74,23 @@ def reward_parts(spark, sf_dir):
     return rounded(d.select("asset", "t", "gain", "idle", "churn", "reward"))
 
 
+#: Two lanes of three episodes of 90 steps an asset; the walk takes an episode for an asset of its own.
+LANES = f"""{PRICE}, ep as (select lane, episode, lane * 50 + episode * 130 "start" from (select unnest([0, 1]) lane) a, (select unnest([0, 1, 2]) episode) b),
+act as (select asset || '/' || lane || '/' || episode asset, asset name, lane, episode, st.i - ep."start" i, price, case when st.i - ep."start" <= 90 then nxt end nxt, coalesce(sign(nxt - price), 0)::double act from st join ep on st.i - 1 between ep."start" and ep."start" + 90)"""
+
+
+@query(f"""with recursive {LANES}, {WALK}, k as (select name asset, lane, episode, w.i - 1 t, nav, w.held, w.trades from w join act on act.asset = w.asset and act.i = w.i where w.i > 0),
+z as (select asset, lane, episode, coalesce(sum(n) over (partition by asset, lane order by episode rows between unbounded preceding and 1 preceding), 0) b from (select asset, lane, episode, count(*) n from k group by 1, 2, 3))
+select k.asset, k.lane, k.episode, (b + t)::bigint as step, t, round(ln(nav / 10000), 8) + 0e0 log_nav, round(held, 4) + 0e0 as position, trades from k join z on z.asset = k.asset and z.lane = k.lane and z.episode = k.episode where b + t < 200""")
+def restarting_lanes(spark, sf_dir):
+    """Lanes that take their next episode in place, 200 steps each."""
+    d = portfolio.oracle(priced(spark, sf_dir))
+    pair = F.explode(F.array(*[F.struct(F.lit(a).alias("lane"), F.lit(e).alias("episode")) for a in range(2) for e in range(3)]))
+    starts = d.select("asset").distinct().select("asset", pair.alias("p")).select("asset", "p.lane", "p.episode", (F.col("p.lane") * 50 + F.col("p.episode") * 130).cast("long").alias("start"))
+    got = portfolio.lanes(d, starts, 90, 200, RULES)
+    return got.select("asset", "lane", "episode", "step", "t", r(F.ln(F.col("nav") / 10_000), 8).alias("log_nav"), r("position", 4).alias("position"), F.col("trades").cast("long").alias("trades"))
+
+
 @query(f"""with {RETURNS}, n as (select asset, state, lead(state) over (partition by asset order by ts) nx from returns), c as (select asset, state, nx, count(*)::double k from n where nx is not null group by 1, 2, 3),
 p as (select *, k / sum(k) over (partition by asset, state) p from c), s as (select asset, state, coalesce(sum(case when state = nx then p end), 0) stay, sum(-p * ln(p)) e from p group by 1, 2), g as (select asset, avg(stay) m, avg(e) e from s group by 1)
 select asset, round(m, 6) + 0e0 mean_stay, round(e, 6) + 0e0 mean_row_entropy, case when m > 0.8e0 then 'STICKY' when m < 0.5e0 then 'VOLATILE' else 'MODERATE' end kind from g""")

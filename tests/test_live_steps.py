@@ -82,6 +82,25 @@ def test_a_broke_episode_ends_or_restarts_in_place(spark, restart):
     assert [(r["episode"], r["t"]) for r in got] == [(0, 0), (0, 1)] + ([(1, 0), (1, 1)] if restart else [])
 
 
+def test_lanes_restart_in_place(spark):
+    """Against plain loops: a broke episode is shorter, the last one is cut, one runs out of rows."""
+    data = rows(120, 3) + [("c", T0 + timedelta(hours=k), p, -1.0) for k, p in enumerate([100.0, 100.0, 900.0] + [100.0 + j for j in range(40)])]
+    starts = [(a, lane, e, lane * 7 + e * 11) for a in ("a", "b") for lane in range(3) for e in range(4)] + [("c", 0, 0, 0), ("c", 0, 1, 5), ("c", 0, 2, 40), ("c", 0, 3, 2)]
+    rules, want = portfolio.Rules(target_vol=1.0), {}
+    for asset, lane in sorted({s[:2] for s in starts}):
+        series, step = [r for r in data if r[0] == asset], 0
+        for _, _, episode, begin in sorted(s for s in starts if s[:2] == (asset, lane)):
+            part = series[begin : begin + 21]
+            for t, nav in enumerate(portfolio.simulate(np.array([r[2] for r in part]), np.array([r[3] for r in part]), rules)["nav"]):
+                if step < 70:
+                    want[asset, lane, step] = (episode, t, nav)
+                step += 1
+    got = portfolio.lanes(spark.createDataFrame(data, SCHEMA), spark.createDataFrame(starts, "asset string, lane int, episode int, start bigint"), 20, 70, rules).collect()
+    told = {(r["asset"], r["lane"], r["step"], r["episode"], r["t"]): r["nav"] for r in got}
+    assert told == pytest.approx({(*k, e, t): float(nav) for k, (e, t, nav) in want.items()}) and len(got) == len(want)
+    assert ("c", 0, 2) in want and want["c", 0, 2][:2] == (1, 0)
+
+
 def test_odd_rows(spark):
     assert live.steps(spark.createDataFrame([], SCHEMA)).count() == 0
     one = [("a", T0, 1.0, None), ("a", T0, 2.0, 1.0), (None, T0, 1.0, 1.0), (None, T0 + timedelta(hours=1), 1.0, None)]
