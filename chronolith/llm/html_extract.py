@@ -306,7 +306,7 @@ def article(page: str | None, weights: dict[str, float]) -> list[str]:
 
 @dataclass
 class Sample:
-    """The labelled pages that scores are learned from: at most so many, of at most so many characters, those of the least hash."""
+    """The labelled pages that scores are learned from: at most so many different ones, of at most so many characters, those of the least hash."""
 
     pages: int = 500
     chars: int = 1 << 16
@@ -317,7 +317,10 @@ def learn(pages: DataFrame, html_col: str = "html", sample: Sample | None = None
     ship(pages.sparkSession)
     sample = sample or Sample()
     some = pages.select(F.col(html_col).cast("string").alias("html")).where((F.length("html") <= sample.chars) & F.col("html").rlike("(?i)<article[\\s>]"))
-    some = some.orderBy(F.xxhash64("html"), "html").limit(sample.pages)
+    some = some.withColumn("h", F.xxhash64("html"))
+    # the last hash of the sample is found first, without the pages; copies of a page are one
+    last = some.select("h").distinct().orderBy("h").limit(sample.pages).agg(F.max("h")).first()[0]
+    some = some.where(F.col("h") <= F.lit(last).cast("long")).groupBy("h").agg(F.first("html").alias("html")).select("html")
 
     def count(batches):
         inside, outside = Counter(), Counter()
