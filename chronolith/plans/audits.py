@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import clip
 from ..operators import audit, metrics, regime, scale
 from ..operators import features as f
+from ..runtime import settled
 from .base import PANEL, PROBS, RETURNS, panel, probs, query, r, returns, rounded
 
 LONG = "u as (select 'close' feature, close x from returns union all select 'ret', ret from returns)"
@@ -29,7 +30,7 @@ def clip_report(spark, sf_dir):
 @query(f"""with {RETURNS}, {LONG}, g as (select feature, 100e0 * count(*) filter (x < -2) / count(x) b, 100e0 * count(*) filter (x > 2) / count(x) a, quantile_cont(x, 0.01) p1, quantile_cont(x, 0.99) p99 from u group by 1)
 select feature, round(b, 6) + 0e0 below_pct, round(a, 6) + 0e0 above_pct, round(p1, 6) + 0e0 p1, round(p99, 6) + 0e0 p99, a + b > 5 flagged from g""")
 def clip_justification(spark, sf_dir):
-    return rounded(audit.clip_justification(returns(spark, sf_dir), COLS, -2, 2))
+    return rounded(audit.clip_justification(settled(returns(spark, sf_dir)), COLS, -2, 2))
 
 
 OUT = """, o as (select u.feature, x, case when x < lo or x > hi then x end o from u join b using (feature))
@@ -66,7 +67,7 @@ def anomalies(spark, sf_dir):
 z as (select feature, x, greatest(least((x - m) / s, 5), -5) z from u join q using (feature)), g as (select feature, avg(x) mean, stddev_samp(x) std, avg(z) mean_b, stddev_samp(z) std_b from z group by 1)
 select feature, round(mean, 6) mean, round(std, 6) std, round(mean_b, 6) + 0e0 mean_b, round(std_b, 6) std_b, round(abs(mean_b - mean), 6) mean_shift, round(std_b / std, 6) std_ratio from g""")
 def stage_comparison(spark, sf_dir):
-    d = returns(spark, sf_dir)
+    d = settled(returns(spark, sf_dir))
     z = scale.fit_transform(d, COLS)
     return rounded(audit.compare_stages(audit.feature_stats(d, COLS), audit.feature_stats(z, COLS)))
 
@@ -113,7 +114,7 @@ def calibration_bins(spark, sf_dir):
 g as (select len(list_filter(e, lambda x: x <= p))::int bin, avg(p) mp, avg(y) mt, count(*) n, any_value(brier) brier from p, e group by 1)
 select bin, round(mp, 6) mean_pred, round(mt, 6) mean_true, n, round(brier, 6) brier, round((select avg(abs(mp - mt)) from g), 6) ece from g""")
 def decile_ece(spark, sf_dir):
-    return rounded(audit.decile_calibration(predictions(spark, sf_dir), "p", "y"))
+    return rounded(audit.decile_calibration(settled(predictions(spark, sf_dir)), "p", "y"))
 
 
 LAGS = f"""{RETURNS}, i as (select asset, row_number() over (partition by asset order by ts) rn, close % 100 a, abs(ret) b from returns), k as (select unnest(range(-6, 7))::int lag),

@@ -121,7 +121,7 @@ def normalization_report(spark, sf_dir):
     """Raw against robustly scaled columns: moments, what the bounds clip, outliers."""
     from ..operators import scale
 
-    d, columns = returns(spark, sf_dir).select("close", "ret", "volume"), ["close", "ret", "volume"]
+    d, columns = settled(returns(spark, sf_dir).select("close", "ret", "volume")), ["close", "ret", "volume"]
     return rounded(audit.normalization_report(d, scale.fit_transform(d, columns), columns))
 
 
