@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import _LOWER, Words, chunks, merged, mix, ship, stored, table, tidy, trim
+from .common import _LOWER, Words, bits_for, chunks, has, id_bitmap, merged, mix, ship, stored, table, tidy, trim
 
 #: Words of a phrase at most.
 LONGEST = 5
@@ -75,33 +75,6 @@ def each_text(batches, langs: dict[str, int]):
             yield Texts(buf, offsets, codes[i:j], seeds)
 
 
-def has(bitmap: np.ndarray, bits: int, ids: np.ndarray) -> np.ndarray:
-    cell = ids >> np.uint64(64 - bits)
-    return ((bitmap[(cell >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (cell & np.uint64(7)).astype(np.uint8))) & 1).astype(bool)
-
-
-def bitmap(ids: DataFrame, bits: int) -> np.ndarray:
-    """Bits of the cells that the ids (w) lie in; packed by block in the executors, 2**bits / 8 bytes in all."""
-    width = 1 << (bits - 6)
-    cells = ids.select(F.shiftrightunsigned("w", 64 - bits).alias("cell")).distinct().withColumn("block", F.shiftright("cell", bits - 6).cast("int"))
-
-    def pack(key, found):
-        on = np.zeros(width, dtype=bool)
-        on[found["cell"].to_numpy() & (width - 1)] = True
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "cells": pa.array([np.packbits(on).tobytes()], pa.binary())})
-
-    out = np.zeros(1 << bits >> 3, dtype=np.uint8)
-    for r in cells.groupBy("block").applyInArrow(pack, "block int, cells binary").collect():
-        out[r["block"] * (width >> 3) : (r["block"] + 1) * (width >> 3)] = np.frombuffer(r["cells"], dtype=np.uint8)
-    trim()
-    return out
-
-
-def bits_for(n: int) -> int:
-    """log2 of a bitmap's bits for n ids: 32 an id, up to 2**27."""
-    return int(min(27, max(12, math.ceil(math.log2(32 * max(1, n))))))
-
-
 def counted(d: DataFrame, pick, schema: str) -> DataFrame:
     """pick(texts) -> (ids, values beside them) of each run of texts; equal ids of a task are counted: a language for codes, or values, and n."""
 
@@ -332,7 +305,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     total = stored(counts.groupBy("lang").agg(F.sum("n").alias("n")))
     words = counts.where(F.col("n") >= least)
     bits = bits_for(words.count())
-    frequent = (bitmap(words, bits), bits)
+    frequent = (id_bitmap(words, bits), bits)
 
     def frequent_pairs(t):
         on = has(*frequent, t.id)
@@ -347,7 +320,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     pairs = stored(counted(d, frequent_pairs, "w1 long, w2 long, n long").groupBy("w1", "w2").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
     occurrences = pairs.agg(F.count("*"), F.sum("n")).first()
     bits = bits_for(occurrences[0])
-    frequent_two = (bitmap(pairs.mapInArrow(ids, "w long"), bits), bits)
+    frequent_two = (id_bitmap(pairs.mapInArrow(ids, "w long"), bits), bits)
     bits = int(min(SKETCH_BITS, max(12, math.ceil(math.log2((occurrences[1] or 1) / 8)))))
     projected = stored(windows(d, frequent, frequent_two, (sketches(d, frequent, frequent_two, bits, least), bits)))
     two = pairs.join(words.select("lang", F.col("w").alias("w1")), "w1").select("lang", F.array("w1", "w2").alias("words"), F.col("n").alias("a"))

@@ -378,6 +378,37 @@ def maybe_repeated(h: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
     return (hit(bitmap[0], a) & hit(bitmap[1], b)).astype(bool)
 
 
+# ---------------------------------------------------------------- bitmaps of ids
+
+
+def has(bitmap: np.ndarray, bits: int, ids: np.ndarray) -> np.ndarray:
+    """Whether ids may be among those of a bitmap: true for all of them, and for few others."""
+    cell = ids >> np.uint64(64 - bits)
+    return ((bitmap[(cell >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (cell & np.uint64(7)).astype(np.uint8))) & 1).astype(bool)
+
+
+def id_bitmap(ids: DataFrame, bits: int) -> np.ndarray:
+    """Bits of the cells that the ids (w) lie in; packed by block in the executors, 2**bits / 8 bytes in all."""
+    width = 1 << (bits - 6)
+    cells = ids.select(F.shiftrightunsigned("w", 64 - bits).alias("cell")).distinct().withColumn("block", F.shiftright("cell", bits - 6).cast("int"))
+
+    def pack(key, found):
+        on = np.zeros(width, dtype=bool)
+        on[found["cell"].to_numpy() & (width - 1)] = True
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "cells": pa.array([np.packbits(on).tobytes()], pa.binary())})
+
+    out = np.zeros(1 << bits >> 3, dtype=np.uint8)
+    for r in cells.groupBy("block").applyInArrow(pack, "block int, cells binary").collect():
+        out[r["block"] * (width >> 3) : (r["block"] + 1) * (width >> 3)] = np.frombuffer(r["cells"], dtype=np.uint8)
+    trim()
+    return out
+
+
+def bits_for(n: int) -> int:
+    """log2 of a bitmap's bits for n ids: 32 an id, up to 2**27."""
+    return int(min(27, max(12, np.ceil(np.log2(32 * max(1, n))))))
+
+
 # ---------------------------------------------------------------- components
 
 

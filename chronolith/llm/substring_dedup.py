@@ -25,11 +25,12 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, cells_of, chunks, maybe_repeated, mix, packed, repeated_cells, ship, sketch_bits, stored, table
+from .common import Words, bits_for, cells_of, chunks, has, id_bitmap, maybe_repeated, mix, packed, repeated_cells, ship, sketch_bits, stored, table, tidy
 
 GRAM = 20
 #: Blocks in which a sketch is merged.
@@ -119,6 +120,20 @@ def _removed(n: int, first: np.ndarray, last: np.ndarray, window: int) -> np.nda
     return np.cumsum(edge[:-1]) > 0
 
 
+def _may_be_among(ids: DataFrame) -> Column:
+    """Whether a row's (doc_id, text_id) may be among those of ids, by a bitmap of at most 2**27 bits: rows that can't needn't be shuffled."""
+    key = F.xxhash64("doc_id", "text_id")
+    bits = bits_for(ids.count())
+    held = ids.sparkSession.sparkContext.broadcast(id_bitmap(ids.select(key.alias("w")), bits))
+
+    @F.pandas_udf("boolean")
+    def may(w: pd.Series) -> pd.Series:
+        return pd.Series(has(held.value, bits, w.to_numpy().view(np.uint64)))
+
+    return may(key)
+
+
+@tidy
 def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept (the words left, joined by one space; if wanted), kept_sha256."""
     spark = docs.sparkSession
@@ -185,7 +200,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
                 names=["g1", "g2", "doc_id", "text_id", "first"],
             )
 
-    near = own.join(open_, ["doc_id", "text_id"]).select("doc_id", "text_id", "text", "at")
+    near = own.where(_may_be_among(open_)).join(open_, ["doc_id", "text_id"]).select("doc_id", "text_id", "text", "at")
     single = stored(near.mapInArrow(windows, "g1 bigint, g2 bigint, doc_id bigint, text_id bigint, first int"))
     least = stored(single.groupBy("g1", "g2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"))
     more = single.join(least, ["g1", "g2"]).where("doc_id > least").select("doc_id", "text_id", "first", F.lit(1).alias("n"))
@@ -211,8 +226,11 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
                     columns["kept"] = pa.array(kept, pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_pydict(columns | {"kept_sha256": pa.array(sha, pa.string())})
 
-    rows = docs.join(gone, ["doc_id", "text_id"], "left").select("doc_id", "text", "gone")
-    return rows.mapInArrow(cut_texts, "doc_id bigint, n_words bigint, n_removed bigint, " + "kept string, " * with_text + "kept_sha256 string")
+    schema = "doc_id bigint, n_words bigint, n_removed bigint, " + "kept string, " * with_text + "kept_sha256 string"
+    touched = _may_be_among(gone)
+    whole = docs.where(~touched).select("doc_id", "text", F.lit(None).cast(gone.schema["gone"].dataType).alias("gone"))
+    rows = docs.where(touched).join(gone, ["doc_id", "text_id"], "left").select("doc_id", "text", "gone")
+    return whole.mapInArrow(cut_texts, schema).union(rows.mapInArrow(cut_texts, schema))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
