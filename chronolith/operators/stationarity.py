@@ -6,8 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.windows import blocked, unblocked
-from .features import ffd_weights, fracdiff
+from ..functions.windows import BLOCK, LENT, blocked
+from .features import ffd_weights
 
 
 def critical(n: int) -> float:
@@ -57,15 +57,35 @@ def adf(df: DataFrame, c: str, keys: tuple[str, ...] = ("asset",), order: str =
     return sums.mapInPandas(lambda it: map(decide, it), f"{types}, n bigint, tau double, lags int, stationary boolean")
 
 
+def differences(df: DataFrame, orders: list[float], price: str = "close") -> DataFrame:
+    """(asset, ts, tried, x): the fractional difference of each order, as `fracdiff` gives it, where its whole window has positive prices."""
+    weights = [np.array(ffd_weights(o)) for o in orders]
+    b = blocked(df.select("asset", "ts", F.col(price).cast("double").alias("__p")), 101)
+
+    def convolved(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("ts", kind="stable").reset_index(drop=True)
+        p = pdf["__p"].to_numpy(dtype=float)
+        x = np.log(np.where(p > 0, p, np.nan))
+        own, out = ~pdf[LENT].to_numpy(dtype=bool), []
+        for o, w in zip(orders, weights, strict=True):
+            made = np.full(len(x), np.nan)
+            if len(x) >= len(w):
+                made[len(w) - 1 :] = np.convolve(x, w, "valid")
+            keep = own & np.isfinite(made)
+            out.append(pd.DataFrame({"asset": pdf["asset"][keep], "ts": pdf["ts"][keep], "tried": o, "x": made[keep]}))
+        return pd.concat(out)
+
+    kind = lambda c: df.schema[c].dataType.simpleString()
+    return b.groupBy("asset", BLOCK).applyInPandas(convolved, f"asset {kind('asset')}, ts {kind('ts')}, tried double, x double")
+
+
 def least_order(df: DataFrame, floor: float = 0.3, step: float = 0.05, price: str = "close", least: int = 100) -> DataFrame:
     """(asset, d): the least order, from `floor` to 1 by `step`, whose fractional difference is stationary; 1 if none or
-    with fewer than `least` rows. All candidates are columns over one window, so rows are shuffled once."""
+    with fewer than `least` rows. Rows are shuffled once, and each block of them is convolved with all orders' weights."""
     orders = [round(floor + k * step, 10) for k in range(int(round((1 - floor) / step)) + 1)]
-    b = blocked(df, 101)
-    d = unblocked(b.select("asset", "ts", price, "__block", "__lent", *[fracdiff(b, ffd_weights(o), price).alias(f"f{k}") for k, o in enumerate(orders)]))
-    each = F.array(*[F.struct(F.lit(o).alias("d"), F.col(f"f{k}").alias("x")) for k, o in enumerate(orders)])
-    # adf has a column d of its own, so the order goes by another name there
-    rows = d.select("asset", "ts", F.explode(each).alias("e")).select("asset", "ts", F.col("e.d").alias("tried"), "e.x")
+    rows = differences(df, orders, price)
     found = adf(rows, "x", ("asset", "tried")).where((F.col("n") >= least) & F.col("stationary")).groupBy("asset").agg(F.min("tried").alias("d"))
     return df.select("asset").distinct().join(found, "asset", "left").select("asset", F.coalesce("d", F.lit(1.0)).alias("d"))
 
