@@ -439,6 +439,27 @@ def test_ngram_join_of_lists_chained_by_common_phrases(spark, monkeypatch):
     assert got == near_duplicates(rows)
 
 
+def test_ngram_join_of_a_table_larger_than_a_sketch(spark, monkeypatch):
+    """However many n-grams there are, only sets that may be similar are indexed."""
+    monkeypatch.setattr(ngram_join, "sketch_bits", lambda *a, **b: 10, raising=False)  # as small for these as 2**27 cells are for 6 GB
+    monkeypatch.setattr(ngram_join, "RANGE", 64, raising=False)
+    monkeypatch.setattr(ngram_join, "UNIT", 500, raising=False)
+    rng, indexed, stored = random.Random(17), [], ngram_join.stored
+
+    def spied(df):
+        out = stored(df)
+        if "set" in df.columns:
+            indexed.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", spied)
+    rows = [(i, " ".join(f"w{rng.randrange(10**9)}" for _ in range(60))) for i in range(300)]
+    rows += [(300 + k, rows[k // 2][1] + f" more{k}") for k in range(20)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(docs(spark, rows).repartition(5))[0].collect()}
+    assert got == near_duplicates(rows)
+    assert len(indexed) == 1 and 30 <= indexed[0] <= 60, indexed
+
+
 @pytest.mark.parametrize("block", [4, 256])
 def test_ngram_join_returns_every_link(spark, monkeypatch, block):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
