@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
+from chronolith.llm import ngram_join
 from chronolith.llm.common import stored
 
 SF = "/root/testdata/sf0.001"
@@ -29,6 +30,25 @@ def test_near_duplicates_stage(spark):
     assert sorted(map(str, (r["doc_id"] for r in got.collect()))) == ["1", "3", "4", "None"]
 
 
+def test_near_duplicates_stage_of_a_large_table(spark, monkeypatch):
+    """Sets of documents that are like no other aren't stored, however many n-grams the table has."""
+    monkeypatch.setattr(ngram_join, "sketch_bits", lambda *a, **b: 10, raising=False)  # as small for these as 2**27 cells are for 6 GB
+    sizes, plain = [], ngram_join.stored
+
+    def spied(df):
+        out = plain(df)
+        if "set" in df.columns:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", spied)
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(60)), "en", "s", 1) for i in range(200)]
+    rows += [(200 + i, rows[i][1] + " x", "en", "s", 1) for i in range(5)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert sorted(r["doc_id"] for r in cp.drop_near_duplicates(spark, d, SF).collect()) == list(range(200))
+    assert len(sizes) == 1 and 10 <= sizes[0] <= 30, sizes
+
+
 def test_repeated_rows_of_a_document(spark):
     """Of rows with one doc_id and one text one stays; other texts of that doc_id stay too."""
     text = " ".join(f"w{k}" for k in range(60))
