@@ -460,6 +460,17 @@ def test_ngram_join_of_a_table_larger_than_a_sketch(spark, monkeypatch):
     assert len(indexed) == 1 and 30 <= indexed[0] <= 60, indexed
 
 
+def test_repeated_ngrams_of_different_sets():
+    """N-grams of one set alone go on as they are, two of one cell twice; what two sets share goes on once and both are known to have it."""
+    a, b = np.arange(1, 9, dtype=np.uint64) << np.uint64(58), np.arange(5, 13, dtype=np.uint64) << np.uint64(58)
+    a[1] = a[0] + np.uint64(1)  # one cell
+    cells = lambda *sets: {r["range"]: (len(r["cells"]) // 3, np.frombuffer(r["refs"], np.uint32).tolist(), np.frombuffer(r["known"], np.uint32).tolist()) for r in ngram_join._dealt([x[0].copy() for x in sets], [x[1] for x in sets], 6).to_pylist()}
+    alone = cells((a, 7))
+    assert sum(x[0] for x in alone.values()) == 8 and not any(x[2] for x in alone.values()) and alone[1][0] == 2
+    both = cells((a, 7), (b, 3))
+    assert sorted(x for r in both.values() for x in r[2]) == [3] * 4 + [7] * 4 and sum(0 in x[1] for x in both.values()) == 4
+
+
 @pytest.mark.parametrize("block", [4, 256])
 def test_ngram_join_returns_every_link(spark, monkeypatch, block):
     monkeypatch.setattr(ngram_join, "BLOCK", block)

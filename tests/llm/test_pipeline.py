@@ -49,6 +49,25 @@ def test_near_duplicates_stage_of_a_large_table(spark, monkeypatch):
     assert len(sizes) == 1 and 10 <= sizes[0] <= 30, sizes
 
 
+def test_near_duplicates_stage_of_copies(spark, monkeypatch):
+    """Texts that only have exact copies aren't indexed, others by one copy each, and in fewer bytes than their text."""
+    found, plain = [], ngram_join.stored
+
+    def spied(df):
+        out = plain(df)
+        if "set" in df.columns:
+            found.append(out.agg(F.count("*"), F.sum(F.octet_length("set"))).first())
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", spied)
+    texts = [" ".join(f"d{i}w{k}" for k in range(60)) for i in range(100)]
+    texts += [f"{texts[i]} x" for i in range(10)]
+    d = spark.createDataFrame([(100 * c + i + 10_000 * (i >= 100), t, "en", "s", 1) for c in range(4) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert sorted(r["doc_id"] for r in cp.drop_near_duplicates(spark, d.repartition(5), SF).collect()) == list(range(100))
+    (sets, size), own = found[0], sum(len(t) for t in texts[:10] + texts[100:])
+    assert len(found) == 1 and 20 <= sets <= 40 and size < own * sets / 20, found
+
+
 def test_repeated_rows_of_a_document(spark):
     """Of rows with one doc_id and one text one stays; other texts of that doc_id stay too."""
     text = " ".join(f"w{k}" for k in range(60))
